@@ -195,6 +195,12 @@ def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: s
     return scored.select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score threshold or more, with all their columns under their own names."""
+    whole = docs.select(F.col(id_col), F.col(text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return _described(whole, id_col, text_col, "_row").filter(model.column() >= threshold).select("_row.*")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
