@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, fold_ascii, table
+from .common import BLANKS, checkpointed, fold_ascii, table
 
 #: Production parameters of op2.
 LEAST_CHARS, LEAST_DOCS = 40, 5
@@ -30,7 +30,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = lines.filter(F.length("_line") >= least_chars).select("_id", "_pos", F.btrim("_line", F.lit(BLANKS)).alias("_key"))
     keyed = keyed.filter(F.length("_key") >= least_chars).select("_id", "_pos", F.unhex(F.substring(F.sha2(fold_ascii(F.col("_key")), 256), 1, 32)).alias("_digest"))
     frequent = keyed.groupBy("_digest").agg(F.count_distinct("_id").alias("_docs"), F.max("_id").alias("_keeper")).filter(F.col("_docs") >= least_docs)
-    drops = keyed.join(frequent.select("_digest", "_keeper"), "_digest").filter("_id <> _keeper").groupBy("_id").agg(F.collect_set("_pos").alias("_drop"))
+    frequent = checkpointed(frequent.select("_digest", "_keeper"))  # dealt anew for the join, so that its large partitions can be split
+    drops = keyed.join(frequent, "_digest").filter("_id <> _keeper").groupBy("_id").agg(F.collect_set("_pos").alias("_drop"))
     met = base.join(drops, "_id", "left").select("_id", F.split("_text", "\n", -1).alias("_lines"), F.coalesce("_drop", F.array().cast("array<int>")).alias("_drop"))
     keep = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
     return met.select(
