@@ -198,7 +198,9 @@ def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: s
 def keep_good(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows that score threshold or more, with all their columns under their own names."""
     whole = docs.select(F.col(id_col), F.col(text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return _described(whole, id_col, text_col, "_row").filter(model.column() >= threshold).select("_row.*")
+    # The row number keeps the optimiser from pushing the filter down, which would write the statistics out again at every rule.
+    scored = _described(whole, id_col, text_col, "_row").select("_row", model.column().alias("_score"), F.monotonically_increasing_id().alias("_at"))
+    return scored.filter((F.col("_score") >= threshold) & (F.col("_at") >= 0)).select("_row.*")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
