@@ -1,0 +1 @@
+"""Operators of the process-text alignment engine."""

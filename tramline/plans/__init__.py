@@ -1,0 +1 @@
+"""Plans of the process-text alignment engine."""

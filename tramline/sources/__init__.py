@@ -1,0 +1 @@
+"""Sources of the process-text alignment engine."""

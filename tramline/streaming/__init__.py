@@ -1,0 +1 @@
+"""Streaming of the process-text alignment engine."""
