@@ -36,7 +36,8 @@ def sentence_order(a: Column, b: Column) -> Column:
 
 
 def reverse(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+    swap = {"src": "dst", "dst": "src"}
+    return edges.select(*[F.col(swap.get(c, c)).alias(c) for c in edges.columns])
 
 
 def closure(edges: DataFrame, case: list[str], most_rounds: int = MOST_ROUNDS) -> DataFrame:
