@@ -93,10 +93,11 @@ def tokenise(sentence: str) -> list[Token]:
 
 
 def annotate(tokens: list[Token]) -> list[Token]:
-    """Roles around the predicates (A0 before, A1 after, the last noun of a phrase as head) and conditional clauses (from if to the comma)."""
+    """Roles around the predicates (A0 before, or A1 if passive, A1 after, the last noun of a phrase as head) and conditional clauses (from if to the comma)."""
     for n, t in enumerate(tokens):
         if t.is_predicate:
-            for role, run in (("A0", _phrase(tokens, n - 1, -1)), ("A1", _phrase(tokens, n + 1, 1))):
+            passive = t.vform == "participle" and t.form.lower().endswith("ed") and any(x.lemma == "be" for x in tokens[max(0, n - 3) : n])
+            for role, run in (("A1" if passive else "A0", _phrase(tokens, n - 1, -1)), ("A1", _phrase(tokens, n + 1, 1))):
                 nouns = [x for x in run if x.pos in ("noun", "pronoun")]
                 for x in run:
                     x.role = x.role or role
@@ -178,7 +179,10 @@ def parse_label(label: str, kind: str = "task") -> Label:
         if len(rest) >= 2 and rest[0].pos == "conjunction" and (rest[1].lemma in _VERBS or rest[1].is_predicate):
             rest[1].pos, rest[1].is_predicate = "verb", True
             out.kind, out.predicates, rest = "double-action", [head[0].lemma, rest[1].lemma], rest[2:]
-        out.object, out.complement = [t for t in rest if t.pos in ("noun", "number", "verb") and not t.is_predicate], [t for t in tail if t.pos == "noun"]
+        for t in (*rest, *tail):  # after the verb, words that could be one are its object
+            if t.pos == "verb":
+                t.pos, t.vform, t.is_predicate = "noun", None, False
+        out.object, out.complement = [t for t in rest if t.pos in ("noun", "number")], [t for t in tail if t.pos == "noun"]
         if not out.object:
             out.object, out.complement = out.complement, []
     else:

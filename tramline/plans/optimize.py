@@ -38,7 +38,7 @@ def search(fitness: Callable[[dict[str, float]], float], generations: int = 10,
         scores = [value(w) for w in now]
         best = max(now, key=value)
         history.append(value(best))
-        picks = rng.choices(now, [s + 1e-9 for s in scores], k=2 * (population - 1))
+        picks = rng.choices(now, [s - min(scores) + 1e-9 for s in scores], k=2 * (population - 1))
         now = [best, *(child(a, b) for a, b in zip(picks[::2], picks[1::2]))]
     best = max(now, key=value)
     return dict(zip(FAMILIES, best)), value(best), history
