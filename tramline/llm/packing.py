@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ CAPACITY, END_ID = 4096, 2
 _BUCKETS = 1024
 #: Entries of a worker's memory of chunks already tokenised; it is emptied when full.
 _MEMORY = 800_000
+#: Texts that are tokenised in one go.
+_TOGETHER = 32
 
 
 def vocabulary_path(name: str) -> str:
@@ -45,19 +48,23 @@ class _Chunks(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def encode(self, text: str | None) -> bytes:
-        chunks = (text or "").encode().lower().split()  # ASCII only; other letters and white space are left to the tokenizer
-        try:
-            return b"".join(map(self.__getitem__, chunks))
-        except KeyError:
-            pass
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Chunks that are new to any of the texts are learned together first."""
+        split = [(t or "").encode().lower().split() for t in texts]  # ASCII only; other letters and white space are left to the tokenizer
         if len(self) > _MEMORY:
             self.clear()
-        new = {c: self._cut(c) for c in chunks if c not in self}
-        self._learn({part for parts in new.values() for part in parts if part not in self})
-        for c, parts in new.items():
-            if len(parts) > 1:
-                self[c] = self[parts[0]] + self[parts[1]]
-        return b"".join(map(self.__getitem__, chunks))
+        known, new = self.__contains__, set()
+        for chunks in split:
+            new.update(filterfalse(known, set(chunks)))
+        if new:
+            cut = {c: self._cut(c) for c in new}
+            self._learn({part for parts in cut.values() for part in parts if part not in self})
+            for c, parts in cut.items():
+                if len(parts) > 1:
+                    self[c] = self[parts[0]] + self[parts[1]]
+        return [b"".join(map(self.__getitem__, chunks)) for chunks in split]
 
     def _cut(self, chunk: bytes) -> tuple[bytes, ...]:
         stem = chunk.rstrip(self.MARKS)
@@ -73,8 +80,9 @@ class _Chunks(dict):
             ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids)
             starts = np.flatnonzero(np.diff(of, prepend=-1))
             if len(starts) == len(words):
-                for p, x in zip(words, np.split(ids, starts[1:])):
-                    self[p] = x.tobytes()
+                data, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                for p, x, y in zip(words, bounds, bounds[1:]):
+                    self[p] = data[x:y]
         rest = [p for p in parts if p not in self]
         for p, found in zip(rest, self.tokenizer.encode_batch([texts[p] for p in rest], add_special_tokens=False)):
             self[p] = np.array(found.ids, "<u4").tobytes()
@@ -90,12 +98,15 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
     for batch in batches:
         rows: list[list] = [[], [], [], [], []]
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = chunks.encode(text) + end
-            for at in range(0, len(ids), step):
-                piece = ids[at : at + step]
-                for column, x in zip(rows, (key, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)):
-                    column.append(x)
+        keys = batch.column(0).to_pylist()
+        for first in range(0, len(keys), _TOGETHER):
+            texts = batch.column(1).slice(first, _TOGETHER).to_pylist()
+            for key, ids in zip(keys[first : first + _TOGETHER], chunks.encode_all(texts)):
+                ids += end
+                for at in range(0, len(ids), step):
+                    piece = ids[at : at + step]
+                    for column, x in zip(rows, (key, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)):
+                        column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["_id", "start", "length", "ids_crc32", "doc_tokens"])
 
 
