@@ -81,9 +81,10 @@ class RuleModel:
         return 1.0 / (1.0 + F.exp(-reduce(lambda a, b: a + b, terms, F.lit(self.intercept))))
 
 
-def _grow(binned: np.ndarray, target: np.ndarray, edges: list[np.ndarray], depth: int, rng: np.random.Generator, least: int = 20):
+def _grow(binned: np.ndarray, target: np.ndarray, edges: list[np.ndarray], depth: int, rng: np.random.Generator):
     """A regression tree over binned features. -> ([paths as ((feature, over, bound), ...)], prediction per row)."""
     paths, prediction, width = [], np.zeros(len(target)), binned.shape[1]
+    least = max(3, min(20, len(target) // 20))  # rows of a node
 
     def split(rows: np.ndarray, path: tuple, left: int) -> None:
         if path:
@@ -114,12 +115,12 @@ def _grow(binned: np.ndarray, target: np.ndarray, edges: list[np.ndarray], depth
 def _lasso(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[float, np.ndarray]:
     """Logistic regression with an l1 penalty on all but the intercept, by accelerated proximal gradient."""
     n, k = x.shape
-    mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 0.05)
-    z = (x - mean) / spread
-    step = 4.0 / (np.linalg.norm(z.T @ z / n, 2) + 1.0)
+    mean, spread = x.mean(axis=0, dtype=float), np.maximum(x.std(axis=0, dtype=float), 0.05)
+    z = (x - mean.astype(np.float32)) / spread.astype(np.float32)
+    step = 4.0 / (float(np.linalg.norm(z.T @ z / n, 2)) + 1.0)
     w, v, b, c, t = np.zeros(k), np.zeros(k), 0.0, 0.0, 1.0
     for _ in range(steps):
-        error = 1 / (1 + np.exp(-np.clip(z @ v + c, -30, 30))) - y
+        error = (1 / (1 + np.exp(-np.clip(z @ v.astype(np.float32) + c, -30, 30))) - y).astype(np.float32)
         was, was_b = w, b
         w = v - step * (z.T @ error / n)
         w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
@@ -155,7 +156,7 @@ def fit_rules(x: dict[str, np.ndarray], y: np.ndarray, trees: int = TREES, depth
             tree[own] = gradient[own].mean() if own.any() else 0
         raw = np.clip(raw + 2.0 * tree, -6, 6)
     rules = list(found)
-    held = np.stack([r.holds(x) for r in rules], axis=1).astype(float) if rules else np.zeros((len(y), 0))
+    held = np.stack([r.holds(x) for r in rules], axis=1).astype(np.float32) if rules else np.zeros((len(y), 0))
     intercept, weights = _lasso(held, y.astype(float), penalty) if rules else (float(np.log(share / (1 - share))), np.zeros(0))
     return RuleModel(intercept, [(r, float(w)) for r, w in zip(rules, weights) if abs(w) > 1e-6])
 
