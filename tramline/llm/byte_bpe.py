@@ -6,6 +6,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -76,11 +77,10 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
 
 
 class Codec:
-    """Encodes and decodes with merge ranks; the perfect hash is built once per worker."""
+    """Encodes and decodes with merge ranks; kept once per worker."""
 
     def __init__(self, path: str, pattern: str):
         ranks = read_ranks(path)
-        self.whole = PerfectHash([k for k, _ in ranks], [v for _, v in ranks])
         self.rank = dict(ranks)
         self.token = [b""] * (max(self.rank.values(), default=-1) + 1)
         for k, v in ranks:
@@ -88,6 +88,11 @@ class Codec:
         self.split = regex.compile(pattern)
         self.memory: dict[str, bytes] = {}
 
+    @cached_property
+    def whole(self) -> PerfectHash:
+        """Built when first used: decoding does without."""
+        return PerfectHash(list(self.rank), list(self.rank.values()))
+
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a piece: adjacent tokens of the lowest rank merge first, the leftmost of equals before others.
 
@@ -155,6 +160,13 @@ def codec(path: str, pattern: str) -> Codec:
     return _kept[path, pattern]
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that a worker holds the ids of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _defaults(path: str | None, pattern: str | None) -> tuple[str, str]:
     import public_tokenizers
 
@@ -172,7 +184,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in _small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.encode(t or "") for t in batch.column(1).to_pylist()], pa.binary())], ["_id", "ids"])
 
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -185,7 +197,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", path: str | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in _small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.decode(x) for x in batch.column(1).to_pylist()], pa.binary())], ["_id", "ids", "data"])
 
     return encoded.select(F.col(id_col).alias("_id"), "ids").mapInArrow(run, "_id long, ids binary, data binary").withColumnRenamed("_id", id_col)
