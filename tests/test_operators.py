@@ -160,7 +160,7 @@ def test_optimise():
 def test_text_functions(spark):
     one = spark.range(1)
     get = lambda c: one.select(c.alias("x")).first().x
-    assert get(T.sentences(F.lit("A b. C!\n\n d"))) == ["A b.", "C!", "d"]
+    assert get(T.sentences(F.lit(" A b. C! \n\n d "))) == ["A b.", "C!", "d"]
     assert get(T.lower_capitalised(F.lit("Send SQL Now"))) == "send SQL now" and get(T.base_name(F.lit("/a/b.c.bpmn"))) == "b.c"
     assert get(T.bag_distance(F.lit("aab"), F.lit("abc"))) == 3 and get(T.bag_distance(F.lit(""), F.lit(""))) == 0
     assert get(T.harmonic_mean(F.lit(1.0), F.lit(3.0))) == pytest.approx(1.5) and get(T.harmonic_mean(F.lit(0.0), F.lit(3.0))) is None

@@ -13,7 +13,7 @@ def tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split after ., ! or ? before white space, and at line ends; blank pieces go."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def clean_label(label: Column) -> Column:

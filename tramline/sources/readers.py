@@ -113,7 +113,7 @@ def complete_cases(models: DataFrame, texts: DataFrame, truths: DataFrame) -> Da
 
 def legacy_ground_truth(lines: DataFrame) -> DataFrame:
     """lines(case_id, line no, line): `;`-separated task id, task, sentence id, error -> (case_id, task_id, task, sent_id, err); rows without a numeric id are skipped."""
-    cells = F.transform(F.split("line", ";", -1), F.trim)
+    cells = F.transform(F.split("line", ";", -1), lambda c: F.trim(c))
     rows = lines.select("case_id", *[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(("task_id", "task", "sent", "err"))])
     return rows.select("case_id", F.expr("try_cast(task_id as int)").alias("task_id"), "task", F.expr("try_cast(sent as int)").alias("sent_id"), F.nullif(F.col("err"), F.lit("")).alias("err")).filter("task_id is not null")
 
@@ -133,3 +133,58 @@ def senses(lines: DataFrame) -> DataFrame:
 def write_table(df: DataFrame, path: str, format: str = "parquet", by: str | None = None) -> None:
     writer = df.write.mode("overwrite").format(format)
     (writer.partitionBy(by) if by else writer).save(path)
+
+
+#: Stencil names of the JSON process format by BPMN tag.
+STENCILS = {"Task": "task", "StartNoneEvent": "startEvent", "StartMessageEvent": "startEvent", "EndNoneEvent": "endEvent", "EndMessageEvent": "endEvent", "IntermediateMessageEventCatching": "intermediateCatchEvent", "IntermediateTimerEvent": "intermediateCatchEvent", "IntermediateMessageEventThrowing": "intermediateThrowEvent", "Exclusive_Databased_Gateway": "exclusiveGateway", "ParallelGateway": "parallelGateway", "InclusiveGateway": "inclusiveGateway", "EventbasedGateway": "eventBasedGateway"}
+
+
+def parse_json_process(case: str, text: str) -> list[tuple]:
+    """The same rows as parse_bpmn from nested shapes {resourceId, stencil.id, properties.name, outgoing, childShapes}."""
+    import json
+
+    shapes: list[tuple[dict, str | None, str | None]] = []
+
+    def walk(shape: dict, pool: str | None, lane: str | None) -> None:
+        kind = shape.get("stencil", {}).get("id")
+        shapes.append((shape, pool, lane))
+        for child in shape.get("childShapes", []):
+            walk(child, shape["resourceId"] if kind == "Pool" else pool, shape["resourceId"] if kind == "Lane" else lane)
+
+    for top in json.loads(text).get("childShapes", []):
+        walk(top, None, None)
+    after = {s["resourceId"]: [o["resourceId"] for o in s.get("outgoing", [])] for s, _, _ in shapes}
+    before: dict[str, str] = {o: i for i, out in after.items() for o in out}
+    rows: list[tuple] = []
+    for s, pool, lane in shapes:
+        kind, key, name = s.get("stencil", {}).get("id"), s["resourceId"], s.get("properties", {}).get("name")
+        if kind in STENCILS:
+            tag = STENCILS[kind]
+            rows.append(("element", case, pool, key, tag, element_type(tag), name, None, None, len(rows)))
+            if lane:
+                rows.append(("member", case, pool, lane, "lane", "Lane", None, None, key, len(rows)))
+        elif kind == "SequenceFlow" and after[key]:
+            rows.append(("edge", case, pool, key, "sequenceFlow", "Flow", name, before.get(key), after[key][0], len(rows)))
+        elif kind == "MessageFlow" and after[key]:
+            rows.append(("message_flow", case, None, key, "messageFlow", "MessageFlow", name, before.get(key), after[key][0], len(rows)))
+        elif kind == "Lane":
+            rows.append(("lane", case, pool, key, "lane", "Lane", name, None, None, len(rows)))
+        elif kind == "Pool":
+            rows.append(("pool", case, key, key, "participant", "Pool", name, None, None, len(rows)))
+    return rows
+
+
+def json_process_parts(models: DataFrame) -> DataFrame:
+    """models(case_id, json) -> parts, as bpmn_parts gives them; broken JSON gives a row of kind "error"."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for case, text in zip(pdf["case_id"], pdf["json"]):
+                try:
+                    rows += parse_json_process(case, text)
+                except (ValueError, TypeError, KeyError, AttributeError) as e:
+                    rows.append(("error", case, None, None, None, None, str(e), None, None, 0))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PART.split(", ")])
+
+    return models.select("case_id", "json").mapInPandas(run, _PART)
