@@ -310,6 +310,12 @@ def test_surrogates(spark, docs, empty, real):
         assert len(r.entities) == len(found) and (found or r.text == texts[r.doc_id]) and not any(texts[r.doc_id][a:b] in r.text for a, b, _, _ in found)
 
 
+def test_clean_numbers_are_left_alone():
+    for text in ("rows 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16", "at 1700000000123 ms", "version 1.2.3, 3.14, 2024-01-02", "call 12 or 7", "Dr. who, Mr.", "999.1.1.1", "a@b", "the token of the secret passage"):
+        assert surrogates.find(text) == [], text
+    assert [x[2] for x in surrogates.find("4785380592391139 and 5555-5555-5555-4444")] == ["card", "card"]
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """With a tiny range of surrogates most collide and must be drawn again; by the table and by the join alike."""
     real = surrogates.surrogate

@@ -39,7 +39,7 @@ ENDINGS = {
 
 _GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 _NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True)) + r")\.? ((?:[^\W\d_a-zà-ÿа-яё][^\W\d_]+)(?: [^\W\d_a-zà-ÿа-яё][^\W\d_]+){0,2})")
-#: In this order; a span that is taken is not looked at again. Group 1, where there is one, is what is replaced.
+#: In this order; a span that is taken is not looked at again. Of secrets, group 1 is what is replaced.
 PATTERNS = [
     ("secret", re.compile(r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\b\"?\s*[:=]\s*[\"']?([^\s\"',;<>]{6,})")),
     ("secret", re.compile(r"\b(?:AKIA|ASIA)([0-9A-Z]{16})\b")),
@@ -47,7 +47,7 @@ PATTERNS = [
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
-    ("card", re.compile(r"(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-])")),
+    ("card", re.compile(r"(?<![\w+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])")),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)")),
 ]
 _HINT = re.compile("[0-9@]")
@@ -74,11 +74,13 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     if _HINT.search(text) or any(w in text.lower() for w in ("password", "token", "secret", "passwd", "api", "access")):
         for kind, pattern in PATTERNS:
             for m in pattern.finditer(text):
-                a, b = m.span(1 if pattern.groups else 0)
+                a, b = m.span(1 if kind == "secret" else 0)
                 value = text[a:b].rstrip(".") if kind in ("email", "secret") else text[a:b]
                 b = a + len(value)
                 if not free(a, b) or kind == "iban" and _iban_rest(value.replace(" ", "")) != 1:
                     continue
+                if kind == "card" and value.isdigit() and len(value) != 16 and not _luhn(value):
+                    continue  # some other long number
                 if kind == "email":
                     value = value.lower()
                 elif kind in ("phone", "card", "iban", "ssn"):
