@@ -130,7 +130,7 @@ def test_anaphoras(spark):
     assert out[(2, 0)] == ("clerk", 0) and out[(1, 1)] == ("clerk", 4)
 
 
-@pytest.mark.parametrize("config", [Config(), Config.preset(), Config(remove_back_edges=True, disable_restrictions=True, similarity_function="cosine", enable_tf_idf=False)])
+@pytest.mark.parametrize("config", [Config(), Config.preset(), Config(remove_back_edges=True, disable_restrictions=True, similarity_function="cosine", enable_tf_idf=False), Config(enable_anchors=True, closing_gateway_mode="intended")])
 def test_alignment(spark, config):
     models, texts = spark.createDataFrame([("c", BPMN)], "case_id string, xml string"), spark.createDataFrame([("c", TEXT)], "case_id string, text string")
     run = align.align(models, texts, config)

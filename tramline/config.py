@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, replace
 
 #: Default weights of the feature families.
@@ -20,6 +21,19 @@ FEATURE_WEIGHTS = {
     "has-discourse-marker": 10.0,
 }
 #: Weights of the command-line preset; families not named keep their defaults.
+PRESET_WEIGHTS = {
+    "has-lemma": 0.01226,
+    "has-parent-synset": 0.03927,
+    "in-agent": 0.19403,
+    "agent-head": 0.03089,
+    "has-form": 0.82536,
+    "patient-head": 0.37729,
+    "in-patient": 0.84569,
+    "has-discourse-marker": 0.83401,
+    "has-synset": 0.5691,
+    "has-action": 0.95106,
+}
+#: Its thresholds.
 PRESET_THRESHOLDS = {"threshold_missing": 0.1, "max_constrained_threshold": 0.99}
 #: Parts of speech that carry no content.
 STOP_POS = ("punctuation", "preposition", "determiner", "modal", "conjunction", "particle")
@@ -58,4 +72,16 @@ class Config:
 
     @classmethod
     def preset(cls) -> Config:
-        return cls(enable_anchors=True, enable_cutoff=True, enable_wrong_order_cutoff=True, **PRESET_THRESHOLDS)
+        return cls(enable_anchors=True, enable_cutoff=True, enable_wrong_order_cutoff=True, feature_weight_overrides=dict(PRESET_WEIGHTS), **PRESET_THRESHOLDS)
+
+    @classmethod
+    def from_json(cls, text: str) -> Config:
+        """Settings by name; hyphens count as underscores, an unknown name is an error."""
+        return cls(**{k.replace("-", "_").rstrip("?"): v for k, v in json.loads(text).items()})
+
+    def __post_init__(self) -> None:
+        unknown = set(self.feature_weight_overrides) - set(FEATURE_WEIGHTS)
+        if unknown:
+            raise ValueError(f"no such feature families: {sorted(unknown)}")
+        if self.closing_gateway_mode not in ("as_written", "intended"):
+            raise ValueError("closing_gateway_mode is as_written or intended")

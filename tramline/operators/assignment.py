@@ -10,10 +10,11 @@ from ..config import DUMMY_SENTENCE, DUMMY_SIMILARITY
 from . import solver
 
 
-def constrained_alignment(sims: DataFrame, elements: DataFrame, before: DataFrame, case: str = "case_id", anchors: bool = False, restrict: bool = True) -> DataFrame:
+def constrained_alignment(sims: DataFrame, elements: DataFrame, before: DataFrame, case: str = "case_id", anchors: bool = False, restrict: bool = True, closed: DataFrame | None = None) -> DataFrame:
     """-> (case, elem_id, sent_id, sim, optimal).
 
     sims(case, sent_id, elem_id, sim) is dense for real sentences, elements(case, elem_id, is_gateway), before(case, src, dst).
+    closed(case, src, dst), if given: gateways src that are not to come after dst, which follows their closing gateway.
     A case is one small optimisation problem, solved in its own task; cases run in parallel. Ties take the smaller sentence.
     """
     kinds = dict(sims.dtypes)
@@ -21,12 +22,14 @@ def constrained_alignment(sims: DataFrame, elements: DataFrame, before: DataFram
     gates = elements.select(case, "elem_id", F.col("is_gateway").cast("boolean").alias("is_gateway"))
     rows = sims.join(gates, [case, "elem_id"]).groupBy(case).agg(F.collect_list(F.struct("elem_id", "sent_id", "sim", "is_gateway")).alias("cells"))
     order = before.groupBy(case).agg(F.collect_list(F.struct("src", "dst")).alias("pairs"))
+    shut = before.limit(0) if closed is None else closed
+    shut = shut.groupBy(case).agg(F.collect_list(F.struct("src", "dst")).alias("closed"))
     schema = f"{case} {kinds[case]}, elem_id {kinds['elem_id']}, sent_id {kinds['sent_id']}, sim double, optimal boolean"
 
     def solve(batches):
         for pdf in batches:
             out = []
-            for key, cells, pairs in zip(pdf[case], pdf["cells"], pdf["pairs"]):
+            for key, cells, pairs, closings in zip(pdf[case], pdf["cells"], pdf["pairs"], pdf["closed"]):
                 elems, sents = sorted({c["elem_id"] for c in cells}), sorted({c["sent_id"] for c in cells})
                 at, col = {e: i for i, e in enumerate(elems)}, {s: i for i, s in enumerate(sents)}
                 matrix = [[0.0] * len(sents) for _ in elems]
@@ -34,13 +37,13 @@ def constrained_alignment(sims: DataFrame, elements: DataFrame, before: DataFram
                 for c in cells:
                     matrix[at[c["elem_id"]]][col[c["sent_id"]]] = float(c["sim"])
                     gateway[at[c["elem_id"]]] = bool(c["is_gateway"]) and anchors
-                links = [(at[p["src"]], at[p["dst"]]) for p in (pairs if pairs is not None else []) if p["src"] in at and p["dst"] in at] if restrict else []
-                found = solver.assign(matrix, gateway, links, dummy)
+                links, ends = ([(at[p["src"]], at[p["dst"]]) for p in (given if given is not None and restrict else []) if p["src"] in at and p["dst"] in at] for given in (pairs, closings))
+                found = solver.assign(matrix, gateway, links, dummy, ends)
                 for e, s in zip(elems, found.chosen if found else []):
                     out.append((key, e, DUMMY_SENTENCE if s < 0 else sents[s], dummy if s < 0 else matrix[at[e]][s], found.optimal))
             yield pd.DataFrame(out, columns=[case, "elem_id", "sent_id", "sim", "optimal"])
 
-    return rows.join(order, case, "left").mapInPandas(solve, schema)
+    return rows.join(order, case, "left").join(shut, case, "left").mapInPandas(solve, schema)
 
 
 def unassigned(elements: DataFrame, alignment: DataFrame, case: str, sent: int = DUMMY_SENTENCE) -> DataFrame:

@@ -64,7 +64,7 @@ def align(models: DataFrame, texts: DataFrame, config: Config = Config(), hypern
     order = _order(t, config)
     sims = similarity.similarities(text_features, model_features, config.similarity_function, ["case_id"])
     dense = graph.checkpointed(similarity.all_pairs(sims, sentences, elements, ["case_id"]))
-    constrained = graph.checkpointed(assignment.constrained_alignment(dense, elements, order, "case_id", config.enable_anchors, not config.disable_restrictions))
+    constrained = graph.checkpointed(assignment.constrained_alignment(dense, elements, order, "case_id", config.enable_anchors, not config.disable_restrictions, _closed(t, order, config)))
     trivial = graph.checkpointed(assignment.constrained_alignment(dense, elements, order, "case_id", config.enable_anchors, False))
     keep = ["case_id", "elem_id", "sent_id", "sim"]
     chosen = constrained.select(*keep)
@@ -104,6 +104,19 @@ def _order(t: dict[str, DataFrame], config: Config) -> DataFrame:
     return reach.join(graph.reverse(reach).select("case_id", "src", "dst"), ["case_id", "src", "dst"], "left_anti")
 
 
+def _closed(t: dict[str, DataFrame], order: DataFrame, config: Config) -> DataFrame | None:
+    """(case_id, src, dst): split gateways and what comes after the join that closes them; only in the mode "intended"."""
+    if config.closing_gateway_mode == "as_written":
+        return None
+    starts = t["elements"].filter("tag = 'startEvent'").groupBy("case_id", "process_id").agg(F.min("elem_id").alias("start"))
+    edges = t["edges"].select("case_id", "process_id", "src", "dst").join(starts, ["case_id", "process_id"])
+    process = F.concat_ws("\u0001", "case_id", "process_id").alias("process")
+    gates = t["elements"].filter("elem_type = 'Gateway'").select(process, "elem_id")
+    pairs = graph.sese_pairs(edges.select(process, "start", "src", "dst"), gates, "process")
+    pairs = pairs.select(F.substring_index("process", "\u0001", 1).alias("case_id"), F.col("open"), F.col("close").alias("src"))
+    return pairs.join(order, ["case_id", "src"]).select("case_id", F.col("open").alias("src"), "dst")
+
+
 def _cut(chosen: DataFrame, dense: DataFrame, elements: DataFrame, sentences: DataFrame, config: Config) -> DataFrame:
     """Elements that the predictor calls missing, and those on the dummy, lose their sentence. Gateways take no part in the statistics."""
     plain = elements.filter(~F.col("is_gateway")).select("case_id", "elem_id")
