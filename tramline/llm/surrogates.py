@@ -217,7 +217,9 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text
     value has one surrogate in the whole corpus, whatever its writing (coreference), and two values never share one,
     nor is a surrogate some other real value (distinctness). Phones keep their country's first digit, cards their first
     digit and the validity of the check digit, IBANs their country and a right check number, emails their pattern and
-    top domain (equal domains stay equal), secrets their alphabet, names their gender, script and capitals.
+    top domain (equal domains stay equal), secrets their alphabet, names their gender, script and capitals. Names map word by
+    word, so a surname alone keeps its surrogate; a first name is an entity of the gender its title tells, so the same first
+    name after Mrs and after Dr, which tells none, has two.
     Null texts stay null, empty ones empty, both without entities; texts without entities are unchanged. Repeated rows
     come out alike. Other columns are passed through under any name but "entities", which is replaced. An empty table
     gives an empty result.
