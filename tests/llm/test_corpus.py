@@ -116,6 +116,46 @@ def test_simhash(docs, empty, real):
     assert simhash.near_dedup(empty).count() == 0
 
 
+def slow_similar(texts, words=5, least=0.8):
+    """Smallest id reachable over pairs whose word-shingle sets have a Jaccard similarity of `least`, by all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall("[^ \t\n\x0b\x0c\r]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[i] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+    part = {i: i for i in sets}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a and b and len(a & b) >= least * len(a | b) and part[i] != part[j]:
+                x, y = sorted((part[i], part[j]))
+                part = {n: x if p == y else p for n, p in part.items()}
+    return part
+
+
+@pytest.mark.parametrize("crowd", [5, 150])
+def test_similar_dedup(spark, crowd):
+    """Copies with up to a fifth of their words changed: a pair at a time, chains and crowds beyond the size that is paired."""
+    rng = np.random.default_rng(crowd)
+    texts = {n: t for n, t in enumerate([None, "", " \n", "one", "ONE", "two words", "Two  words", "a b c d e", "a b c d e f"])}
+    for _ in range(3):
+        base = rng.integers(0, 5000, 120).tolist()
+        for _ in range(crowd):
+            copy = list(base)
+            for at in rng.integers(0, 120, int(rng.integers(0, 6))):
+                copy[at] = int(rng.integers(5000, 9000))
+            texts[len(texts)] = " ".join(f"w{x}" for x in copy)
+    df = spark.createDataFrame([*texts.items(), (None, "one"), (7, "a b c d e")], "doc_id long, text string").withColumn("node", F.lit(1))
+    got = {r.doc_id: r.component_id for r in simhash.similar_dedup(df).collect()}
+    assert {n: got.get(n, n) for n in texts} == slow_similar(texts)
+    assert simhash.similar_dedup(df.filter("false")).count() == 0
+
+
+def test_similar_dedup_on_documents(spark, docs, real):
+    for df in (docs, real):
+        texts = {r.doc_id: r.text for r in df.collect() if r.doc_id is not None}
+        got = {r.doc_id: r.component_id for r in simhash.similar_dedup(df).collect()}
+        assert {n: got.get(n, n) for n in texts} == slow_similar(texts)
+
+
 @pytest.mark.parametrize("crowd", [5, 400])
 def test_links_lose_nothing(spark, crowd):
     """Far fingerprints, chains, and crowds of near ones over the size that is paired."""
@@ -382,7 +422,7 @@ def test_pipeline(spark, data):
     for i, t in left.items():
         groups.setdefault(re.sub("[ \t\n\x0b\x0c\r]", "", t), []).append((-len(t), i))
     left = {i: left[i] for i in (min(g)[1] for g in groups.values())}
-    parts = slow_components({i: simhash.simhash(t) for i, t in left.items()})
+    parts = slow_similar(left)
     left = {i: t for i, t in left.items() if parts[i] == i}
     got = pandas(P.run(spark, data))
     assert set(got.doc_id) == set(left)

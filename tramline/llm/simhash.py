@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial, reduce
 from itertools import combinations
 
@@ -21,6 +21,12 @@ _MOST_PAIRED = 8
 _BLOCKS = 4
 _SLICE = 1 << 16
 
+#: Parameters of similar_dedup: words a shingle, the least Jaccard similarity of a link, bits beyond which a pair is discarded.
+SIMILAR_WORDS, LEAST_SIMILARITY, FAR_BITS = 5, 0.8, 26
+#: Keys of a document and minima a key, for all documents and for those in crowds. A pair of similarity 0.8 shares no
+#: key once in 300,000 times, in crowds once in 9,000 times; one of 0.85 never to speak of.
+_KEYS = [(24, 4), (128, 12)]
+
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
@@ -32,21 +38,32 @@ TURNED = [BASE ^ (1 << i) for i in range(64)]
 SPREAD = [xxhash.xxh64_intdigest(b"pivot", i) for i in range(1, 17)]
 
 
-def simhash(text: str | None, words: int = WORDS, seed: int = 42) -> int:
-    """The unsigned fingerprint of one text; see near_dedup."""
+def shingle_hashes(text: str | None, words: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """The XXH64 of a text's shingles in order, repeats included, in slices of bounded size."""
     tokens = (text or "").encode().lower().split()  # of bytes: ASCII letters and ASCII white space only
     if not tokens:
-        return 0
+        return
     n = max(1, len(tokens) - words + 1)
     shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)))) if len(tokens) >= words else iter([b" ".join(tokens)])
     hashes = map(partial(xxhash.xxh64_intdigest, seed=seed), shingles)
-    ones = np.zeros(64, np.int64)
     for start in range(0, n, _SLICE):
-        h = np.fromiter(hashes, np.uint64, min(_SLICE, n - start))
+        yield np.fromiter(hashes, np.uint64, min(_SLICE, n - start))
+
+
+def majority(slices: Iterable[np.ndarray]) -> int:
+    """The fingerprint of hashes: a bit is set if over half of them have it."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in slices:
         ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def simhash(text: str | None, words: int = WORDS, seed: int = 42) -> int:
+    """The unsigned fingerprint of one text; see near_dedup."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter((simhash(t, words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
@@ -127,5 +144,100 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+#: Odd multipliers, one a minimum; the order of the products is the order of a shuffle of the shingles.
+_SHUFFLES = np.array([xxhash.xxh64_intdigest(b"minimum", i) | 1 for i in range(max(k * m for k, m in _KEYS))], np.uint64)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], words: int, keys: int, minima: int) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (id, fingerprint of the distinct shingles, their number, keys)."""
+    shuffles = _SHUFFLES[: keys * minima]
+    rows_at_once = max(1, _SLICE * 4 // len(shuffles))
+    for batch in batches:
+        prints, sizes, found = [], [], []
+        for text in batch.column(1).to_pylist():
+            h = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
+            prints.append(_signed(majority([h])))
+            sizes.append(len(h))
+            if not len(h):
+                found.append([])
+                continue
+            least = np.full(len(shuffles), np.iinfo(np.uint64).max, np.uint64)
+            for at in range(0, len(h), rows_at_once):
+                np.minimum(least, (h[at : at + rows_at_once, None] * shuffles).min(axis=0), out=least)
+            rows = least.astype("<u8").reshape(keys, minima)
+            found.append([_signed(xxhash.xxh64_intdigest(row.tobytes(), n)) for n, row in enumerate(rows)])
+        columns = [batch.column(0), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["_id", "_fp", "_n", "_keys"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, words)])).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["_id", "_set"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        similar = []
+        for a, b in zip(batch.column(2), batch.column(3)):
+            x, y = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            similar.append(both >= least * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(similar, pa.bool_()))
+
+
+def _candidates(docs: DataFrame, words: int, keys: int, minima: int, least: float, far_bits: int) -> tuple[DataFrame, DataFrame]:
+    """docs(_id, _text) -> pairs (u, v) that share a key and are not discarded, and the ids (_id) that are in a crowd."""
+    sketched = checkpointed(docs.mapInArrow(lambda it: _sketches(it, words, keys, minima), "_id long, _fp long, _n long, _keys array<long>"))
+    far = F.array(*[_distance(F.col("_fp"), F.lit(_signed(p))).cast("byte") for p in SPREAD])
+    members = sketched.select(F.explode("_keys").alias("_key"), F.struct(F.col("_id").alias("node"), F.col("_fp").alias("fp"), F.col("_n").alias("n"), far.alias("far")).alias("_x"))
+    pick = F.min_by(F.col("_x"), F.xxhash64("_key", "_x.node"))
+    groups = members.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), pick.alias("_y")).filter("_size > 1")
+    met = members.join(groups, "_key")
+    small = met.filter(F.col("_size") <= _MOST_PAIRED).groupBy("_key").agg(F.collect_list("_x").alias("_all"))
+    paired = small.select("_all", F.posexplode("_all").alias("_i", "_x")).select("_x", F.explode(F.slice("_all", 1, F.col("_i"))).alias("_y"))
+    crowded = met.filter(F.col("_size") > _MOST_PAIRED)
+    near = paired.union(crowded.select("_x", "_y")).filter("_x.node <> _y.node").filter(F.least("_x.n", "_y.n") >= F.lit(least) * F.greatest("_x.n", "_y.n"))
+    near = near.filter(F.array_max(F.zip_with("_x.far", "_y.far", lambda a, b: F.abs(a - b))) <= far_bits)
+    near = near.filter(_distance(F.col("_x.fp"), F.col("_y.fp")) <= far_bits)
+    return near.select(F.greatest("_x.node", "_y.node").alias("u"), F.least("_x.node", "_y.node").alias("v")), crowded.select(F.col("_x.node").alias("_id")).distinct()
+
+
+def similar_links(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = LEAST_SIMILARITY, far_bits: int = FAR_BITS) -> DataFrame:
+    """docs(_id, _text) -> edges (u, v) between texts whose sets of shingles have a Jaccard similarity of `least` or more.
+
+    At 0.8 fingerprints differ by some ten bits, too many for keys made of their bits. So candidates share a key of
+    four minima of the shingles' hashes; sizes too different and pairs whose distances to a pivot differ by more than
+    far_bits anywhere are discarded, then those whose fingerprints do; survivors are verified by their whole shingle sets.
+
+    Groups of up to eight are paired. In a larger group (a crowd of near copies, a passage that many short texts share)
+    every member meets the one member that a hash picks, another in each key. Members of crowds have further keys, more
+    and finer ones, which part the crowd into small groups that are paired. Work grows with the members, and no group
+    over eight is gathered.
+    """
+    docs = docs.filter("_id is not null")
+    coarse, crowd = _candidates(docs, words, *_KEYS[0], least, far_bits)
+    fine, _ = _candidates(docs.join(checkpointed(crowd), "_id", "left_semi").select("_id", "_text"), words, *_KEYS[1], least, far_bits)
+    pairs = checkpointed(coarse.union(fine).distinct())
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct()
+    sets = docs.join(wanted, "_id", "left_semi").select("_id", "_text").mapInArrow(lambda it: _sets(it, words), "_id long, _set binary")
+    sets = sets.groupBy("_id").agg(F.max("_set").alias("_set"))  # rows that repeat an id
+    joined = pairs.join(sets.select(F.col("_id").alias("u"), F.col("_set").alias("_a")), "u").join(sets.select(F.col("_id").alias("v"), F.col("_set").alias("_b")), "v")
+    return joined.select("u", "v", "_a", "_b").mapInArrow(lambda it: _verified(it, least), "u long, v long")
+
+
+def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """-> (id_col, component_id) of the documents linked to another: component_id is the smallest id reachable.
+
+    Texts are lower-cased and split as in near_dedup; links are those of similar_links. Fewer words than a shingle has
+    are one shingle. Null and empty texts and those without words have no shingles and no links, nor have rows without
+    an id. Of rows that repeat an id, each is looked up by its own keys and verified by one of the texts. Other columns
+    are ignored. An empty table gives an empty result.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    found = connected_components(similar_links(base, words, least))
+    return found.select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
