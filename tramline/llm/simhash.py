@@ -186,44 +186,61 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(similar, pa.bool_()))
 
 
-def _candidates(docs: DataFrame, words: int, keys: int, minima: int, least: float, far_bits: int) -> tuple[DataFrame, DataFrame]:
-    """docs(_id, _text) -> pairs (u, v) that share a key and are not discarded, and the ids (_id) that are in a crowd."""
+def _candidates(docs: DataFrame, words: int, keys: int, minima: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs(_id, _text) -> sketches (_id, _fp, _n), pairs (u, v) that share a key, and the ids (_id) in crowds."""
     sketched = checkpointed(docs.mapInArrow(lambda it: _sketches(it, words, keys, minima), "_id long, _fp long, _n long, _keys array<long>"))
-    far = F.array(*[_distance(F.col("_fp"), F.lit(_signed(p))).cast("byte") for p in SPREAD])
-    members = sketched.select(F.explode("_keys").alias("_key"), F.struct(F.col("_id").alias("node"), F.col("_fp").alias("fp"), F.col("_n").alias("n"), far.alias("far")).alias("_x"))
-    pick = F.min_by(F.col("_x"), F.xxhash64("_key", "_x.node"))
-    groups = members.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), pick.alias("_y")).filter("_size > 1")
+    members = sketched.select(F.explode("_keys").alias("_key"), "_id")
+    pick = F.min_by("_id", F.xxhash64("_id"))  # mostly the same member in all keys that a crowd shares
+    groups = members.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), pick.alias("_picked")).filter("_size > 1")
     met = members.join(groups, "_key")
-    small = met.filter(F.col("_size") <= _MOST_PAIRED).groupBy("_key").agg(F.collect_list("_x").alias("_all"))
-    paired = small.select("_all", F.posexplode("_all").alias("_i", "_x")).select("_x", F.explode(F.slice("_all", 1, F.col("_i"))).alias("_y"))
+    small = met.filter(F.col("_size") <= _MOST_PAIRED).groupBy("_key").agg(F.sort_array(F.collect_set("_id")).alias("_all"))
+    paired = small.select("_all", F.posexplode("_all").alias("_i", "u")).select("u", F.explode(F.slice("_all", 1, F.col("_i"))).alias("v"))
     crowded = met.filter(F.col("_size") > _MOST_PAIRED)
-    near = paired.union(crowded.select("_x", "_y")).filter("_x.node <> _y.node").filter(F.least("_x.n", "_y.n") >= F.lit(least) * F.greatest("_x.n", "_y.n"))
+    pairs = paired.union(crowded.select(F.greatest("_id", "_picked").alias("u"), F.least("_id", "_picked").alias("v"))).filter("u <> v").distinct()
+    return sketched.select("_id", "_fp", "_n"), pairs, crowded.select("_id").distinct()
+
+
+def _survivors(pairs: DataFrame, sketched: DataFrame, least: float, far_bits: int) -> DataFrame:
+    """The pairs that neither sizes nor pivot distances nor fingerprints discard."""
+    once = sketched.dropDuplicates(["_id"])
+    far = F.array(*[_distance(F.col("_fp"), F.lit(_signed(p))).cast("byte") for p in SPREAD])
+    table = once.select("_id", F.struct(F.col("_fp").alias("fp"), F.col("_n").alias("n"), far.alias("far")).alias("_x"))
+    near = pairs.join(table.withColumnRenamed("_id", "u"), "u").join(table.select(F.col("_id").alias("v"), F.col("_x").alias("_y")), "v")
+    near = near.filter(F.least("_x.n", "_y.n") >= F.lit(least) * F.greatest("_x.n", "_y.n"))
     near = near.filter(F.array_max(F.zip_with("_x.far", "_y.far", lambda a, b: F.abs(a - b))) <= far_bits)
-    near = near.filter(_distance(F.col("_x.fp"), F.col("_y.fp")) <= far_bits)
-    return near.select(F.greatest("_x.node", "_y.node").alias("u"), F.least("_x.node", "_y.node").alias("v")), crowded.select(F.col("_x.node").alias("_id")).distinct()
+    return near.filter(_distance(F.col("_x.fp"), F.col("_y.fp")) <= far_bits).select("u", "v")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs whose whole shingle sets have a similarity of `least` or more."""
+    pairs = checkpointed(pairs)
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct()
+    sets = docs.join(wanted, "_id", "left_semi").select("_id", "_text").mapInArrow(lambda it: _sets(it, words), "_id long, _set binary")
+    sets = sets.groupBy("_id").agg(F.max("_set").alias("_set"))  # rows that repeat an id
+    joined = pairs.join(sets.select(F.col("_id").alias("u"), F.col("_set").alias("_a")), "u").join(sets.select(F.col("_id").alias("v"), F.col("_set").alias("_b")), "v")
+    return checkpointed(joined.select("u", "v", "_a", "_b").mapInArrow(lambda it: _verified(it, least), "u long, v long"))
 
 
 def similar_links(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = LEAST_SIMILARITY, far_bits: int = FAR_BITS) -> DataFrame:
-    """docs(_id, _text) -> edges (u, v) between texts whose sets of shingles have a Jaccard similarity of `least` or more.
+    """docs(_id, _text) -> edges (u, v) that connect what pairs of a Jaccard similarity of `least` or more connect.
 
     At 0.8 fingerprints differ by some ten bits, too many for keys made of their bits. So candidates share a key of
     four minima of the shingles' hashes; sizes too different and pairs whose distances to a pivot differ by more than
     far_bits anywhere are discarded, then those whose fingerprints do; survivors are verified by their whole shingle sets.
 
     Groups of up to eight are paired. In a larger group (a crowd of near copies, a passage that many short texts share)
-    every member meets the one member that a hash picks, another in each key. Members of crowds have further keys, more
-    and finer ones, which part the crowd into small groups that are paired. Work grows with the members, and no group
-    over eight is gathered.
+    every member meets the one member that a hash picks. Members of crowds have further keys, more and finer ones, which
+    part the crowd into small groups; their pairs are verified unless links found before connect them already. Work grows
+    with the members, and no group over eight is gathered.
     """
     docs = docs.filter("_id is not null")
-    coarse, crowd = _candidates(docs, words, *_KEYS[0], least, far_bits)
-    fine, _ = _candidates(docs.join(checkpointed(crowd), "_id", "left_semi").select("_id", "_text"), words, *_KEYS[1], least, far_bits)
-    pairs = checkpointed(coarse.union(fine).distinct())
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct()
-    sets = docs.join(wanted, "_id", "left_semi").select("_id", "_text").mapInArrow(lambda it: _sets(it, words), "_id long, _set binary")
-    sets = sets.groupBy("_id").agg(F.max("_set").alias("_set"))  # rows that repeat an id
-    joined = pairs.join(sets.select(F.col("_id").alias("u"), F.col("_set").alias("_a")), "u").join(sets.select(F.col("_id").alias("v"), F.col("_set").alias("_b")), "v")
-    return joined.select("u", "v", "_a", "_b").mapInArrow(lambda it: _verified(it, least), "u long, v long")
+    sketched, coarse, crowd = _candidates(docs, words, *_KEYS[0])
+    found = _verify(_survivors(coarse, sketched, least, far_bits), docs, words, least)
+    _, fine, _ = _candidates(docs.join(crowd, "_id", "left_semi").select("_id", "_text"), words, *_KEYS[1])
+    part = checkpointed(connected_components(found))
+    apart = fine.join(part.select(F.col("node").alias("u"), F.col("component").alias("_p")), "u", "left").join(part.select(F.col("node").alias("v"), F.col("component").alias("_q")), "v", "left")
+    apart = apart.filter(F.coalesce("_p", "u") != F.coalesce("_q", "v")).select("u", "v")
+    return found.union(_verify(_survivors(apart, sketched, least, far_bits), docs, words, least))
 
 
 def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, least: float = LEAST_SIMILARITY) -> DataFrame:
