@@ -149,6 +149,26 @@ def test_similar_dedup(spark, crowd):
     assert simhash.similar_dedup(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("edits", [0, 1])
+def test_crowds_that_no_key_parts_lose_no_link(spark, monkeypatch, edits):
+    """A passage that gives all a similarity a little under the threshold, and pairs just over it; with edits, each in a passage of its own."""
+    monkeypatch.setattr(simhash, "_CELL_ROWS", 32, raising=False)
+    rng = np.random.default_rng(5)
+    word = iter(f"w{n}" for n in range(10**6))
+    passage, texts = [next(word) for _ in range(100)], {}
+    for n in range(400):
+        own = list(passage)
+        for at in rng.integers(0, 100, edits):
+            own[at] = next(word)
+        first = next(word)
+        for _ in range(2 if n < 80 else 1):
+            texts[len(texts)] = " ".join([*own, first, *(next(word) for _ in range(12 if not edits else 6))])
+    got = {r.doc_id: r.component_id for r in simhash.similar_dedup(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    expected = slow_similar(texts)
+    assert 80 <= len(texts) - len(set(expected.values())) and (edits or len(set(expected.values())) == 400)
+    assert {n: got.get(n, n) for n in texts} == expected
+
+
 def test_similar_dedup_on_documents(spark, docs, real):
     for df in (docs, real):
         texts = {r.doc_id: r.text for r in df.collect() if r.doc_id is not None}

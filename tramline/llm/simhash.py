@@ -7,6 +7,7 @@ from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +25,10 @@ _SLICE = 1 << 16
 #: Parameters of similar_dedup: words a shingle, the least Jaccard similarity of a link, bits beyond which a pair is discarded.
 SIMILAR_WORDS, LEAST_SIMILARITY, FAR_BITS = 5, 0.8, 26
 #: Keys of a document and minima a key, for all documents and for those in crowds. A pair of similarity 0.8 shares no
-#: key once in 300,000 times, in crowds once in 9,000 times; one of 0.85 never to speak of.
+#: key once in 300,000 times, in crowds once in 9,000 times; one of 0.85 never to speak of. Sharing a key is enough.
 _KEYS = [(24, 4), (128, 12)]
+#: Members of a crowd, and of its leads, that meet in one task; shingles counted at a time there.
+_CELL_ROWS, _CELL_SHINGLES = 256, 4096
 
 
 def _signed(x: int) -> int:
@@ -187,7 +190,7 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
 
 
 def _candidates(docs: DataFrame, words: int, keys: int, minima: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs(_id, _text) -> sketches (_id, _fp, _n), pairs (u, v) that share a key, and the ids (_id) in crowds."""
+    """docs(_id, _text) -> sketches (_id, _fp, _n), pairs (u, v) that share a key, and the crowds (_key, _id, _picked)."""
     sketched = checkpointed(docs.mapInArrow(lambda it: _sketches(it, words, keys, minima), "_id long, _fp long, _n long, _keys array<long>"))
     members = sketched.select(F.explode("_keys").alias("_key"), "_id")
     pick = F.min_by("_id", F.xxhash64("_id"))  # mostly the same member in all keys that a crowd shares
@@ -197,7 +200,7 @@ def _candidates(docs: DataFrame, words: int, keys: int, minima: int) -> tuple[Da
     paired = small.select("_all", F.posexplode("_all").alias("_i", "u")).select("u", F.explode(F.slice("_all", 1, F.col("_i"))).alias("v"))
     crowded = met.filter(F.col("_size") > _MOST_PAIRED)
     pairs = paired.union(crowded.select(F.greatest("_id", "_picked").alias("u"), F.least("_id", "_picked").alias("v"))).filter("u <> v").distinct()
-    return sketched.select("_id", "_fp", "_n"), pairs, crowded.select("_id").distinct()
+    return sketched.select("_id", "_fp", "_n"), pairs, crowded.select("_key", "_id", "_picked")
 
 
 def _survivors(pairs: DataFrame, sketched: DataFrame, least: float, far_bits: int) -> DataFrame:
@@ -211,16 +214,120 @@ def _survivors(pairs: DataFrame, sketched: DataFrame, least: float, far_bits: in
     return near.filter(_distance(F.col("_x.fp"), F.col("_y.fp")) <= far_bits).select("u", "v")
 
 
+def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    sets = docs.select("_id", "_text").mapInArrow(lambda it: _sets(it, words), "_id long, _set binary")
+    return sets.groupBy("_id").agg(F.max("_set").alias("_set"))  # rows that repeat an id
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs whose whole shingle sets have a similarity of `least` or more."""
     pairs = checkpointed(pairs)
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct()
-    sets = docs.join(wanted, "_id", "left_semi").select("_id", "_text").mapInArrow(lambda it: _sets(it, words), "_id long, _set binary")
-    sets = sets.groupBy("_id").agg(F.max("_set").alias("_set"))  # rows that repeat an id
+    sets = _shingle_sets(docs.join(wanted, "_id", "left_semi"), words)
     joined = pairs.join(sets.select(F.col("_id").alias("u"), F.col("_set").alias("_a")), "u").join(sets.select(F.col("_id").alias("v"), F.col("_set").alias("_b")), "v")
     return checkpointed(joined.select("u", "v", "_a", "_b").mapInArrow(lambda it: _verified(it, least), "u long, v long"))
 
 
+def _named(df: DataFrame, parts: DataFrame, node: str, out: str) -> DataFrame:
+    """With the component of each node, or itself where it has none."""
+    return df.join(parts.select(F.col("node").alias(node), F.col("component").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for crowd, key, own in zip(*(c.to_pylist() for c in batch.columns)):
+            shingles = np.frombuffer(own, "<i8")
+            for at in range(0, len(shingles), _SLICE):
+                part = shingles[at : at + _SLICE]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), crowd)), pa.array(np.full(len(part), key)), pa.array(part)], ["_crowd", "_id", "_shingle"])
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The number of shingles that each set of x shares with each of y."""
+    flat = [np.concatenate(s) for s in (x, y)]
+    both = np.intersect1d(*flat)
+    rows, columns = [], []
+    for sets, f in zip((x, y), flat):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(both, f)
+        met = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == f) if len(both) else np.zeros(len(f), bool)
+        order = np.argsort(at[met], kind="stable")
+        rows.append(row[met][order])
+        columns.append(at[met][order])
+    out = np.zeros((len(x), len(y)), np.int64)
+    for start in range(0, len(both), _CELL_SHINGLES):
+        held = []
+        for sets, row, column in zip((x, y), rows, columns):
+            a, b = np.searchsorted(column, [start, start + _CELL_SHINGLES])
+            m = np.zeros((len(sets), _CELL_SHINGLES), np.float32)
+            m[row[a:b], column[a:b] - start] = 1
+            held.append(m)
+        out += (held[0] @ held[1].T).astype(np.int64)
+    return out
+
+
+def _met(least: float):
+    def run(members: pd.DataFrame, leads: pd.DataFrame) -> pd.DataFrame:
+        """The links between a block of members and one of leads, one for each two components."""
+        if not len(members) or not len(leads):
+            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+        x, y = ([np.frombuffer(s, "<u8") for s in d["_set"]] for d in (members, leads))
+        both = _shared(x, y)
+        sizes = [np.array([len(s) for s in z]) for z in (x, y)]
+        similar = both >= least * (sizes[0][:, None] + sizes[1][None, :] - both)
+        i, j = np.nonzero(similar & (members["_part"].to_numpy()[:, None] != leads["_part"].to_numpy()[None, :]))
+        found = pd.DataFrame({"u": members["_id"].to_numpy()[i], "v": leads["_id"].to_numpy()[j], "p": members["_part"].to_numpy()[i], "q": leads["_part"].to_numpy()[j]})
+        return found.drop_duplicates(["p", "q"])[["u", "v"]]
+
+    return run
+
+
+def _dealt(df: DataFrame, block: str, owner: str) -> DataFrame:
+    """With the name of a row's block in its crowd; a component over a block's size has blocks of its own, and its name as owner."""
+    sizes = df.groupBy("_crowd", "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_large", F.col("_n") > _CELL_ROWS)
+    sizes = sizes.withColumn("_owner", F.when(F.col("_large"), F.col("_part")).otherwise(F.lit(0)))
+    blocks = sizes.groupBy("_crowd", "_large", "_owner").agg(F.ceil(F.sum("_n") / _CELL_ROWS).alias("_blocks"))
+    known = sizes.join(blocks, ["_crowd", "_large", "_owner"]).select("_crowd", "_part", "_large", "_owner", "_blocks")
+    named = F.concat_ws(":", F.col("_large").cast("string"), "_owner", F.pmod(F.xxhash64("_id"), "_blocks"))
+    return df.join(known, ["_crowd", "_part"]).select(*df.columns, named.alias(block), F.when(F.col("_large"), F.col("_owner")).alias(owner))
+
+
+def _crowd_links(rest: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """rest(_id, _picked, _part), the members of groups that no key parts -> edges that connect all that links among them connect.
+
+    Exact, within each crowd (groups with common members). A shingle is rare if up to eight members hold it, else
+    common. Two linked members share a rare shingle, then they are paired and verified; or all they share is common.
+    Of members with the same common shingles, the one with the fewest shingles in all leads. If x and y share no rare
+    shingle, x is at least as similar to the lead of y's as to y, y to the lead of x's, and the leads to each other, so
+    members have to meet the leads alone. Only those of whose shingles a part of `least` is common need to. A passage that
+    all share makes one lead; where most members differ in common shingles, all blocks of them meet.
+    """
+    crowds = connected_components(rest.select(F.col("_id").alias("u"), F.col("_picked").alias("v")))
+    members = rest.select("_id", "_part").distinct().join(crowds.select(F.col("node").alias("_id"), F.col("component").alias("_crowd")), "_id")
+    sets = _shingle_sets(docs.join(members, "_id", "left_semi"), words)
+    members = checkpointed(members.join(sets, "_id").select("_crowd", "_id", "_part", "_set"))
+    shingles = members.select("_crowd", "_id", "_set").mapInArrow(_exploded, "_crowd long, _id long, _shingle long")
+    counts = shingles.groupBy("_crowd", "_shingle").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    rare = shingles.join(counts.filter(F.col("_n") <= _MOST_PAIRED), ["_crowd", "_shingle"]).groupBy("_crowd", "_shingle").agg(F.sort_array(F.collect_set("_id")).alias("_all"))
+    rare = rare.select("_all", F.posexplode("_all").alias("_i", "u")).select("u", F.explode(F.slice("_all", 1, F.col("_i"))).alias("v")).distinct()
+    parts = members.select(F.col("_id").alias("node"), F.col("_part").alias("component"))
+    paired = _verify(_named(_named(rare, parts, "u", "_p"), parts, "v", "_q").filter("_p <> _q").select("u", "v"), docs, words, least)
+    common = shingles.join(counts.filter(F.col("_n") > _MOST_PAIRED).select("_crowd", "_shingle"), ["_crowd", "_shingle"], "left_semi")
+    common = common.groupBy("_id").agg(F.sort_array(F.collect_list("_shingle")).alias("_common"))
+    common = common.select("_id", F.size("_common").alias("_n_common"), F.sha2(F.array_join(F.col("_common").cast("array<string>"), ","), 256).alias("_like"))
+    n = F.octet_length("_set") / 8
+    rich = checkpointed(members.join(common, "_id").filter(F.col("_n_common") >= F.lit(least) * n))
+    first = rich.groupBy("_crowd", "_like").agg(F.min(F.struct(n.alias("n"), "_id"))["_id"].alias("_id")).select("_id")
+    columns = ["_crowd", "_id", "_part", "_set"]
+    x, y = _dealt(rich.select(*columns), "_a", "_a_owner"), _dealt(rich.join(first, "_id", "left_semi").select(*columns), "_b", "_b_owner")
+    cells = x.select("_crowd", "_a", "_a_owner").distinct().join(y.select("_crowd", "_b", "_b_owner").distinct(), "_crowd")
+    cells = checkpointed(cells.filter(F.coalesce(F.col("_a_owner") != F.col("_b_owner"), F.lit(True))).select("_crowd", "_a", "_b"))
+    keys = ["_crowd", "_a", "_b"]
+    # named anew on both sides, as they come of one table
+    sides = [df.join(cells, ["_crowd", own]).select(*[F.col(c).alias(c) for c in (*keys, "_id", "_part", "_set")]).groupBy(*keys) for df, own in ((x, "_a"), (y, "_b"))]
+    return paired.union(checkpointed(sides[0].cogroup(sides[1]).applyInPandas(_met(least), "u long, v long")))
+
+
 def similar_links(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = LEAST_SIMILARITY, far_bits: int = FAR_BITS) -> DataFrame:
     """docs(_id, _text) -> edges (u, v) that connect what pairs of a Jaccard similarity of `least` or more connect.
 
@@ -230,17 +337,23 @@ def similar_links(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = LE
 
     Groups of up to eight are paired. In a larger group (a crowd of near copies, a passage that many short texts share)
     every member meets the one member that a hash picks. Members of crowds have further keys, more and finer ones, which
-    part the crowd into small groups; their pairs are verified unless links found before connect them already. Work grows
-    with the members, and no group over eight is gathered.
+    part the crowd into small groups; their pairs are verified unless links found before connect them already. Groups
+    over eight that even these keys leave, and that links have not made one component, get their links from
+    _crowd_links. Work grows with the members, but for crowds without an order of their own there.
     """
     docs = docs.filter("_id is not null")
     sketched, coarse, crowd = _candidates(docs, words, *_KEYS[0])
     found = _verify(_survivors(coarse, sketched, least, far_bits), docs, words, least)
-    _, fine, _ = _candidates(docs.join(crowd, "_id", "left_semi").select("_id", "_text"), words, *_KEYS[1])
+    _, fine, crowd = _candidates(docs.join(crowd.select("_id").distinct(), "_id", "left_semi").select("_id", "_text"), words, *_KEYS[1])
     part = checkpointed(connected_components(found))
-    apart = fine.join(part.select(F.col("node").alias("u"), F.col("component").alias("_p")), "u", "left").join(part.select(F.col("node").alias("v"), F.col("component").alias("_q")), "v", "left")
-    apart = apart.filter(F.coalesce("_p", "u") != F.coalesce("_q", "v")).select("u", "v")
-    return found.union(_verify(_survivors(apart, sketched, least, far_bits), docs, words, least))
+    apart = _named(_named(fine, part, "u", "_p"), part, "v", "_q").filter("_p <> _q").select("u", "v")
+    more = _verify(_survivors(apart, sketched, least, far_bits), docs, words, least)
+    over = connected_components(_named(_named(more, part, "u", "_p"), part, "v", "_q").select(F.col("_p").alias("u"), F.col("_q").alias("v")))
+    held = _named(_named(crowd, part, "_id", "_p"), over, "_p", "_part")
+    unsettled = held.groupBy("_key").agg(F.min("_part").alias("_p"), F.max("_part").alias("_q")).filter("_p <> _q").select("_key")
+    rest = checkpointed(held.join(unsettled, "_key", "left_semi").select("_id", "_picked", "_part").distinct())
+    found = found.union(more)
+    return found.union(_crowd_links(rest, docs, words, least)) if rest.head(1) else found
 
 
 def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, least: float = LEAST_SIMILARITY) -> DataFrame:
