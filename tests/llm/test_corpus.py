@@ -324,6 +324,20 @@ def test_nearest_edges(spark):
     assert all(list(g.sort_values("rank").vec_id) == [i for i in range(5) if i != q][:4] for q, g in hot.groupby("query_id")) and hot.query_id.nunique() == 300
 
 
+def test_nearest_goes_on_until_it_has_enough(spark):
+    """Few rows in 128 buckets, and a query opposite a hot cluster: the buckets probed first hold too few."""
+    rng = np.random.default_rng(1)
+    few = rng.normal(size=(15, 64))
+    centre = rng.normal(size=64)
+    hot = np.vstack([-centre[None, :], centre + 0.01 * rng.normal(size=(600, 64))])
+    for x in (few, hot):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = pandas(nearest.search(df, df.filter("vec_id = 0"), k=20)).sort_values("rank")
+        assert len(got) == min(20, len(x) - 1)
+        if len(x) < 21:
+            assert list(got.vec_id) == sorted(range(1, 15), key=lambda i: -float(x[0] @ x[i]))
+
+
 def test_quality(spark, docs, empty, data):
     real, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
     model = quality.fit(real, labels)

@@ -68,7 +68,7 @@ def _cells(batches: Iterator[pa.RecordBatch], tables: int, probes: int, rows: di
     """Deal vectors to cells (dim, table, bucket, row block, query block).
 
     A row lies in one block of its bucket in each table and meets every query block there; a query goes to one
-    query block and meets every row block. asks None: only the buckets, for counting.
+    query block and meets every row block. asks None: only the buckets, for counting; a query's are those with rows.
     """
     for batch in batches:
         out: list[list] = [[], [], [], [], [], [], []]
@@ -83,13 +83,13 @@ def _cells(batches: Iterator[pa.RecordBatch], tables: int, probes: int, rows: di
                         if query and p >= probes and (t > 0 or seen >= least):
                             break
                         cell = (dim, t, bucket)
+                        held = rows.get(cell, 0)
+                        if query and not held:
+                            continue
+                        seen += held
                         if asks is None:
                             blocks = [(0, 0)]
                         else:
-                            held = rows.get(cell, 0)
-                            if query and not held:
-                                continue
-                            seen += held
                             across, down = -(-held // _BLOCK_ROWS), -(-asks.get(cell, 0) // _BLOCK_QUERIES)
                             mix = (int(key) * 0x9E3779B97F4A7C15 >> 13) & 0xFFFFFFFF
                             blocks = [(a, mix % max(1, down)) for a in range(across)] if query else [(mix % max(1, across), b) for b in range(down)]
@@ -156,8 +156,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, tables:
     length append a coordinate that makes lengths equal first.
     """
     rows, asks = (_valid(df, id_col, vec_col) for df in (vectors, queries))
-    light = [df.mapInArrow(lambda it, q=q: _cells(it, tables, probes, {}, None, 0, q), _CELL).groupBy("dim", "tab", "bucket").count().collect() for df, q in ((rows, False), (asks, True))]
-    held, asked = ({(r[0], r[1], r[2]): r[3] for r in counts} for counts in light)
+
+    def counted(df: DataFrame, rows: dict, query: bool) -> dict[tuple[int, int, int], int]:
+        cells = df.mapInArrow(lambda it: _cells(it, tables, probes, rows, None, k + 1, query), _CELL)
+        return {(r[0], r[1], r[2]): r[3] for r in cells.groupBy("dim", "tab", "bucket").count().collect()}
+
+    held = counted(rows, {}, False)
+    asked = counted(asks, held, True)  # with the further buckets that a query goes on to
     dealt = [df.mapInArrow(lambda it, q=q: _cells(it, tables, probes, held, asked, k + 1, q), _CELL) for df, q in ((rows, False), (asks, True))]
     met = dealt[0].groupBy(*_KEYS).cogroup(dealt[1].groupBy(*_KEYS)).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
     once = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
