@@ -38,7 +38,15 @@ ENDINGS = {
 }
 
 _GENDER = {t: g for g, titles in TITLES.items() for t in titles}
-_NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True)) + r")\.? ((?:[^\W\d_a-zà-ÿа-яё][^\W\d_]+)(?: [^\W\d_a-zà-ÿа-яё][^\W\d_]+){0,2})")
+#: Words within a name that are none of it by themselves; they stay, as do initials.
+PARTICLES = ["van", "von", "vom", "zu", "zur", "der", "den", "dem", "ter", "ten", "de", "del", "della", "di", "da", "das", "dos", "do", "du", "des", "la", "le", "y", "e", "bin", "ibn", "al", "el"]
+_FIRST = r"[^\W\d_a-zà-ÿа-яё]"
+#: Letters, with a hyphen or an apostrophe before a letter; what English puts after an apostrophe is no part of the name.
+_WORD = _FIRST + r"(?:[^\W\d_]|[-‐'’](?!(?:s|d|m|t|ll|re|ve)\b)(?=[^\W\d_]))+"
+_WORDS = r"(?:(?:" + "|".join(PARTICLES) + "|" + _FIRST + r"\.) )*" + _WORD
+_NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True)) + rf")\.? ({_WORDS}(?: {_WORDS})*)")
+#: So many words of a name may be in a script without capitals; further ones begin with a capital.
+_WITHOUT_CAPITALS = 3
 #: In this order; a span that is taken is not looked at again. Of secrets, group 1 is what is replaced.
 PATTERNS = [
     ("secret", re.compile(r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\b\"?\s*[:=]\s*[\"']?([^\s\"',;<>]{6,})")),
@@ -71,29 +79,36 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     def free(a: int, b: int) -> bool:
         return all(b <= x[0] or a >= x[1] for x in found)
 
-    if _HINT.search(text) or any(w in text.lower() for w in ("password", "token", "secret", "passwd", "api", "access")):
-        for kind, pattern in PATTERNS:
-            for m in pattern.finditer(text):
-                a, b = m.span(1 if kind == "secret" else 0)
-                value = text[a:b].rstrip(".") if kind in ("email", "secret") else text[a:b]
-                b = a + len(value)
-                if not free(a, b) or kind == "iban" and _iban_rest(value.replace(" ", "")) != 1:
-                    continue
-                if kind == "card" and value.isdigit() and len(value) != 16 and not _luhn(value):
-                    continue  # some other long number
-                if kind == "email":
-                    value = value.lower()
-                elif kind in ("phone", "card", "iban", "ssn"):
-                    value = re.sub(r"[^A-Z0-9]", "", value)
-                found.append((a, b, kind, value))
+    hinted = _HINT.search(text)
+    for kind, pattern in PATTERNS:
+        if not hinted and kind != "secret":  # secrets need neither digits nor an @
+            continue
+        for m in pattern.finditer(text):
+            a, b = m.span(1 if kind == "secret" else 0)
+            value = text[a:b].rstrip(".") if kind in ("email", "secret") else text[a:b]
+            b = a + len(value)
+            if not free(a, b) or kind == "iban" and _iban_rest(value.replace(" ", "")) != 1:
+                continue
+            if kind == "card" and value.isdigit() and len(value) != 16 and not _luhn(value):
+                continue  # some other long number
+            if kind == "email":
+                value = value.lower()
+            elif kind in ("phone", "card", "iban", "ssn"):
+                value = re.sub(r"[^A-Z0-9]", "", value)
+            found.append((a, b, kind, value))
     if any(t in text for t in _GENDER):
         for m in _NAME.finditer(text):
-            words, at, gender = m[2].split(" "), m.start(2), _GENDER[m[1]]
-            for n, w in enumerate(words):
+            words, at, gender = [], m.start(2), _GENDER[m[1]]
+            for w in m[2].split(" "):
+                if w not in PARTICLES and not w.endswith("."):
+                    if len(words) >= _WITHOUT_CAPITALS and not w[0].isupper():
+                        break
+                    words.append((at, w))
+                at += len(w) + 1
+            for n, (at, w) in enumerate(words):
                 kind = "surname" if n == len(words) - 1 else f"given_{gender}"
                 if free(at, at + len(w)):
                     found.append((at, at + len(w), kind, w.casefold()))
-                at += len(w) + 1
     return sorted(found)
 
 
