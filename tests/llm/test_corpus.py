@@ -436,6 +436,17 @@ def test_wrapper(spark):
     assert wrapper.main_text(df.filter("false")).count() == 0
 
 
+def test_only_the_constant_text_of_most_pages_is_template(spark):
+    """A rare slot, and a slot that half of the pages fill alike; the others keep theirs. Nothing in an article is template."""
+    rows = [(f"http://a/{i}", f"<body><h1>t {i}</h1>" + (f"<blockquote>{'same' if i < 2 else f'other {i}'}</blockquote>" if i < 4 else "") + "</body>") for i in range(20)]
+    rows += [(f"http://b/{i}", f"<body><h3>m {i}</h3><div>{'like' if i < 4 else f'own {i}'}</div></body>") for i in range(8)]
+    rows += [(f"http://c/{i}", f"<body><article><h1>t {i}</h1><p>again</p></article></body>") for i in range(6)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.url: r.text for r in wrapper.main_text(df).collect()}
+    assert [got[f"http://a/{i}"] for i in (0, 1, 3)] == ["t 0\nsame", "t 1\nsame", "t 3\nother 3"]
+    assert got["http://b/0"] == "m 0" and got["http://b/7"] == "m 7\nown 7" and got["http://c/5"] == "t 5\nagain"
+
+
 def test_copies_make_no_template(spark):
     same = "<body><p>the same page</p></body>"
     df = spark.createDataFrame([(i, "http://h/", same) for i in range(9)], "page_id long, url string, html string")
