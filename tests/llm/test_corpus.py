@@ -447,6 +447,13 @@ def test_only_the_constant_text_of_most_pages_is_template(spark):
     assert got["http://b/0"] == "m 0" and got["http://b/7"] == "m 7\nown 7" and got["http://c/5"] == "t 5\nagain"
 
 
+def test_an_article_keeps_what_its_names_only_hint_at():
+    kept = '<h2 id="related-work">a</h2><section id="discussion">b</section><div class="entry-header"><h1>c</h1></div><p class="notice-period">d</p><div id="search-algorithms">e</div><div id="market-share">f</div>'
+    gone = '<div class="ad">g</div><ul class="share x">h</ul><div role="search">i</div><div class="x comments">j</div><nav>k</nav>'
+    assert wrapper.extract(f"<body><div class='page-header'>l</div><article>{kept}{gone}</article></body>") == "a\nb\nc\nd\ne\nf"
+    assert wrapper.extract("<body><div class='page-header'>l</div><div><h2 id='related-work'>a</h2><p class='notice-period'>b</p><p class='ad'>c</p></div></body>") == "a\nb"
+
+
 def test_copies_make_no_template(spark):
     same = "<body><p>the same page</p></body>"
     df = spark.createDataFrame([(i, "http://h/", same) for i in range(9)], "page_id long, url string, html string")
