@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,10 +25,13 @@ def fold_ascii(c: Column) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder; a folder of our own only where none is configured."""
+    """Cut the lineage with a checkpoint in the shared folder; a folder of our own only where none is configured and all runs in one process."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/tramline-{uuid.uuid4().hex}")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/tramline-{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
 
 
@@ -52,14 +56,13 @@ def numbered(df: DataFrame, key: str, bucket: Column, order: list[str], out: str
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges(u long, v long) -> (node, component): component is the smallest node that can be reached.
 
-    Alternates large-star and small-star steps. Each step is a map-side combined minimum by node and an
-    equi-join that sends every neighbour to it, so a hub's neighbours are never gathered in one place
-    (the join's large partitions can be split). A checkpoint ends each round; only two sums reach the driver.
+    Alternates large-star and small-star steps until all is stars. Each step is a map-side combined minimum by node
+    and an equi-join that sends every neighbour to it, so a hub's neighbours are never gathered in one place
+    (the join's large partitions can be split). A checkpoint ends each round; the driver sees one row at most.
     """
     now = checkpointed(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = _fingerprint(now)
     for _ in range(most_rounds):
-        if not mark[0]:
+        if not _unsettled(now).head(1):
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -67,16 +70,14 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(floor, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = checkpointed(floor.select("u", F.col("m").alias("v")).union(moved).distinct())
-        was, mark = mark, _fingerprint(now)
-        if was == mark:
-            break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    """Row count and an order-free sum over the edges, to see whether a round changed them."""
-    wide = F.xxhash64("u", "v").cast("decimal(38,0)")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(wide)).first())
+def _unsettled(edges: DataFrame) -> DataFrame:
+    """Nodes that keep edges (u > v) from being stars around the smaller end: with two smaller neighbours, or with a smaller and a larger one."""
+    ends = edges.select(F.col("u").alias("node"), "v", F.lit(False).alias("_top")).union(edges.select(F.col("v").alias("node"), F.lit(None).cast("long"), F.lit(True)))
+    found = ends.groupBy("node").agg(F.min("v").alias("_a"), F.max("v").alias("_b"), F.max("_top").alias("_top"))
+    return found.filter("_a <> _b or (_top and _a is not null)").select("node")

@@ -23,10 +23,13 @@ _BLOCKS = 4
 _SLICE = 1 << 16
 
 #: Parameters of similar_dedup: words a shingle, the least Jaccard similarity of a link, bits beyond which a pair is discarded.
-SIMILAR_WORDS, LEAST_SIMILARITY, FAR_BITS = 5, 0.8, 26
+#: Pairs with a document of fewer than FAR_SHINGLES shingles are not discarded: so few hashes make fingerprints that say little.
+SIMILAR_WORDS, LEAST_SIMILARITY, FAR_BITS, FAR_SHINGLES = 5, 0.8, 28, 32
 #: Keys of a document and minima a key, for all documents and for those in crowds. A pair of similarity 0.8 shares no
 #: key once in 300,000 times, in crowds once in 9,000 times; one of 0.85 never to speak of. Sharing a key is enough.
 _KEYS = [(24, 4), (128, 12)]
+#: Members of a group that its picked member meets in one task.
+_MEET = 64
 #: Members of a crowd, and of its leads, that meet in one task; shingles counted at a time there.
 _CELL_ROWS, _CELL_SHINGLES = 256, 4096
 
@@ -190,28 +193,39 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
 
 
 def _candidates(docs: DataFrame, words: int, keys: int, minima: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs(_id, _text) -> sketches (_id, _fp, _n), pairs (u, v) that share a key, and the crowds (_key, _id, _picked)."""
+    """docs(_id, _text) -> sketches (_id, _fp, _n), pairs (u, v, s) that share a key, and the crowds (_key, _id, _picked).
+
+    In a crowd v is the picked member, and s deals the many pairs that it has.
+    """
     sketched = checkpointed(docs.mapInArrow(lambda it: _sketches(it, words, keys, minima), "_id long, _fp long, _n long, _keys array<long>"))
     members = sketched.select(F.explode("_keys").alias("_key"), "_id")
     pick = F.min_by("_id", F.xxhash64("_id"))  # mostly the same member in all keys that a crowd shares
-    groups = members.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), pick.alias("_picked")).filter("_size > 1")
-    met = members.join(groups, "_key")
+    # written out, so that both sides of the join are dealt for it and a hot key's partition can be split
+    groups = checkpointed(members.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), pick.alias("_picked")).filter("_size > 1"))
+    met = checkpointed(members.join(groups, "_key"))
     small = met.filter(F.col("_size") <= _MOST_PAIRED).groupBy("_key").agg(F.sort_array(F.collect_set("_id")).alias("_all"))
-    paired = small.select("_all", F.posexplode("_all").alias("_i", "u")).select("u", F.explode(F.slice("_all", 1, F.col("_i"))).alias("v"))
+    paired = small.select("_all", F.posexplode("_all").alias("_i", "u")).select("u", F.explode(F.slice("_all", 1, F.col("_i"))).alias("v"), F.lit(0).alias("s"))
     crowded = met.filter(F.col("_size") > _MOST_PAIRED)
-    pairs = paired.union(crowded.select(F.greatest("_id", "_picked").alias("u"), F.least("_id", "_picked").alias("v"))).filter("u <> v").distinct()
-    return sketched.select("_id", "_fp", "_n"), pairs, crowded.select("_key", "_id", "_picked")
+    dealt = F.pmod(F.xxhash64("_id", F.lit(1)), F.ceil(F.col("_size") / _MEET)).cast("int")
+    pairs = paired.union(crowded.select(F.col("_id").alias("u"), F.col("_picked").alias("v"), dealt.alias("s")))
+    return sketched.select("_id", "_fp", "_n"), pairs.filter("u <> v").groupBy("u", "v").agg(F.min("s").alias("s")), crowded.select("_key", "_id", "_picked")
+
+
+def _both(pairs: DataFrame, known: DataFrame, what: str) -> DataFrame:
+    """pairs(u, v, s) with what is known of u as _x and of v as _y. A row of known goes to as many places as v's pairs are dealt to."""
+    places = pairs.groupBy("v").agg(F.max("s").alias("_most"))
+    second = known.select(F.col("_id").alias("v"), F.col(what).alias("_y")).join(places, "v").select("v", F.explode(F.sequence(F.lit(0), F.col("_most"))).alias("s"), "_y")
+    return pairs.join(known.select(F.col("_id").alias("u"), F.col(what).alias("_x")), "u").join(second, ["v", "s"])
 
 
 def _survivors(pairs: DataFrame, sketched: DataFrame, least: float, far_bits: int) -> DataFrame:
     """The pairs that neither sizes nor pivot distances nor fingerprints discard."""
-    once = sketched.dropDuplicates(["_id"])
     far = F.array(*[_distance(F.col("_fp"), F.lit(_signed(p))).cast("byte") for p in SPREAD])
-    table = once.select("_id", F.struct(F.col("_fp").alias("fp"), F.col("_n").alias("n"), far.alias("far")).alias("_x"))
-    near = pairs.join(table.withColumnRenamed("_id", "u"), "u").join(table.select(F.col("_id").alias("v"), F.col("_x").alias("_y")), "v")
-    near = near.filter(F.least("_x.n", "_y.n") >= F.lit(least) * F.greatest("_x.n", "_y.n"))
-    near = near.filter(F.array_max(F.zip_with("_x.far", "_y.far", lambda a, b: F.abs(a - b))) <= far_bits)
-    return near.filter(_distance(F.col("_x.fp"), F.col("_y.fp")) <= far_bits).select("u", "v")
+    table = sketched.dropDuplicates(["_id"]).select("_id", F.struct(F.col("_fp").alias("fp"), F.col("_n").alias("n"), far.alias("far")).alias("_sketch"))
+    near = _both(pairs, table, "_sketch").filter(F.least("_x.n", "_y.n") >= F.lit(least) * F.greatest("_x.n", "_y.n"))
+    most = F.when(F.least("_x.n", "_y.n") < FAR_SHINGLES, 64).otherwise(far_bits)
+    near = near.filter(F.array_max(F.zip_with("_x.far", "_y.far", lambda a, b: F.abs(a - b))) <= most)
+    return near.filter(_distance(F.col("_x.fp"), F.col("_y.fp")) <= most).select("u", "v", "s")
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -220,12 +234,11 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs whose whole shingle sets have a similarity of `least` or more."""
-    pairs = checkpointed(pairs)
+    """The pairs (u, v, s) whose whole shingle sets have a similarity of `least` or more, as (u, v)."""
+    pairs = checkpointed(pairs.select("u", "v", "s"))
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct()
     sets = _shingle_sets(docs.join(wanted, "_id", "left_semi"), words)
-    joined = pairs.join(sets.select(F.col("_id").alias("u"), F.col("_set").alias("_a")), "u").join(sets.select(F.col("_id").alias("v"), F.col("_set").alias("_b")), "v")
-    return checkpointed(joined.select("u", "v", "_a", "_b").mapInArrow(lambda it: _verified(it, least), "u long, v long"))
+    return checkpointed(_both(pairs, sets, "_set").select("u", "v", "_x", "_y").mapInArrow(lambda it: _verified(it, least), "u long, v long"))
 
 
 def _named(df: DataFrame, parts: DataFrame, node: str, out: str) -> DataFrame:
@@ -309,9 +322,9 @@ def _crowd_links(rest: DataFrame, docs: DataFrame, words: int, least: float) ->
     shingles = members.select("_crowd", "_id", "_set").mapInArrow(_exploded, "_crowd long, _id long, _shingle long")
     counts = shingles.groupBy("_crowd", "_shingle").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     rare = shingles.join(counts.filter(F.col("_n") <= _MOST_PAIRED), ["_crowd", "_shingle"]).groupBy("_crowd", "_shingle").agg(F.sort_array(F.collect_set("_id")).alias("_all"))
-    rare = rare.select("_all", F.posexplode("_all").alias("_i", "u")).select("u", F.explode(F.slice("_all", 1, F.col("_i"))).alias("v")).distinct()
+    rare = rare.select("_all", F.posexplode("_all").alias("_i", "u")).select("u", F.explode(F.slice("_all", 1, F.col("_i"))).alias("v"), F.lit(0).alias("s")).distinct()
     parts = members.select(F.col("_id").alias("node"), F.col("_part").alias("component"))
-    paired = _verify(_named(_named(rare, parts, "u", "_p"), parts, "v", "_q").filter("_p <> _q").select("u", "v"), docs, words, least)
+    paired = _verify(_named(_named(rare, parts, "u", "_p"), parts, "v", "_q").filter("_p <> _q"), docs, words, least)
     common = shingles.join(counts.filter(F.col("_n") > _MOST_PAIRED).select("_crowd", "_shingle"), ["_crowd", "_shingle"], "left_semi")
     common = common.groupBy("_id").agg(F.sort_array(F.collect_list("_shingle")).alias("_common"))
     common = common.select("_id", F.size("_common").alias("_n_common"), F.sha2(F.array_join(F.col("_common").cast("array<string>"), ","), 256).alias("_like"))
@@ -344,9 +357,12 @@ def similar_links(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = LE
     docs = docs.filter("_id is not null")
     sketched, coarse, crowd = _candidates(docs, words, *_KEYS[0])
     found = _verify(_survivors(coarse, sketched, least, far_bits), docs, words, least)
-    _, fine, crowd = _candidates(docs.join(crowd.select("_id").distinct(), "_id", "left_semi").select("_id", "_text"), words, *_KEYS[1])
+    if not crowd.head(1):
+        return found
+    crowded = crowd.select("_id").distinct()
+    _, fine, crowd = _candidates(docs.join(crowded, "_id", "left_semi").select("_id", "_text"), words, *_KEYS[1])
     part = checkpointed(connected_components(found))
-    apart = _named(_named(fine, part, "u", "_p"), part, "v", "_q").filter("_p <> _q").select("u", "v")
+    apart = _both(fine, _named(crowded, part, "_id", "_part"), "_part").filter("_x <> _y").select("u", "v", "s")
     more = _verify(_survivors(apart, sketched, least, far_bits), docs, words, least)
     over = connected_components(_named(_named(more, part, "u", "_p"), part, "v", "_q").select(F.col("_p").alias("u"), F.col("_q").alias("v")))
     held = _named(_named(crowd, part, "_id", "_p"), over, "_p", "_part")
