@@ -263,6 +263,35 @@ def test_chunks_are_what_the_tokenizer_gives():
             assert np.frombuffer(chunks.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_chunks_of_random_letters_and_marks():
+    """Every letter that lower-casing changes, among marks, combining marks and white space."""
+    from tokenizers import Tokenizer
+
+    path, rng = packing.vocabulary_path("word_bpe_49k.json"), np.random.default_rng(3)
+    cased = [c for c in map(chr, range(0xD800)) if c.lower() != c]
+    alphabet = cased + list("İıß\u0307\u0301\u0345\u200d'’<|>.,;:!?%&*$# _-…\x1c\x85\u3000日テ한😀½²3ABx") * 20
+    texts = ["".join(rng.choice(alphabet, int(rng.integers(1, 14)))) for _ in range(20_000)] + ["ALİ.", "BELEDİYESİ, x", "İİ İ!"]
+    wanted = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    chunks = packing._Chunks(path)
+    for at in range(0, len(texts), 500):
+        for t, ids, w in zip(texts[at : at + 500], chunks.encode_all(texts[at : at + 500]), wanted[at : at + 500]):
+            assert np.frombuffer(ids, "<u4").tolist() == w.ids, t
+
+
+def test_fill_takes_the_best_sum():
+    """Held against all subsets: the first window's room is filled as far as any choice of pieces can."""
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        lengths = rng.integers(1, 30, int(rng.integers(1, 10))).tolist()
+        counts = {n: lengths.count(n) for n in lengths}
+        sums = {0}
+        rest = sorted(lengths, reverse=True)
+        for n in rest[1:]:
+            sums |= {s + n for s in sums}
+        best = max(s for s in sums if s <= 30 - rest[0])
+        assert sum(n * k for n, k in packing.fill(counts, 30)[0][1].items()) == rest[0] + best
+
+
 def test_bpe(docs, empty, real):
     import public_tokenizers as P
     import tiktoken
