@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from itertools import filterfalse
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ class _Chunks(dict):
 
     The tokenizer lower-cases and drops white space, and no token crosses it: a text's ids are those of its chunks.
     Nor does one cross from a letter or digit into the marks after it, so a chunk's ids are those of its stem and
-    its closing marks. (A letter that lower-cases to one with a combining mark is none here: the pre-tokenizer joins that
-    mark with what follows.) Stems of letters only are one word each; many are tokenised in one call.
+    its closing marks. (A letter that lower-cases or normalises to one with a combining mark is none here: the
+    pre-tokenizer joins that mark with what follows.) Stems of letters only are one word each; many are tokenised in one call.
     """
 
     #: Closing marks that may be cut off. No apostrophe (contractions) and no angle bracket (special tokens).
@@ -71,11 +72,11 @@ class _Chunks(dict):
         stem = chunk.rstrip(self.MARKS)
         if not stem or len(stem) == len(chunk):
             return (chunk,)
-        return (stem, chunk[len(stem) :]) if stem.decode()[-1].lower().isalnum() else (chunk,)
+        return (stem, chunk[len(stem) :]) if normalize("NFC", stem.decode()[-1].lower()).isalnum() else (chunk,)
 
     def _learn(self, parts: set[bytes]) -> None:
         texts = {p: p.decode() for p in parts}
-        words = [p for p, t in texts.items() if t.isalpha() and t.lower().isalpha()]
+        words = [p for p, t in texts.items() if t.isascii() and t.isalpha() or t.isalpha() and normalize("NFC", t.lower()).isalpha()]
         if len(words) > 1:
             found = self.tokenizer.encode(" ".join(texts[p] for p in words), add_special_tokens=False)
             ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids)
