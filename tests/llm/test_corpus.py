@@ -490,12 +490,45 @@ def test_copies_make_no_template(spark):
     assert {r.text for r in wrapper.main_text(df).collect()} == {"the same page"}
 
 
-def test_tree_matching():
+def test_tree_matching(monkeypatch):
     a, b = wrapper.read_shape("body(nav div(p) div(h1 p) footer)"), wrapper.read_shape("body(div(h1 p p.x) footer)")
     count, pairs = wrapper._matched(a, b)
-    assert count == 5 and (0, 0) in pairs and wrapper.write_shape(a) == "body(nav div(p) div(h1 p) footer)"
-    tree = wrapper.parse("<body><ul><li>a<li>b<li>c</ul><p>x<p>y</body>")
-    assert wrapper.write_shape(wrapper.shape(tree)) == "#(body(ul(li) p))"
+    assert count == 5 and (0, 0) in pairs
+    shape, places = wrapper.Page("<body><ul><li>a<li>b<li>c</ul><p>x<p>y <b>z</b></body>").places()
+    assert shape == "#(body(ul(li) p))" and places == [0, 1, 2, 3, 3, 3, 4, 4, 4]
+    monkeypatch.setattr(wrapper, "_MOST_CELLS", 0)  # swept once
+    wrapper._matched.cache_clear()
+    assert dict(wrapper._matched(b, a)[1]) == {0: 0, 1: 2, 2: 3, 4: 6} or wrapper._matched(b, a)[0] >= 3
+    wrapper._matched.cache_clear()
+
+
+def test_the_template_decides(spark):
+    """Pages without article: constant slots go whatever their names, varying ones stay; names decide on varying slots alone."""
+    shell = '<body><div id="k9">Our shop since 1900</div><div class="hero">%s</div><div class="entry-header"><h1>T %d</h1></div><div class="z">Body %d &amp; more<p>Read our rules before you write</p></div><div class="sidebar-left">s %d</div></body>'
+    rows = [(i, f"http://h/{i}", shell % ("Spring sale" if i < 6 else f"own {i}", i, i, i)) for i in range(10)]
+    article = "<article><h1>A %d</h1><p>Words of %d that are long enough</p><div>Share this story</div></article>"
+    rows += [(100 + i, f"http://a/{i}", article % (i, i)) for i in range(5)]
+    rows += [(200 + i, f"http://r/{i}", f"<nav>{i}</nav><article><h1>The same</h1><p>article everywhere</p></article>") for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.main_text(df).collect()}
+    assert got[1] == "T 1\nBody 1 & more" and got[7] == "own 7\nT 7\nBody 7 & more"
+    assert got[103] == "A 3\nWords of 3 that are long enough" and got[200] == "The same\narticle everywhere"
+    bare = {i: wrapper.extract(h) for i, _, h in rows}
+    assert sum(bare[i] != got[i] for i in bare) == 15
+
+
+def test_deep_and_cut_off_pages():
+    import time
+
+    began = time.time()
+    deep = wrapper.Page("<div>" * 100_000 + "deep <p>text" + "</div>" * 100_000)
+    assert deep.text() == "deep\ntext" and len(deep.places()[0]) < 1000
+    assert wrapper.align(deep.places()[0], deep.places()[0])
+    for page, text in (("<p>x</p><a href=\"" * 1 + "y" * 5_000_000, "x"), ("<p>x" + "<a " * 1_000_000, "x"), ('<a "<a "' * 200_000 + "<p>z>", "z>"), ("<b>" * 50_000 + "</i>" * 50_000 + "t", "t"), ("x" + "<" * 100_000, "x" + "<" * 100_000)):
+        assert wrapper.extract(page) == text
+    wide = "body(" + " ".join(f"a{i % 7} b{i % 5}" for i in range(3000)) + ")"
+    assert len(wrapper.align(wide, wide)) == 6001
+    assert time.time() - began < 60
 
 
 def test_pages_are_extracted(spark, data):
