@@ -15,7 +15,7 @@ from tramline.llm.exact_dedup import exact_dedup
 from tramline.llm.packing import pack
 from tramline.llm.quality import fit, keep_good
 from tramline.llm.simhash import similar_dedup
-from tramline.llm.surrogates import pseudonymise
+from tramline.llm.surrogates import KEY, pseudonymise
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to surrogates; n_chars follows the text."""
-    out = pseudonymise(docs)
+    out = pseudonymise(docs, KEY)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
