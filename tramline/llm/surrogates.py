@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import checkpointed, table
 
@@ -49,15 +51,20 @@ _NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, _GENDER), key=le
 _WITHOUT_CAPITALS = 3
 #: In this order; a span that is taken is not looked at again. Of secrets, group 1 is what is replaced.
 PATTERNS = [
+    ("secret", re.compile(r"-----BEGIN (?:[A-Z]+ ){0,2}PRIVATE KEY-----([A-Za-z0-9+/=\s]{16,})-----END ")),
     ("secret", re.compile(r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\b\"?\s*[:=]\s*[\"']?([^\s\"',;<>]{6,})")),
     ("secret", re.compile(r"\b(?:AKIA|ASIA)([0-9A-Z]{16})\b")),
+    ("secret", re.compile(r"\b(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_)([A-Za-z0-9_-]{16,})")),
     ("email", re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)")),
-    ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
+    ("ip", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::[0-9A-Fa-f]{1,4}){0,6}(?:[0-9A-Fa-f]{1,4})?(?![\w:]|\.\d)|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:)(?::[0-9A-Fa-f]{1,4}){2,6}(?![\w:]|\.\d)")),
+    ("ssn", re.compile(r"(?<![\w-])(?<!\d )(?!000|666|9)\d{3}([- ])\d{2}\1\d{4}(?![\w-]| \d)")),
     ("card", re.compile(r"(?<![\w+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])")),
-    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)")),
+    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.+-])(?:1[.-])?[2-9]\d{2}([.-])\d{3}\1\d{4}(?![\w-]|\.\d)")),
 ]
+#: What numbers of payment cards begin with.
+_ISSUERS = re.compile("4|5[0-8]|6|2[2-7]|3[0-9]")
 _HINT = re.compile("[0-9@]")
 _HEX = re.compile("[0-9a-f]+|[0-9A-F]+")
 
@@ -71,7 +78,11 @@ def _luhn(digits: str) -> bool:
 
 
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
-    """Entities as (start, end, kind, canonical value), by place. Names are found word by word after a title."""
+    """Entities as (start, end, kind, canonical value), by place.
+
+    Names are found word by word after a title; then their words are looked for in the whole text, so that later mentions
+    without a title, or of the surname alone, are the same entities.
+    """
     if not text:
         return []
     found: list[tuple[int, int, str, str]] = []
@@ -89,26 +100,40 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
             b = a + len(value)
             if not free(a, b) or kind == "iban" and _iban_rest(value.replace(" ", "")) != 1:
                 continue
-            if kind == "card" and value.isdigit() and len(value) != 16 and not _luhn(value):
+            if kind == "card" and not (_ISSUERS.match(value) and _luhn(re.sub(r"\D", "", value))):
                 continue  # some other long number
             if kind == "email":
                 value = value.lower()
+            elif kind == "ip" and ":" in value:
+                if value.count(":") < 3 and "::" not in value or not re.search(r"\d", value):
+                    continue  # a time or two words
+                try:
+                    value = ipaddress.IPv6Address(value).exploded
+                except ValueError:
+                    continue
             elif kind in ("phone", "card", "iban", "ssn"):
                 value = re.sub(r"[^A-Z0-9]", "", value)
             found.append((a, b, kind, value))
     if any(t in text for t in _GENDER):
+        named: dict[str, str] = {}
+        forms: set[str] = set()
         for m in _NAME.finditer(text):
-            words, at, gender = [], m.start(2), _GENDER[m[1]]
+            words, gender = [], _GENDER[m[1]]
             for w in m[2].split(" "):
                 if w not in PARTICLES and not w.endswith("."):
                     if len(words) >= _WITHOUT_CAPITALS and not w[0].isupper():
                         break
-                    words.append((at, w))
-                at += len(w) + 1
-            for n, (at, w) in enumerate(words):
-                kind = "surname" if n == len(words) - 1 else f"given_{gender}"
-                if free(at, at + len(w)):
-                    found.append((at, at + len(w), kind, w.casefold()))
+                    words.append(w)
+            for n, w in enumerate(words):
+                kind, value = "surname" if n == len(words) - 1 else f"given_{gender}", w.casefold()
+                if named.get(value, "given_") == "given_":  # a gender once told holds in the text
+                    named[value] = kind
+                forms |= {w, w.upper()}
+        if forms:
+            again = re.compile(r"(?<![\w])(?:" + "|".join(sorted(map(re.escape, forms), key=len, reverse=True)) + r")(?!\w|[-‐'’](?!(?:s|d|m|t|ll|re|ve)\b)[^\W\d_])")
+            for m in again.finditer(text):
+                if free(*m.span()):
+                    found.append((*m.span(), named[m[0].casefold()], m[0].casefold()))
     return sorted(found)
 
 
@@ -150,13 +175,15 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         local, _, domain = value.partition("@")
         name, _, end = domain.rpartition(".")
         return f"{draw.like(local)}@{_Draw(key, 'domain', domain).like(name)}.{end}"
+    if kind == "ip" and ":" in value:
+        return value[:5] + ":".join(f"{draw.below(65535) + 1:04x}" for _ in range(7))
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "phone":
         return value[0] + str(2 + draw.below(8)) + draw.like(value[2:])
     if kind == "card":
-        body = value[0] + draw.like(value[1:-1])
-        return body + next(d for d in "0123456789" if _luhn(body + d)) if _luhn(value) else body + draw.like(value[-1])
+        body = value[:4] + draw.like(value[4:-1])
+        return body + next(d for d in "0123456789" if _luhn(body + d))
     if kind == "iban":
         body = draw.like(value[4:])
         return f"{value[:2]}{98 - _iban_rest(value[:2] + '00' + body):02d}{body}"
@@ -176,16 +203,19 @@ def shaped(value: str, original: str, kind: str) -> str:
         return "".join(next(left, "") if c.isalnum() else c for c in original)
     if kind == "email":
         return value.upper() if original.isupper() else value
+    if kind == "ip" and ":" in value:
+        return ipaddress.IPv6Address(value).compressed if len(original) < 39 else value
     if kind == "surname" or kind.startswith("given"):
         return value.upper() if original.isupper() else value[:1].upper() + value[1:]
     return value
 
 
-def replace(text: str | None, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str | None, list[dict]]:
-    """The text with surrogates, and their spans in it."""
+def replace(text: str | None, key: bytes, told: dict[tuple[str, str], tuple[str, int]]) -> tuple[str | None, list[dict]]:
+    """The text with surrogates, and their spans in it. told: the kind and attempt of entities where they are not their own kind and 0."""
     out, spans, at, length = [], [], 0, 0
     for a, b, kind, value in find(text):
-        new = shaped(surrogate(key, kind, value, attempts.get((kind, value), 0)), text[a:b], kind)
+        kind, attempt = told.get((kind, value), (kind, 0))
+        new = shaped(surrogate(key, kind, value, attempt), text[a:b], kind)
         out += [text[at:a], new]
         length += a - at
         spans.append({"kind": kind, "start": length, "end": length + len(new)})
@@ -199,11 +229,17 @@ def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["_hash", "kind", "value"])
 
 
+def _space() -> Column:
+    """Kinds whose surrogates must differ: all names of persons are one space."""
+    return F.when(F.col("kind").rlike("^(given_|surname)"), F.lit("name")).otherwise(F.col("kind")).alias("_space")
+
+
 def draw_again(entities: DataFrame, key: bytes) -> DataFrame:
     """Distinct (kind, value) -> (kind, value, attempt) of the entities that need an attempt other than 0.
 
-    A surrogate that is some entity of the same kind itself, or that a smaller value has too, is drawn again, until
-    all are distinct and new; then entities and surrogates are one to one. Checks are joins and counts by surrogate.
+    A surrogate that is some entity itself, or that a smaller one has too, is drawn again, until all are distinct and
+    new; then entities and surrogates are one to one. First names and surnames are held against each other as well.
+    Checks are joins and counts by surrogate.
     """
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,65 +249,85 @@ def draw_again(entities: DataFrame, key: bytes) -> DataFrame:
 
     kinds = "kind string, value string, attempt int"
     now = checkpointed(entities.select("kind", "value", F.lit(0).alias("attempt")).mapInArrow(drawn, f"{kinds}, new string"))
+    real = entities.select(_space(), F.col("value").alias("new"), F.lit(True).alias("_real")).distinct()
     for _ in range(_MOST_ROUNDS):
-        real = entities.select("kind", F.col("value").alias("new"), F.lit(True).alias("_real"))
-        # the holder that stays is one settled before, if any: the fewest attempts, then the smallest value
-        shared = now.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("attempt", "value"))["value"].alias("_first")).filter("_n > 1")
-        bad = now.join(real, ["kind", "new"], "left").join(shared, ["kind", "new"], "left")
-        bad = checkpointed(bad.filter("_real or (_n > 1 and value <> _first)").select("kind", "value", (F.col("attempt") + 1).cast("int").alias("attempt")))
+        held = now.select("*", _space())
+        # the holder that stays is one settled before, if any: the fewest attempts, then the smallest kind and value
+        shared = held.groupBy("_space", "new").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("attempt", "kind", "value")).alias("_first")).filter("_n > 1")
+        bad = held.join(real, ["_space", "new"], "left").join(shared, ["_space", "new"], "left")
+        bad = bad.filter("_real or (_n > 1 and (value <> _first.value or kind <> _first.kind))")
+        bad = checkpointed(bad.select("kind", "value", (F.col("attempt") + 1).cast("int").alias("attempt")))
         if not bad.head(1):
             return now.filter("attempt > 0").select("kind", "value", "attempt")
         now = checkpointed(now.join(bad, ["kind", "value"], "left_anti").union(bad.mapInArrow(drawn, f"{kinds}, new string")))
     raise RuntimeError(f"surrogates still collide after {_MOST_ROUNDS} rounds")
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text", most_sent: int = MOST_SENT) -> DataFrame:
+def _told(entities: DataFrame, key: bytes) -> DataFrame:
+    """-> (kind, value, to_kind, attempt) of the entities that are not their own kind at attempt 0.
+
+    A first name whose gender some titles do not tell takes the one that others tell, if it is only one.
+    """
+    genders = entities.filter("kind in ('given_', 'given_f', 'given_m')").groupBy("value").agg(F.sort_array(F.collect_set("kind")).alias("_k"))
+    known = genders.filter((F.size("_k") == 2) & (F.get("_k", F.lit(0)) == "given_")).select(F.lit("given_").alias("kind"), "value", F.get("_k", F.lit(1)).alias("to_kind"))
+    known = checkpointed(known)
+    again = draw_again(entities.join(known.select("kind", "value"), ["kind", "value"], "left_anti"), key)
+    of = again.select(F.col("kind").alias("to_kind"), "value", "attempt")
+    renamed = known.join(of, ["to_kind", "value"], "left").select("kind", "value", "to_kind", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+    return again.select("kind", "value", F.col("kind").alias("to_kind"), "attempt").union(renamed)
+
+
+def _named(c: str) -> Column:
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
+def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", most_sent: int = MOST_SENT) -> DataFrame:
     """-> docs' own columns with text_col replaced, and entities array<struct<kind, start, end>> of spans in the new text.
 
-    Kinds: email, phone, ip, card, ssn, iban, secrets (tokens, passwords, access keys) and names after a title. One
+    Kinds: email, phone, ip, card, ssn, iban, secrets (tokens, passwords, access keys, private keys) and names. One
     value has one surrogate in the whole corpus, whatever its writing (coreference), and two values never share one,
-    nor is a surrogate some other real value (distinctness). Phones keep their country's first digit, cards their first
-    digit and the validity of the check digit, IBANs their country and a right check number, emails their pattern and
-    top domain (equal domains stay equal), secrets their alphabet, names their gender, script and capitals. Names map word by
-    word, so a surname alone keeps its surrogate; a first name is an entity of the gender its title tells, so the same first
-    name after Mrs and after Dr, which tells none, has two.
+    nor is a surrogate some other real value (distinctness; first names and surnames together). Phones keep their
+    country's first digit, cards their issuer and the validity of the check digit, IBANs their country and a right check
+    number, emails their pattern and top domain (equal domains stay equal), secrets their alphabet, names their gender,
+    script and capitals. A name is found by a title before it; its words are replaced wherever they stand in that text.
+    Names map word by word, so a surname alone keeps its surrogate. A first name has one surrogate for each gender that
+    titles tell of it; where a title tells none, it takes the gender that others tell, if it is only one.
     Null texts stay null, empty ones empty, both without entities; texts without entities are unchanged. Repeated rows
     come out alike. Other columns are passed through under any name but "entities", which is replaced. An empty table
     gives an empty result.
 
     Texts stay where they lie. The pass that collects entities shuffles them alone, combined by value first. Only those
-    that were drawn again have to be told to the tasks: up to most_sent as a table, beyond that by a join on the
-    text's hash.
+    that were drawn again or take another's gender have to be told to the tasks: up to most_sent as a table, beyond that
+    by a join on the text's hash.
     """
     own = [c for c in docs.columns if c != "entities"]
-    base = docs.select(*own, F.xxhash64(F.col(text_col)).alias("_hash"))
-    met = base.select("_hash", F.col(text_col).alias("_text")).mapInArrow(_entities, "_hash long, kind string, value string")
+    base = docs.select(F.struct(*[_named(c) for c in own]).alias("_row"), F.xxhash64(_named(text_col)).alias("_hash"), _named(text_col).alias("_text"))
+    met = base.select("_hash", "_text").mapInArrow(_entities, "_hash long, kind string, value string")
     entities = checkpointed(met.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("_n")).select("kind", "value"))
-    again = draw_again(entities, key)
-    few = again.limit(most_sent + 1).collect()
-    spans = "array<struct<kind string, start int, end int>>"
-    told: dict[tuple[str, str], int] = {}
+    far = checkpointed(_told(entities, key))
+    few = far.limit(most_sent + 1).collect()
+    told: dict[tuple[str, str], tuple[str, int]] = {}
     if len(few) <= most_sent:
-        told = {(r[0], r[1]): r[2] for r in few}
-        base = base.withColumn("_again", F.lit(None).cast("array<struct<kind string, value string, attempt int>>"))
+        told = {(r[0], r[1]): (r[2], r[3]) for r in few}
+        base = base.select("_row", F.lit(None).cast("array<struct<kind: string, value: string, to_kind: string, attempt: int>>").alias("_told"))
     else:
-        by_text = met.join(again, ["kind", "value"]).groupBy("_hash").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("_again"))
-        base = base.join(by_text, "_hash", "left")
+        by_text = met.join(far, ["kind", "value"]).groupBy("_hash").agg(F.collect_set(F.struct("kind", "value", "to_kind", "attempt")).alias("_told"))
+        base = base.join(by_text, "_hash", "left").select("_row", F.coalesce("_told", F.array()).alias("_told"))
     at = own.index(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema) + f", entities {spans}"
+    span = StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
+    schema = StructType([docs.schema[c] for c in own] + [StructField("entities", ArrayType(span))])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            again = batch.column(len(own)).to_pylist()
-            pairs = [replace(t, key, told if a is None else {(x["kind"], x["value"]): x["attempt"] for x in a}) for t, a in zip(batch.column(at).to_pylist(), again)]
-            columns = list(batch.columns[: len(own)])
+            columns = batch.column(0).flatten()
+            pairs = [replace(t, key, told if own_told is None else {(x["kind"], x["value"]): (x["to_kind"], x["attempt"]) for x in own_told}) for t, own_told in zip(columns[at].to_pylist(), batch.column(1).to_pylist())]
             columns[at] = pa.array([p[0] for p in pairs], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array([p[1] for p in pairs], kind)], [*own, "entities"])
 
-    return base.select(*own, "_again").mapInArrow(run, schema)
+    return base.mapInArrow(run, schema)
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
     return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
