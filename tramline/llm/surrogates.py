@@ -49,23 +49,24 @@ _WORDS = r"(?:(?:" + "|".join(PARTICLES) + "|" + _FIRST + r"\.) )*" + _WORD
 _NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True)) + rf")\.? ({_WORDS}(?: {_WORDS})*)")
 #: So many words of a name may be in a script without capitals; further ones begin with a capital.
 _WITHOUT_CAPITALS = 3
-#: In this order; a span that is taken is not looked at again. Of secrets, group 1 is what is replaced.
+#: In this order; a span that is taken is not looked at again. Of secrets, group 1 is what is replaced. A pattern is
+#: looked for in texts with one of its strings alone, as no match can be without; () says any text with a digit.
 PATTERNS = [
-    ("secret", re.compile(r"-----BEGIN (?:[A-Z]+ ){0,2}PRIVATE KEY-----([A-Za-z0-9+/=\s]{16,})-----END ")),
-    ("secret", re.compile(r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\b\"?\s*[:=]\s*[\"']?([^\s\"',;<>]{6,})")),
-    ("secret", re.compile(r"\b(?:AKIA|ASIA)([0-9A-Z]{16})\b")),
-    ("secret", re.compile(r"\b(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_)([A-Za-z0-9_-]{16,})")),
-    ("email", re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")),
-    ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
-    ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)")),
-    ("ip", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::[0-9A-Fa-f]{1,4}){0,6}(?:[0-9A-Fa-f]{1,4})?(?![\w:]|\.\d)|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:)(?::[0-9A-Fa-f]{1,4}){2,6}(?![\w:]|\.\d)")),
-    ("ssn", re.compile(r"(?<![\w-])(?<!\d )(?!000|666|9)\d{3}([- ])\d{2}\1\d{4}(?![\w-]| \d)")),
-    ("card", re.compile(r"(?<![\w+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])")),
-    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.+-])(?:1[.-])?[2-9]\d{2}([.-])\d{3}\1\d{4}(?![\w-]|\.\d)")),
+    ("secret", re.compile(r"-----BEGIN (?:[A-Z]+ ){0,2}PRIVATE KEY-----([A-Za-z0-9+/=\s]{16,})-----END "), ("PRIVATE KEY",)),
+    ("secret", re.compile(r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\b\"?\s*[:=]\s*[\"']?([^\s\"',;<>]{6,})"), (":", "=")),
+    ("secret", re.compile(r"\b(?:AKIA|ASIA)([0-9A-Z]{16})\b"), ("AKIA", "ASIA")),
+    ("secret", re.compile(r"\b(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_)([A-Za-z0-9_-]{16,})"), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk_live_")),
+    ("email", re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+"), ("@",)),
+    ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), ()),
+    ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"), (".",)),
+    ("ip", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::[0-9A-Fa-f]{1,4}){0,6}(?:[0-9A-Fa-f]{1,4})?(?![\w:]|\.\d)|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:)(?::[0-9A-Fa-f]{1,4}){2,6}(?![\w:]|\.\d)"), (":",)),
+    ("ssn", re.compile(r"(?<![\w-])(?<!\d )(?!000|666|9)\d{3}([- ])\d{2}\1\d{4}(?![\w-]| \d)"), ()),
+    ("card", re.compile(r"(?<![\w+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"), ()),
+    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.+-])(?:1[.-])?[2-9]\d{2}([.-])\d{3}\1\d{4}(?![\w-]|\.\d)"), ()),
 ]
 #: What numbers of payment cards begin with.
 _ISSUERS = re.compile("4|5[0-8]|6|2[2-7]|3[0-9]")
-_HINT = re.compile("[0-9@]")
+_DIGIT = re.compile(r"\d")
 _HEX = re.compile("[0-9a-f]+|[0-9A-F]+")
 
 
@@ -90,9 +91,9 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     def free(a: int, b: int) -> bool:
         return all(b <= x[0] or a >= x[1] for x in found)
 
-    hinted = _HINT.search(text)
-    for kind, pattern in PATTERNS:
-        if not hinted and kind != "secret":  # secrets need neither digits nor an @
+    digits = _DIGIT.search(text)
+    for kind, pattern, hints in PATTERNS:
+        if not any(h in text for h in hints) if hints else not digits:
             continue
         for m in pattern.finditer(text):
             a, b = m.span(1 if kind == "secret" else 0)
