@@ -65,7 +65,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not _unsettled(now).head(1):
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written out, so that both sides of the join are dealt for it and a hub's partition can be split
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(floor, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -154,14 +154,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 _SHUFFLES = np.array([xxhash.xxh64_intdigest(b"minimum", i) | 1 for i in range(max(k * m for k, m in _KEYS))], np.uint64)
 
 
+def _set_of(text: str | None, words: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
+
+
 def _sketches(batches: Iterator[pa.RecordBatch], words: int, keys: int, minima: int) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, fingerprint of the distinct shingles, their number, keys)."""
+    """(id, text or shingle set) -> (id, fingerprint of the distinct shingles, their number, keys)."""
     shuffles = _SHUFFLES[: keys * minima]
     rows_at_once = max(1, _SLICE * 4 // len(shuffles))
     for batch in batches:
         prints, sizes, found = [], [], []
-        for text in batch.column(1).to_pylist():
-            h = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
+        for given in batch.column(1).to_pylist():
+            h = np.frombuffer(given, "<u8") if isinstance(given, bytes) else _set_of(given, words)
             prints.append(_signed(majority([h])))
             sizes.append(len(h))
             if not len(h):
@@ -178,7 +182,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int, keys: int, minima:
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, words)])).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+        sets = [_set_of(t, words).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["_id", "_set"])
 
 
@@ -192,8 +196,8 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(similar, pa.bool_()))
 
 
-def _candidates(docs: DataFrame, words: int, keys: int, minima: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs(_id, _text) -> sketches (_id, _fp, _n), pairs (u, v, s) that share a key, and the crowds (_key, _id, _picked).
+def _candidates(docs: DataFrame, words: int, keys: int, minima: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """docs(_id, text or shingle set) -> sketches (_id, _fp, _n), who shares a key (_key, _id, _size, _picked), their pairs (u, v, s), and the crowds (_key, _id, _picked).
 
     In a crowd v is the picked member, and s deals the many pairs that it has.
     """
@@ -208,7 +212,7 @@ def _candidates(docs: DataFrame, words: int, keys: int, minima: int) -> tuple[Da
     crowded = met.filter(F.col("_size") > _MOST_PAIRED)
     dealt = F.pmod(F.xxhash64("_id", F.lit(1)), F.ceil(F.col("_size") / _MEET)).cast("int")
     pairs = paired.union(crowded.select(F.col("_id").alias("u"), F.col("_picked").alias("v"), dealt.alias("s")))
-    return sketched.select("_id", "_fp", "_n"), pairs.filter("u <> v").groupBy("u", "v").agg(F.min("s").alias("s")), crowded.select("_key", "_id", "_picked")
+    return sketched.select("_id", "_fp", "_n"), met, pairs.filter("u <> v").groupBy("u", "v").agg(F.min("s").alias("s")), crowded.select("_key", "_id", "_picked")
 
 
 def _both(pairs: DataFrame, known: DataFrame, what: str) -> DataFrame:
@@ -233,11 +237,9 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return sets.groupBy("_id").agg(F.max("_set").alias("_set"))  # rows that repeat an id
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v, s) whose whole shingle sets have a similarity of `least` or more, as (u, v)."""
     pairs = checkpointed(pairs.select("u", "v", "s"))
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct()
-    sets = _shingle_sets(docs.join(wanted, "_id", "left_semi"), words)
     return checkpointed(_both(pairs, sets, "_set").select("u", "v", "_x", "_y").mapInArrow(lambda it: _verified(it, least), "u long, v long"))
 
 
@@ -305,7 +307,7 @@ def _dealt(df: DataFrame, block: str, owner: str) -> DataFrame:
     return df.join(known, ["_crowd", "_part"]).select(*df.columns, named.alias(block), F.when(F.col("_large"), F.col("_owner")).alias(owner))
 
 
-def _crowd_links(rest: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+def _crowd_links(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """rest(_id, _picked, _part), the members of groups that no key parts -> edges that connect all that links among them connect.
 
     Exact, within each crowd (groups with common members). A shingle is rare if up to eight members hold it, else
@@ -317,14 +319,13 @@ def _crowd_links(rest: DataFrame, docs: DataFrame, words: int, least: float) ->
     """
     crowds = connected_components(rest.select(F.col("_id").alias("u"), F.col("_picked").alias("v")))
     members = rest.select("_id", "_part").distinct().join(crowds.select(F.col("node").alias("_id"), F.col("component").alias("_crowd")), "_id")
-    sets = _shingle_sets(docs.join(members, "_id", "left_semi"), words)
     members = checkpointed(members.join(sets, "_id").select("_crowd", "_id", "_part", "_set"))
     shingles = members.select("_crowd", "_id", "_set").mapInArrow(_exploded, "_crowd long, _id long, _shingle long")
     counts = shingles.groupBy("_crowd", "_shingle").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     rare = shingles.join(counts.filter(F.col("_n") <= _MOST_PAIRED), ["_crowd", "_shingle"]).groupBy("_crowd", "_shingle").agg(F.sort_array(F.collect_set("_id")).alias("_all"))
     rare = rare.select("_all", F.posexplode("_all").alias("_i", "u")).select("u", F.explode(F.slice("_all", 1, F.col("_i"))).alias("v"), F.lit(0).alias("s")).distinct()
     parts = members.select(F.col("_id").alias("node"), F.col("_part").alias("component"))
-    paired = _verify(_named(_named(rare, parts, "u", "_p"), parts, "v", "_q").filter("_p <> _q"), docs, words, least)
+    paired = _verify(_named(_named(rare, parts, "u", "_p"), parts, "v", "_q").filter("_p <> _q"), sets, least)
     common = shingles.join(counts.filter(F.col("_n") > _MOST_PAIRED).select("_crowd", "_shingle"), ["_crowd", "_shingle"], "left_semi")
     common = common.groupBy("_id").agg(F.sort_array(F.collect_list("_shingle")).alias("_common"))
     common = common.select("_id", F.size("_common").alias("_n_common"), F.sha2(F.array_join(F.col("_common").cast("array<string>"), ","), 256).alias("_like"))
@@ -355,21 +356,22 @@ def similar_links(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = LE
     _crowd_links. Work grows with the members, but for crowds without an order of their own there.
     """
     docs = docs.filter("_id is not null")
-    sketched, coarse, crowd = _candidates(docs, words, *_KEYS[0])
-    found = _verify(_survivors(coarse, sketched, least, far_bits), docs, words, least)
+    sketched, met, coarse, crowd = _candidates(docs, words, *_KEYS[0])
+    sets = checkpointed(_shingle_sets(docs.join(met.select("_id").distinct(), "_id", "left_semi"), words))
+    found = _verify(_survivors(coarse, sketched, least, far_bits), sets, least)
     if not crowd.head(1):
         return found
     crowded = crowd.select("_id").distinct()
-    _, fine, crowd = _candidates(docs.join(crowded, "_id", "left_semi").select("_id", "_text"), words, *_KEYS[1])
+    _, _, fine, crowd = _candidates(sets.join(crowded, "_id", "left_semi").select("_id", "_set"), words, *_KEYS[1])
     part = checkpointed(connected_components(found))
     apart = _both(fine, _named(crowded, part, "_id", "_part"), "_part").filter("_x <> _y").select("u", "v", "s")
-    more = _verify(_survivors(apart, sketched, least, far_bits), docs, words, least)
+    more = _verify(_survivors(apart, sketched, least, far_bits), sets, least)
     over = connected_components(_named(_named(more, part, "u", "_p"), part, "v", "_q").select(F.col("_p").alias("u"), F.col("_q").alias("v")))
     held = _named(_named(crowd, part, "_id", "_p"), over, "_p", "_part")
     unsettled = held.groupBy("_key").agg(F.min("_part").alias("_p"), F.max("_part").alias("_q")).filter("_p <> _q").select("_key")
     rest = checkpointed(held.join(unsettled, "_key", "left_semi").select("_id", "_picked", "_part").distinct())
     found = found.union(more)
-    return found.union(_crowd_links(rest, docs, words, least)) if rest.head(1) else found
+    return found.union(_crowd_links(rest, sets, least)) if rest.head(1) else found
 
 
 def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, least: float = LEAST_SIMILARITY) -> DataFrame:
