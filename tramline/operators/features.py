@@ -85,9 +85,16 @@ def intersect_features(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def marker_features(tokens: DataFrame, owner: list[str], config: Config) -> DataFrame:
-    """One feature per marker type with any marker among an owner's lemmas, stop words included; the list is 24 literals."""
-    kinds = reduce(lambda c, k: c.when(F.col("lemma").isin(*MARKERS[k]), k), MARKERS, F.when(F.lit(False), F.lit(None)))
-    marked = tokens.select(*owner, kinds.alias("marker")).filter("marker is not null").distinct()
+    """One feature per marker type with any marker among an owner's lemmas, stop words included; the list is 24 literals.
+
+    Markers of several words are met by lemmas in a row, where tokens have a place (tok_id), or by a lemma that joins them itself.
+    """
+    longest = max(m.count("_") for k in MARKERS for m in MARKERS[k]) + 1 if "tok_id" in tokens.columns else 1
+    w = Window.partitionBy(*owner).orderBy("tok_id")
+    heads = F.array(F.col("lemma"), *[F.concat_ws("_", "lemma", *[F.lead("lemma", i).over(w) for i in range(1, n)]) for n in range(2, longest + 1)])
+    words = tokens.select(*owner, heads.alias("_heads"))
+    kinds = F.filter(F.array(*[F.when(F.arrays_overlap("_heads", F.array(*map(F.lit, MARKERS[k]))), F.lit(k)) for k in MARKERS]), lambda k: k.isNotNull())
+    marked = words.select(*owner, F.explode(kinds).alias("marker")).distinct()
     return feature(marked, owner, "has-discourse-marker", [F.col("marker")], config)
 
 

@@ -573,3 +573,6 @@ def l2_normalised_similarity(spark, sf_dir):
     sims = _sims(spark, sf_dir)
     size = F.sqrt(F.sum(F.col("sim") * F.col("sim")).over(Window.partitionBy("elem_id")))
     return sims.select("sent_id", "elem_id", _r(F.col("sim") / F.nullif(size, F.lit(0.0))).alias("p"))
+
+
+from . import engine_queries  # noqa: E402, F401  # registers the queries of the feature extractors
