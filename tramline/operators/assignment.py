@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 from ..config import DUMMY_SENTENCE, DUMMY_SIMILARITY
 from . import solver
 
+#: Elements times sentences of a case; a case is one model and its text.
+MOST_CELLS = 4_000_000
+
 
 def constrained_alignment(sims: DataFrame, elements: DataFrame, before: DataFrame, case: str = "case_id", anchors: bool = False, restrict: bool = True, closed: DataFrame | None = None) -> DataFrame:
-    """-> (case, elem_id, sent_id, sim, optimal).
+    """-> (case, elem_id, sent_id, sim).
 
     sims(case, sent_id, elem_id, sim) is dense for real sentences, elements(case, elem_id, is_gateway), before(case, src, dst).
     closed(case, src, dst), if given: gateways src that are not to come after dst, which follows their closing gateway.
-    A case is one small optimisation problem, solved in its own task; cases run in parallel. Ties take the smaller sentence.
+    A case is one small optimisation problem of at most MOST_CELLS similarities, solved to the proven optimum in its own
+    task; cases run in parallel. Ties take the smaller sentence. A larger case, and one that allows nothing, is an error.
     """
     kinds = dict(sims.dtypes)
     dummy = DUMMY_SIMILARITY if anchors else None
@@ -24,12 +28,14 @@ def constrained_alignment(sims: DataFrame, elements: DataFrame, before: DataFram
     order = before.groupBy(case).agg(F.collect_list(F.struct("src", "dst")).alias("pairs"))
     shut = before.limit(0) if closed is None else closed
     shut = shut.groupBy(case).agg(F.collect_list(F.struct("src", "dst")).alias("closed"))
-    schema = f"{case} {kinds[case]}, elem_id {kinds['elem_id']}, sent_id {kinds['sent_id']}, sim double, optimal boolean"
+    schema = f"{case} {kinds[case]}, elem_id {kinds['elem_id']}, sent_id {kinds['sent_id']}, sim double"
 
     def solve(batches):
         for pdf in batches:
             out = []
             for key, cells, pairs, closings in zip(pdf[case], pdf["cells"], pdf["pairs"], pdf["closed"]):
+                if len(cells) > MOST_CELLS:
+                    raise ValueError(f"case {key} has {len(cells)} similarities, more than one task solves")
                 elems, sents = sorted({c["elem_id"] for c in cells}), sorted({c["sent_id"] for c in cells})
                 at, col = {e: i for i, e in enumerate(elems)}, {s: i for i, s in enumerate(sents)}
                 matrix = [[0.0] * len(sents) for _ in elems]
@@ -39,9 +45,11 @@ def constrained_alignment(sims: DataFrame, elements: DataFrame, before: DataFram
                     gateway[at[c["elem_id"]]] = bool(c["is_gateway"]) and anchors
                 links, ends = ([(at[p["src"]], at[p["dst"]]) for p in (given if given is not None and restrict else []) if p["src"] in at and p["dst"] in at] for given in (pairs, closings))
                 found = solver.assign(matrix, gateway, links, dummy, ends)
-                for e, s in zip(elems, found.chosen if found else []):
-                    out.append((key, e, DUMMY_SENTENCE if s < 0 else sents[s], dummy if s < 0 else matrix[at[e]][s], found.optimal))
-            yield pd.DataFrame(out, columns=[case, "elem_id", "sent_id", "sim", "optimal"])
+                if found is None:
+                    raise ValueError(f"case {key}: the constraints allow no assignment")
+                for e, s in zip(elems, found.chosen):
+                    out.append((key, e, DUMMY_SENTENCE if s < 0 else sents[s], dummy if s < 0 else matrix[at[e]][s]))
+            yield pd.DataFrame(out, columns=[case, "elem_id", "sent_id", "sim"])
 
     return rows.join(order, case, "left").join(shut, case, "left").mapInPandas(solve, schema)
 

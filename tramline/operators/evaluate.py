@@ -26,7 +26,8 @@ def compare(predicted: DataFrame, truth: DataFrame, case: str = "case_id") -> Da
 def accuracy_by_class(compared: DataFrame, classes: DataFrame, case: str = "case_id") -> DataFrame:
     """-> (case, class, n_correct, n_total, accuracy): per class and "all", in one pass with grouping sets."""
     joined = compared.join(classes.select(case, "elem_id", "class"), [case, "elem_id"])
-    out = joined.cube(case, "class").agg(F.grouping_id().alias("_g"), F.count_if("correct").alias("n_correct"), F.count(F.lit(1)).alias("n_total")).filter("_g in (0, 1)")
+    sets = joined.groupingSets([[F.col(case)], [F.col(case), F.col("class")]], F.col(case), F.col("class"))
+    out = sets.agg(F.grouping_id().alias("_g"), F.count_if("correct").alias("n_correct"), F.count(F.lit(1)).alias("n_total"))
     return out.select(case, F.when(F.col("_g") == 1, "all").otherwise(F.col("class")).alias("class"), "n_correct", "n_total", (F.col("n_correct") / F.col("n_total")).alias("accuracy"))
 
 

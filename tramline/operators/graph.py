@@ -6,6 +6,7 @@ checkpoints in the shared folder.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,13 @@ MOST_ROUNDS = 100
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
+    """Written to the shared folder of spark.checkpoint.dir; a folder of our own only where none is set and all runs in one process."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/tramline-{uuid.uuid4().hex}")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/tramline-{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
 
 

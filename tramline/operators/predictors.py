@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import DUMMY_SENTENCE
 from ..functions.text import harmonic_mean, ratio
 
 _c = F.col
@@ -26,8 +27,9 @@ def statistics(sims: DataFrame, alignment: DataFrame, case: list[str], sizes: Da
     """
     p = F.col("sim")
     by_elem = sims.groupBy(*case, elem).agg(
-        F.max("sim").alias("t_max"), F.sum("sim").alias("t_sum"), F.sqrt(F.sum(p * p)).alias("t_l2"), F.sum(F.when(p > 0, p * F.log(p))).alias("t_plogp"), F.sum(F.when(p > 0, p)).alias("t_pos")
-    )
+        F.max("sim").alias("t_max"), F.sum("sim").alias("t_sum"), F.sqrt(F.sum(p * p)).alias("t_l2"), F.sum(F.when(p > 0, p * F.log(p))).alias("t_plogp"), F.sum(F.when(p > 0, p)).alias("t_pos"),
+        F.coalesce(F.sum(F.when(_c(sent) != DUMMY_SENTENCE, p)), F.lit(0.0)).alias("t_real"), F.count_if(_c(sent) == DUMMY_SENTENCE).alias("t_dummies"),
+    )
     by_sent = sims.groupBy(*case, sent).agg(F.max("sim").alias("s_max"), F.sum("sim").alias("s_sum"))
     whole = sims.groupBy(*case).agg(F.max("sim").alias("c_max"))
     aligned = alignment.groupBy(*case).agg(F.avg("sim").alias("a_avg"))
@@ -56,7 +58,7 @@ def predictor(name: str) -> Column:
     if name == "p-avg-S":
         return ratio(m, _c("s_sum") / _c("n_elems"))
     if name == "S-diff":
-        return m - _c("t_sum") / _c("n_sents")
+        return m - ratio(_c("t_real"), _c("n_sents") - _c("t_dummies"))  # the average over real sentences
     if name == "A-diff":
         return m - _c("a_avg")
     if name == "entropy-S":  # of the non-zero similarities, scaled to length 1 (not to sum 1)

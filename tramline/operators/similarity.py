@@ -53,3 +53,9 @@ def all_pairs(sims: DataFrame, sentences: DataFrame, elements: DataFrame, case:
     """The dense matrix of each case (cases are small): missing pairs have 0."""
     pairs = sentences.select(*case, sent).join(elements.select(*case, elem), case)
     return pairs.join(sims, [*case, sent, elem], "left").select(*case, sent, elem, F.coalesce("sim", F.lit(0.0)).alias("sim"))
+
+
+def l2_normalised(sims: DataFrame, case: list[str], elem: str = "elem_id") -> DataFrame:
+    """Similarities over the length of their element's vector; null where that is 0. Lengths are combined first, then joined."""
+    size = sims.groupBy(*case, elem).agg(F.sqrt(F.sum(_c("sim") * _c("sim"))).alias("_l2"))
+    return sims.join(size, [*case, elem]).withColumn("sim", _c("sim") / F.nullif("_l2", F.lit(0.0))).drop("_l2")

@@ -42,11 +42,19 @@ def _weighted(tokens: DataFrame, owner: str, config: Config) -> DataFrame:
     return joined.withColumn("tfidf", F.coalesce("tfidf", F.lit(0.001)))
 
 
-def align(models: DataFrame, texts: DataFrame, config: Config = Config(), hypernyms: DataFrame | None = None) -> Run:
-    """models(case_id, xml), texts(case_id, text) -> Run. Cases are partitions of every join and never meet."""
+def align(models: DataFrame, texts: DataFrame, config: Config = Config(), hypernyms: DataFrame | None = None, analyser: analysis.Analyser | None = None, mentions: DataFrame | None = None, annotated: DataFrame | None = None) -> Run:
+    """models(case_id, xml), texts(case_id, text) -> Run. Cases are partitions of every join and never meet.
+
+    analyser takes the place of the rule analyser for texts; annotated, tokens that another tool has made (see
+    analysis.TOKENS), that of both texts and analyser. mentions (see analysis.resolve_anaphoras) resolve pronouns.
+    With model_read_strict, a process without exactly one start event and an end is an error.
+    """
     parts = graph.checkpointed(bpmn_parts(models))
     t = bpmn_tables(parts)
-    tokens = graph.checkpointed(analysis.analyse_texts(texts))
+    if config.model_read_strict:
+        _strict(t)
+    tokens = annotated if annotated is not None else analysis.analyse_texts(texts, analyser)
+    tokens = graph.checkpointed(tokens if mentions is None else analysis.resolve_anaphoras(tokens, mentions))
     sentences = tokens.groupBy("case_id", "sent_id").agg(F.first("sentence").alias("sentence"))
     labels = t["elements"].select("case_id", "elem_id", "elem_type", "name")
     for kind, key, name in (("lanes", "lane_id", "Lane"), ("pools", "pool_id", "Pool"), ("edges", "flow_id", "Flow")):
@@ -73,13 +81,21 @@ def align(models: DataFrame, texts: DataFrame, config: Config = Config(), hypern
         chosen = assignment.correct_order(trivial, constrained, assignment.max_constrained(trivial, constrained, "case_id", tasks), config.max_constrained_threshold, "case_id")
     if config.enable_cutoff:
         chosen = _cut(chosen, dense, elements, sentences, config)
-    chosen = graph.checkpointed(chosen)
+    gone = elements.select("case_id", "elem_id").join(chosen, ["case_id", "elem_id"], "left_anti")  # of texts without a sentence
+    chosen = graph.checkpointed(chosen.unionByName(gone.select("case_id", "elem_id", F.lit(None).cast("int").alias("sent_id"), F.lit(0.0).alias("sim"))))
     extra = int(config.enable_anchors)  # the dummy counts as a sentence
     n_sents = sentences.groupBy("case_id").agg((F.count(F.lit(1)) + extra).alias("n"))
     n_elems = elements.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
     return Run(elements, sentences, text_features, model_features, dense, order, constrained, trivial, chosen, assignment.total_score(chosen, n_sents, n_elems, "case_id"))
 
 
+def _strict(t: dict[str, DataFrame]) -> None:
+    process = ["case_id", "process_id"]
+    bad = graph.starts_and_ends(t["elements"], t["edges"], process).filter("not valid").orderBy(*process).limit(5).collect()
+    if bad:
+        raise ValueError("not one start event and an end: " + ", ".join(f"{r.case_id}/{r.process_id} ({r.n_starts} starts, {r.n_ends} ends)" for r in bad))
+
+
 def _alignable(t: dict[str, DataFrame], config: Config) -> DataFrame:
     """Tasks; with anchors also named events and gateways with one way in and some out."""
     deg = graph.degrees(t["edges"], ["case_id"]).withColumnRenamed("node", "elem_id")

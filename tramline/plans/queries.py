@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import DUMMY_SENTENCE, Config
+from ..config import DUMMY_SENTENCE, DUMMY_SIMILARITY, Config
 from ..functions import text as T
-from ..operators import assignment, evaluate, features, graph, predictors, similarity
+from ..operators import analysis, assignment, evaluate, features, graph, predictors, similarity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -320,11 +320,6 @@ def _solved(spark, sf_dir):
     return sims, graph.checkpointed(assignment.constrained_alignment(sims, elements, _before(sims), "conv_id"))
 
 
-@query("constrained_alignment")
-def constrained_alignment(spark, sf_dir):
-    return _solved(spark, sf_dir)[1].withColumn("sim", _r("sim"))
-
-
 # the optimum over a total order by enumerating monotone choices; conversations have few turns
 _MONO = f"""{_CONV.replace('WITH w', 'WITH RECURSIVE w', 1)},
 el AS (SELECT conv_id, elem_id, row_number() OVER (PARTITION BY conv_id ORDER BY elem_id) AS i FROM (SELECT DISTINCT conv_id, elem_id FROM sims)),
@@ -334,6 +329,45 @@ r(conv_id, i, sent_id, total) AS (SELECT conv_id, i, sent_id, sim FROM g WHERE i
 best AS (SELECT r.conv_id, max(total) AS best FROM r JOIN (SELECT conv_id, max(i) AS n FROM el GROUP BY conv_id) m ON r.conv_id = m.conv_id AND r.i = m.n GROUP BY r.conv_id)"""
 
 
+# the chosen sentences: of the optima, the one with the smallest sentences
+_CHOSEN = f"""{_CONV.replace('WITH w', 'WITH RECURSIVE w', 1)},
+el AS (SELECT conv_id, elem_id, row_number() OVER (PARTITION BY conv_id ORDER BY elem_id) AS i FROM (SELECT DISTINCT conv_id, elem_id FROM sims)),
+g AS (SELECT s.conv_id, el.i, s.elem_id, s.sent_id, s.sim FROM sims s JOIN el ON s.conv_id = el.conv_id AND s.elem_id = el.elem_id),
+r(conv_id, i, sent_id, total, path) AS (SELECT conv_id, i, sent_id, sim, [sent_id] FROM g WHERE i = 1
+  UNION ALL SELECT g.conv_id, g.i, g.sent_id, r.total + g.sim, list_append(r.path, g.sent_id) FROM r JOIN g ON g.conv_id = r.conv_id AND g.i = r.i + 1 AND g.sent_id >= r.sent_id),
+ends AS (SELECT r.conv_id, path, row_number() OVER (PARTITION BY r.conv_id ORDER BY round(total, 9) DESC, path) AS k FROM r JOIN (SELECT conv_id, max(i) AS n FROM el GROUP BY conv_id) m ON r.conv_id = m.conv_id AND r.i = m.n),
+co AS (SELECT g.conv_id, g.elem_id, g.sent_id, g.sim FROM ends e JOIN g ON g.conv_id = e.conv_id AND g.sent_id = e.path[g.i] WHERE k = 1),
+tr AS (SELECT conv_id, elem_id, sent_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, elem_id ORDER BY sim DESC, sent_id) AS k FROM sims) WHERE k = 1),
+mc AS (SELECT co.conv_id, max(tr.sim - co.sim) AS max_constrained FROM co JOIN tr ON co.conv_id = tr.conv_id AND co.elem_id = tr.elem_id GROUP BY co.conv_id)"""
+
+
+@query("constrained_alignment", f"{_CHOSEN} SELECT conv_id, elem_id, sent_id, round(sim, 6) AS sim FROM co")
+def constrained_alignment(spark, sf_dir):
+    return _solved(spark, sf_dir)[1].withColumn("sim", _r("sim"))
+
+
+# elements in order; every third is a gateway: it takes the dummy or a sentence of its own that is not before the earlier ones'
+_GATES_SQL = f"""{_CONV.replace('WITH w', 'WITH RECURSIVE w', 1)},
+el AS (SELECT conv_id, elem_id, row_number() OVER (PARTITION BY conv_id ORDER BY elem_id) AS i FROM (SELECT DISTINCT conv_id, elem_id FROM sims)),
+g AS (SELECT s.conv_id, el.i, s.sent_id, s.sim, el.i % 3 = 2 AS gate FROM sims s JOIN el ON s.conv_id = el.conv_id AND s.elem_id = el.elem_id UNION ALL SELECT conv_id, i, -1, {DUMMY_SIMILARITY}, true FROM el WHERE i % 3 = 2),
+r(conv_id, i, last, taken, total) AS (SELECT conv_id, 0::BIGINT, -1::BIGINT, []::BIGINT[], 0::DOUBLE FROM el WHERE i = 1
+  UNION ALL SELECT g.conv_id, g.i, CASE WHEN gate THEN r.last ELSE g.sent_id END, CASE WHEN gate AND g.sent_id >= 0 THEN list_append(r.taken, g.sent_id) ELSE r.taken END, r.total + g.sim
+  FROM r JOIN g ON g.conv_id = r.conv_id AND g.i = r.i + 1 AND (g.sent_id >= r.last OR gate AND g.sent_id = -1) AND NOT (gate AND list_contains(r.taken, g.sent_id)))
+SELECT r.conv_id, round(max(total), 6) AS best FROM r JOIN (SELECT conv_id, max(i) AS n FROM el GROUP BY conv_id) m ON r.conv_id = m.conv_id AND r.i = m.n GROUP BY r.conv_id"""
+
+
+@query("gateway_alignment", _GATES_SQL)
+def gateway_alignment(spark, sf_dir):
+    """The optimum with gateways and the dummy sentence, per conversation; all pairs of elements are in order."""
+    sims = graph.checkpointed(_conversation(spark, sf_dir))
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("elem_id"))
+    elements = sims.select("conv_id", "elem_id").distinct().withColumn("is_gateway", nth % 3 == 2)
+    ends = elements.select("conv_id", "elem_id")
+    before = ends.withColumnRenamed("elem_id", "src").join(ends.withColumnRenamed("elem_id", "dst"), "conv_id").filter("src < dst")
+    found = assignment.constrained_alignment(sims, elements, before, "conv_id", anchors=True)
+    return found.groupBy("conv_id").agg(_r(F.sum("sim")).alias("best"))
+
+
 @query("constrained_objective", f"{_MONO} SELECT conv_id, round(best, 6) AS best FROM best")
 def constrained_objective(spark, sf_dir):
     """The solver's total per conversation."""
@@ -353,13 +387,13 @@ def constrained_against_trivial(spark, sf_dir):
     return free.join(solved.groupBy("conv_id").agg(F.sum("sim").alias("_c")), "conv_id").select("conv_id", (_r(F.col("_t") - F.col("_c")) + 0.0).alias("loss"))
 
 
-@query("max_constrained")
+@query("max_constrained", f"{_CHOSEN} SELECT conv_id, round(max_constrained, 6) AS max_constrained FROM mc")
 def max_constrained(spark, sf_dir):
     sims, solved = _solved(spark, sf_dir)
     return assignment.max_constrained(predictors.trivial_alignment(sims, ["conv_id"]), solved, "conv_id").withColumn("max_constrained", _r("max_constrained"))
 
 
-@query("wrong_order_correction")
+@query("wrong_order_correction", f"{_CHOSEN} SELECT conv_id, elem_id, sent_id, round(sim, 6) AS sim FROM tr WHERE conv_id IN (SELECT conv_id FROM mc WHERE max_constrained > 0.05) UNION ALL SELECT conv_id, elem_id, sent_id, round(sim, 6) FROM co WHERE conv_id NOT IN (SELECT conv_id FROM mc WHERE max_constrained > 0.05)")
 def wrong_order_correction(spark, sf_dir):
     sims, solved = _solved(spark, sf_dir)
     free = predictors.trivial_alignment(sims, ["conv_id"])
@@ -412,9 +446,14 @@ def graph_degrees(spark, sf_dir):
 @query("alignable_elements", f"WITH {_FOLLOWS}, {_FIRST}, deg AS (SELECT user_id, node, sum(i) AS n_in, sum(o) AS n_out FROM (SELECT user_id, src AS node, 0 AS i, 1 AS o FROM da UNION ALL SELECT user_id, dst, 1, 0 FROM da) GROUP BY user_id, node) SELECT user_id, node, CASE WHEN node IN ('click', 'view') THEN 'Task' WHEN node IN ('purchase', 'signup') THEN 'Event' ELSE 'Gateway' END AS elem_type FROM deg WHERE node <> 'error' OR (n_in = 1 AND n_out >= 1)")
 def alignable_elements(spark, sf_dir):
     """Tasks, named events, and gateways with one way in and at least one out; errors stand for gateways."""
-    kind = F.when(F.col("node").isin("click", "view"), "Task").when(F.col("node").isin("purchase", "signup"), "Event").otherwise("Gateway")
-    deg = graph.degrees(_forward(spark, sf_dir), ["user_id"]).withColumn("elem_type", kind)
-    return deg.filter("elem_type <> 'Gateway' or (n_in = 1 and n_out >= 1)").select("user_id", "node", "elem_type")
+    from . import align
+
+    kind = F.when(F.col("elem_id").isin("click", "view"), "Task").when(F.col("elem_id").isin("purchase", "signup"), "Event").otherwise("Gateway")
+    edges = graph.checkpointed(_forward(spark, sf_dir).select(F.col("user_id").alias("case_id"), "src", "dst"))
+    nodes = edges.select("case_id", F.explode(F.array("src", "dst")).alias("elem_id")).distinct()
+    elements = nodes.select("case_id", F.lit("p").alias("process_id"), "elem_id", kind.alias("elem_type"), F.lit(None).cast("string").alias("tag"), F.col("elem_id").alias("name"))
+    found = align._alignable({"elements": elements, "edges": edges}, CONFIG.but(enable_anchors=True))
+    return found.select(F.col("case_id").alias("user_id"), F.col("elem_id").alias("node"), "elem_type")
 
 
 _REACH = f"WITH RECURSIVE {_FOLLOWS}, {_FIRST}, r(user_id, src, dst) AS (SELECT user_id, src, dst FROM da UNION SELECT r.user_id, r.src, da.dst FROM r JOIN da ON r.user_id = da.user_id AND r.dst = da.src)"
@@ -501,7 +540,14 @@ def start_end_validation(spark, sf_dir):
     return graph.starts_and_ends(tagged, edges, ["user_id"])
 
 
-@query("sese_pairs")
+# b post-dominates x if no end can be reached from x once b is taken out
+@query("sese_pairs", f"""WITH RECURSIVE {_FOLLOWS}, {_FIRST}, no AS (SELECT user_id, src AS node FROM da UNION SELECT user_id, dst FROM da),
+en AS (SELECT user_id, node FROM no WHERE NOT EXISTS (SELECT 1 FROM da WHERE da.user_id = no.user_id AND da.src = no.node)),
+av(user_id, b, x) AS (SELECT no.user_id, no.node, en.node FROM no JOIN en ON en.user_id = no.user_id AND en.node <> no.node UNION SELECT av.user_id, av.b, da.src FROM av JOIN da ON da.user_id = av.user_id AND da.dst = av.x AND da.src <> av.b),
+pd AS (SELECT x.user_id, x.node, b.node AS dom FROM no x JOIN no b ON x.user_id = b.user_id WHERE NOT EXISTS (SELECT 1 FROM av WHERE av.user_id = x.user_id AND av.b = b.node AND av.x = x.node)),
+dp AS (SELECT user_id, node, count(*) AS d FROM pd GROUP BY user_id, node),
+op AS (SELECT user_id, src AS node FROM da GROUP BY user_id, src HAVING count(*) > 1), cl AS (SELECT user_id, dst AS node FROM da GROUP BY user_id, dst HAVING count(*) > 1)
+SELECT user_id, open, close FROM (SELECT pd.user_id, pd.node AS open, pd.dom AS close, row_number() OVER (PARTITION BY pd.user_id, pd.node ORDER BY d DESC, pd.dom) AS k FROM pd JOIN op ON op.user_id = pd.user_id AND op.node = pd.node JOIN cl ON cl.user_id = pd.user_id AND cl.node = pd.dom JOIN dp ON dp.user_id = pd.user_id AND dp.node = pd.dom WHERE pd.node <> pd.dom) WHERE k = 1""")
 def sese_pairs(spark, sf_dir):
     edges = graph.checkpointed(_forward(spark, sf_dir))
     gates = edges.select("user_id", F.explode(F.array("src", "dst")).alias("elem_id")).distinct()
@@ -514,13 +560,15 @@ _PRONOUNS = ("it", "he", "she", "they", "this", "that", "es", "er", "sie", "il",
 
 
 @query("anaphora_resolution", f"""WITH m AS (SELECT conv_id, role, turn, text, lower(regexp_extract(coalesce(text, ''), '^[^\\p{{L}}]*(\\p{{L}}*)', 1)) IN ({', '.join(map(repr, _PRONOUNS))}) AS pronoun, row_number() OVER w AS r, first_value(text) OVER w AS head FROM conversations WINDOW w AS (PARTITION BY conv_id, role ORDER BY turn))
-SELECT conv_id, turn, md5(CASE WHEN r > 1 AND pronoun THEN head ELSE text END) AS resolved_md5, r > 1 AND pronoun AS replaced FROM m""")
+SELECT conv_id, turn, md5(CASE WHEN r > 1 AND pronoun THEN head ELSE text END) AS resolved_md5 FROM m""")
 def anaphora_resolution(spark, sf_dir):
-    """A role's turns are an entity's mentions: later ones that open with a pronoun take the first one's text, and keep their place."""
-    w = Window.partitionBy("conv_id", "role").orderBy("turn")
+    """Turns are tokens and a role's turns an entity's mentions: later ones that open with a pronoun take the first one's text, and keep their place."""
     first = F.lower(F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^\p{L}]*(\p{L}*)", 1))
-    m = _read(spark, sf_dir, "conversations").withColumn("_head", F.first("text").over(w)).withColumn("replaced", (F.row_number().over(w) > 1) & first.isin(*_PRONOUNS))
-    return m.select("conv_id", "turn", F.md5(F.when(F.col("replaced"), F.col("_head")).otherwise(F.col("text"))).alias("resolved_md5"), "replaced")
+    turns = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("sent_id"), F.lit(1).alias("tok_id"), "role", F.col("text").alias("form"), first.alias("lemma"))
+    none = F.lit(None).cast("string")
+    tokens = turns.drop("role").select("*", F.when(F.col("lemma").isin(*_PRONOUNS), "pronoun").alias("pos"), none.alias("vform"), none.alias("wn"))
+    mentions = turns.select("case_id", F.col("role").alias("entity_id"), F.col("sent_id").alias("seq"), "sent_id", "tok_id")
+    return analysis.resolve_anaphoras(tokens, mentions).select(F.col("case_id").alias("conv_id"), F.col("sent_id").alias("turn"), F.md5("form").alias("resolved_md5"))
 
 
 def _answers(spark, sf_dir):
@@ -570,9 +618,7 @@ def label_cleaning(spark, sf_dir):
 
 @query("l2_normalised_similarity", f"{_SIMS} SELECT sent_id, elem_id, round(sim / nullif(sqrt(sum(sim * sim) OVER (PARTITION BY elem_id)), 0), 6) AS p FROM sims")
 def l2_normalised_similarity(spark, sf_dir):
-    sims = _sims(spark, sf_dir)
-    size = F.sqrt(F.sum(F.col("sim") * F.col("sim")).over(Window.partitionBy("elem_id")))
-    return sims.select("sent_id", "elem_id", _r(F.col("sim") / F.nullif(size, F.lit(0.0))).alias("p"))
+    return similarity.l2_normalised(graph.checkpointed(_sims(spark, sf_dir)), []).select("sent_id", "elem_id", _r("sim").alias("p"))
 
 
 from . import engine_queries  # noqa: E402, F401  # registers the queries of the feature extractors
