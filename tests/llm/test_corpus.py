@@ -196,9 +196,10 @@ def test_links_lose_nothing(spark, crowd):
 
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)] + [(200, i) for i in range(201, 260)], "u long, v long")
-    got = {r.node: r.component for r in connected_components(chain).collect()}
-    assert all(got[i] == 0 for i in range(41)) and got[101] == 100 and all(got[i] == 200 for i in range(200, 260))
-    assert connected_components(chain.filter("false")).count() == 0
+    for most in (0, 1000):  # by rounds and in one task
+        got = {r.node: r.component for r in connected_components(chain, most_local=most).collect()}
+        assert len(got) == 41 + 2 + 60 and all(got[i] == 0 for i in range(41)) and got[101] == 100 and all(got[i] == 200 for i in range(200, 260))
+        assert connected_components(chain.filter("false"), most_local=most).count() == 0
 
 
 def test_numbered(spark):

@@ -363,14 +363,12 @@ def similar_links(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = LE
         return found
     crowded = crowd.select("_id").distinct()
     _, _, fine, crowd = _candidates(sets.join(crowded, "_id", "left_semi").select("_id", "_set"), words, *_KEYS[1])
-    part = checkpointed(connected_components(found))
+    part = connected_components(found)
     apart = _both(fine, _named(crowded, part, "_id", "_part"), "_part").filter("_x <> _y").select("u", "v", "s")
-    more = _verify(_survivors(apart, sketched, least, far_bits), sets, least)
-    over = connected_components(_named(_named(more, part, "u", "_p"), part, "v", "_q").select(F.col("_p").alias("u"), F.col("_q").alias("v")))
-    held = _named(_named(crowd, part, "_id", "_p"), over, "_p", "_part")
+    found = found.union(_verify(apart, sets, least))
+    held = _named(crowd, connected_components(found), "_id", "_part")
     unsettled = held.groupBy("_key").agg(F.min("_part").alias("_p"), F.max("_part").alias("_q")).filter("_p <> _q").select("_key")
     rest = checkpointed(held.join(unsettled, "_key", "left_semi").select("_id", "_picked", "_part").distinct())
-    found = found.union(more)
     return found.union(_crowd_links(rest, sets, least)) if rest.head(1) else found
 
 
