@@ -369,6 +369,23 @@ def test_nearest_goes_on_until_it_has_enough(spark):
             assert list(got.vec_id) == sorted(range(1, 15), key=lambda i: -float(x[0] @ x[i]))
 
 
+def test_nearest_of_uneven_lengths(spark):
+    """Nearness is the inner product: long rows are found though their angle is not the nearest."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 64))
+    x *= np.exp(rng.normal(size=(len(x), 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = pandas(nearest.search(df, df.filter("vec_id % 20 = 0")))
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    best = np.argsort(-scores, axis=1)[:, :20]
+    assert np.mean([len(set(best[q]) & set(g.vec_id)) / 20 for q, g in got.groupby("query_id")]) >= 0.9 and got.query_id.nunique() == 60
+    rows = [(0, [1e200, 0.0]), (1, [1e-200, 1e-200]), (2, [1.0, 1.0]), (3, [1e90, -1e90]), (4, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = pandas(nearest.search(df, df.filter("vec_id in (1, 2)"), k=3)).sort_values(["query_id", "rank"])
+    assert list(got.vec_id) == [0, 2, 3, 0, 1, 3]
+
+
 def test_quality(spark, docs, empty, data):
     real, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
     model = quality.fit(real, labels)

@@ -16,6 +16,8 @@ from .common import table
 NEIGHBOURS, TABLES, PROBES, QUERY_STEP = 20, 10, 10, 20
 #: Rows of a bucket and queries to it that meet in one task.
 _BLOCK_ROWS, _BLOCK_QUERIES = 4096, 1024
+#: Classes of length for each doubling; lengths of 0.84 to 1.19 are one class.
+_LEVELS = 2
 
 
 def _width(dim: int) -> int:
@@ -60,44 +62,53 @@ def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield ids[own], flat[starts[own][:, None] + np.arange(dim)]
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and classes of length; scaled first, so that no square overflows or vanishes."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    length = np.linalg.norm(x / most, axis=1, keepdims=True)
+    return x / most / length, np.floor((np.log2(most) + np.log2(length))[:, 0] * _LEVELS + 0.5).astype(int)
 
 
-def _cells(batches: Iterator[pa.RecordBatch], tables: int, probes: int, rows: dict[tuple[int, int, int], int], asks: dict | None, least: int, query: bool) -> Iterator[pa.RecordBatch]:
-    """Deal vectors to cells (dim, table, bucket, row block, query block).
+def _cells(batches: Iterator[pa.RecordBatch], tables: int, probes: int, rows: dict[tuple[int, int, int, int], int], asks: dict | None, least: int, query: bool) -> Iterator[pa.RecordBatch]:
+    """Deal vectors to cells (dim, class of length, table, bucket, row block, query block).
 
     A row lies in one block of its bucket in each table and meets every query block there; a query goes to one
-    query block and meets every row block. asks None: only the buckets, for counting; a query's are those with rows.
+    query block of its buckets in every class and meets every row block. asks None: only the buckets, for counting;
+    a query's are those with rows.
     """
+    levels: dict[int, set[int]] = {}
+    for cell in rows:
+        levels.setdefault(cell[0], set()).add(cell[1])
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], [], [], []]
         for ids, x in _vectors(batch):
-            dim, unit = x.shape[1], _unit(x)
+            dim, (unit, own) = x.shape[1], _unit(x)
             packed = [_pack(v) for v in x]
             for t in range(tables):
                 axes = _axes(unit, t, 2 * _width(dim) if query and t == 0 else min(probes, 2 * _width(dim)) if query else 1)
                 for n, key in enumerate(ids):
-                    seen = 0
-                    for p, bucket in enumerate(axes[n].tolist()):
-                        if query and p >= probes and (t > 0 or seen >= least):
-                            break
-                        cell = (dim, t, bucket)
-                        held = rows.get(cell, 0)
-                        if query and not held:
-                            continue
-                        seen += held
-                        if asks is None:
-                            blocks = [(0, 0)]
-                        else:
-                            across, down = -(-held // _BLOCK_ROWS), -(-asks.get(cell, 0) // _BLOCK_QUERIES)
-                            mix = (int(key) * 0x9E3779B97F4A7C15 >> 13) & 0xFFFFFFFF
-                            blocks = [(a, mix % max(1, down)) for a in range(across)] if query else [(mix % max(1, across), b) for b in range(down)]
-                        for a, b in blocks:
-                            for column, value in zip(out, (*cell, a, b, key, packed[n] if asks is not None else b"")):
-                                column.append(value)
-        kinds = [pa.int32()] * 5 + [pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["dim", "tab", "bucket", "across", "down", "key", "vector"])
+                    nearest = axes[n].tolist()
+                    for level in levels.get(dim, ()) if query else (int(own[n]),):
+                        seen = 0
+                        for p, bucket in enumerate(nearest):
+                            if query and p >= probes and (t > 0 or seen >= least):
+                                break
+                            cell = (dim, level, t, bucket)
+                            held = rows.get(cell, 0)
+                            if query and not held:
+                                continue
+                            seen += held
+                            if asks is None:
+                                blocks = [(0, 0)]
+                            else:
+                                across, down = -(-held // _BLOCK_ROWS), -(-asks.get(cell, 0) // _BLOCK_QUERIES)
+                                mix = (int(key) * 0x9E3779B97F4A7C15 >> 13) & 0xFFFFFFFF
+                                blocks = [(a, mix % max(1, down)) for a in range(across)] if query else [(mix % max(1, across), b) for b in range(down)]
+                            for a, b in blocks:
+                                for column, value in zip(out, (*cell, a, b, key, packed[n] if asks is not None else b"")):
+                                    column.append(value)
+        kinds = [pa.int32()] * 6 + [pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["dim", "level", "tab", "bucket", "across", "down", "key", "vector"])
 
 
 def _pack(v: np.ndarray) -> bytes:
@@ -110,8 +121,8 @@ def _unpack(packed: pd.Series, dim: int) -> np.ndarray:
     return np.stack([np.frombuffer(p, "<f4" if len(p) == 4 * dim else "<f8").astype(np.float64) for p in packed])
 
 
-_CELL = "dim int, tab int, bucket int, across int, down int, key long, vector binary"
-_KEYS = ["dim", "tab", "bucket", "across", "down"]
+_CELL = "dim int, level int, tab int, bucket int, across int, down int, key long, vector binary"
+_KEYS = ["dim", "level", "tab", "bucket", "across", "down"]
 
 
 def _nearest(k: int):
@@ -145,21 +156,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, tables:
 
     Every table assigns every unit vector to the nearest signed axis of its own pseudo-random rotation. A query probes
     the axes nearest to it in each table, in the first as many as it takes to meet k + 1 rows (so fewer than k + 1
-    vectors are all found). All rows of the probed buckets are reranked by the exact inner product of the original
+    vectors are all found), and does so in each class of rows of like length (half a doubling), for within a class the
+    nearest by angle are nearly those of the largest inner product, and short rows can't crowd out long ones. All rows of the probed buckets are reranked by the exact inner product of the original
     vectors in double precision; ties go to the smaller id. No bucket, candidate or partner is capped: crowded
     buckets are split into blocks of rows and of queries, and every block of rows meets every block of queries.
     Vectors null, zero or with null or non-finite components take no part, nor do rows without an id; vectors of
     different dimension never meet. Repeated ids with the same vector count once per query. An empty table gives an
     empty result; other columns are ignored.
 
-    Only counts of buckets (2 x dim x tables) reach the driver. Nearness is by angle; for rows of very different
-    length append a coordinate that makes lengths equal first.
+    Only counts of buckets (2 x dim x tables for each class of length) reach the driver.
     """
     rows, asks = (_valid(df, id_col, vec_col) for df in (vectors, queries))
 
-    def counted(df: DataFrame, rows: dict, query: bool) -> dict[tuple[int, int, int], int]:
+    def counted(df: DataFrame, rows: dict, query: bool) -> dict[tuple[int, int, int, int], int]:
         cells = df.mapInArrow(lambda it: _cells(it, tables, probes, rows, None, k + 1, query), _CELL)
-        return {(r[0], r[1], r[2]): r[3] for r in cells.groupBy("dim", "tab", "bucket").count().collect()}
+        return {tuple(r[:4]): r[4] for r in cells.groupBy("dim", "level", "tab", "bucket").count().collect()}
 
     held = counted(rows, {}, False)
     asked = counted(asks, held, True)  # with the further buckets that a query goes on to
@@ -173,9 +184,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, tables:
 def _valid(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     vector = F.transform(F.col(vec_col), lambda v: v.cast("double"))
     fine = F.forall("_vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    length = F.aggregate("_vector", F.lit(0.0), lambda s, v: s + v * v)
     out = df.select(F.col(id_col).cast("long").alias("_id"), vector.alias("_vector"))
-    return out.filter(F.col("_id").isNotNull() & F.col("_vector").isNotNull() & fine & (length > 0))
+    return out.filter(F.col("_id").isNotNull() & F.col("_vector").isNotNull() & fine & F.exists("_vector", lambda v: v != 0))
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
