@@ -77,15 +77,17 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "component"])
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60, most_local: int = MOST_LOCAL) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 60, most_local: int = MOST_LOCAL, written: bool = False) -> DataFrame:
     """edges(u long, v long) -> (node, component): component is the smallest node that can be reached.
 
     Up to most_local edges, counted first, go to one task. More alternate large-star and small-star steps until all is
     stars. Each step is a map-side combined minimum by node and an equi-join that sends every neighbour to it, so a hub's
     neighbours are never gathered in one place (the join's large partitions can be split). A checkpoint ends each round;
-    the driver sees one row at most. Both ways give the same rows.
+    the driver sees one row at most. Both ways give the same rows. written: the edges only read tables that are written
+    out already, so that they are read twice rather than written again.
     """
-    now = checkpointed(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now = now if written else checkpointed(now)
     if now.count() <= most_local:
         return checkpointed(now.coalesce(1).mapInArrow(_union_find, "node long, component long"))
     now = checkpointed(now.distinct())

@@ -317,7 +317,7 @@ def _crowd_links(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     members have to meet the leads alone. Only those of whose shingles a part of `least` is common need to. A passage that
     all share makes one lead; where most members differ in common shingles, all blocks of them meet.
     """
-    crowds = connected_components(rest.select(F.col("_id").alias("u"), F.col("_picked").alias("v")))
+    crowds = connected_components(rest.select(F.col("_id").alias("u"), F.col("_picked").alias("v")), written=True)
     members = rest.select("_id", "_part").distinct().join(crowds.select(F.col("node").alias("_id"), F.col("component").alias("_crowd")), "_id")
     members = checkpointed(members.join(sets, "_id").select("_crowd", "_id", "_part", "_set"))
     shingles = members.select("_crowd", "_id", "_set").mapInArrow(_exploded, "_crowd long, _id long, _shingle long")
@@ -363,10 +363,10 @@ def similar_links(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = LE
         return found
     crowded = crowd.select("_id").distinct()
     _, _, fine, crowd = _candidates(sets.join(crowded, "_id", "left_semi").select("_id", "_set"), words, *_KEYS[1])
-    part = connected_components(found)
+    part = connected_components(found, written=True)
     apart = _both(fine, _named(crowded, part, "_id", "_part"), "_part").filter("_x <> _y").select("u", "v", "s")
     found = found.union(_verify(apart, sets, least))
-    held = _named(crowd, connected_components(found), "_id", "_part")
+    held = _named(crowd, connected_components(found, written=True), "_id", "_part")
     unsettled = held.groupBy("_key").agg(F.min("_part").alias("_p"), F.max("_part").alias("_q")).filter("_p <> _q").select("_key")
     rest = checkpointed(held.join(unsettled, "_key", "left_semi").select("_id", "_picked", "_part").distinct())
     return found.union(_crowd_links(rest, sets, least)) if rest.head(1) else found
@@ -381,7 +381,7 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are ignored. An empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    found = connected_components(similar_links(base, words, least))
+    found = connected_components(similar_links(base, words, least), written=True)
     return found.select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
 
 
