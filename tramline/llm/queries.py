@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, line_dedup, nearest, packing, quality, sharding, simhash, surrogates, wrapper
+from . import audit, byte_bpe, exact_dedup, line_dedup, nearest, packing, quality, randomness, sharding, simhash, surrogates, whitening, wrapper
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_wrapper": wrapper.op8_wrapper,
     "op9_nearest": nearest.op9_nearest,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_randomness": randomness.op12_randomness,
+    "op13_audit": audit.op13_audit,
 }
 
-ORACLE_SQL = {**line_dedup.SQL, **exact_dedup.SQL}
+ORACLE_SQL = {**line_dedup.SQL, **exact_dedup.SQL, **randomness.SQL, **audit.SQL}
