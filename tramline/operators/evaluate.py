@@ -36,3 +36,21 @@ def accuracy_summary(per_case: DataFrame, by: list[str]) -> DataFrame:
     return per_case.groupBy(*by).agg(
         F.avg("accuracy").alias("mean_case_accuracy"), (F.sum("n_correct") / F.nullif(F.sum("n_total"), F.lit(0))).alias("pooled_accuracy"), F.median("accuracy").alias("median_accuracy")
     )
+
+
+def compare_many(answers: dict[str, DataFrame], case: str = "case_id") -> DataFrame:
+    """-> (case, elem_id, held long, agree long, answer string, one_sided boolean) for any number of annotators.
+
+    One tagged union and one aggregation by element. Bit k of held: annotator k (in the order of answers) has the element;
+    bit k of agree: its answer is the one that most annotators give (ties: the smaller text). one_sided: not all have it.
+    An annotator that answers twice for an element counts with its smaller answer.
+    """
+    tagged = None
+    for k, df in enumerate(answers.values()):
+        own = df.select(case, "elem_id", F.lit(1 << k).cast("long").alias("_bit"), answer(F.col("sent_id"), F.col("err")).alias("_a"))
+        tagged = own if tagged is None else tagged.unionByName(own)
+    once = tagged.groupBy(case, "elem_id", "_bit").agg(F.min("_a").alias("_a"))
+    same = once.groupBy(case, "elem_id", "_a").agg(F.sum("_bit").alias("_bits"))
+    best = F.struct((-F.bit_count("_bits")).alias("n"), F.col("_a").alias("a"), F.col("_bits").alias("bits"))
+    out = same.groupBy(case, "elem_id").agg(F.sum("_bits").alias("held"), F.min(best).alias("_best"))
+    return out.select(case, "elem_id", "held", F.col("_best.bits").alias("agree"), F.col("_best.a").alias("answer"), (F.col("held") != (1 << len(answers)) - 1).alias("one_sided"))

@@ -173,17 +173,19 @@ def actions(config, t):
 
 def _role(config, tokens, owner, role, who):
     head = feature(tokens.filter(F.col("role") == role).filter("is_head"), owner, f"{who}-head", [F.col("lemma"), F.col("pos")], config, _times(config))
-    return head.unionByName(feature(content_tokens(tokens).filter(F.col("role") == role), owner, f"in-{who}", [F.col("lemma"), F.col("pos")], config, _times(config)))
+    words = content_tokens(tokens).filter(F.col("role") == role)
+    words = words.filter("in_role") if "in_role" in tokens.columns else words
+    return head.unionByName(feature(words, owner, f"in-{who}", [F.col("lemma"), F.col("pos")], config, _times(config)))
 
 
 @text_extractor
 def agents(config, t):
-    return _role(config, t["tokens"], _S, "A0", "agent")
+    return _role(config, t.get("role_tokens", t["tokens"]), _S, "A0", "agent")
 
 
 @text_extractor
 def patients(config, t):
-    return _role(config, t["tokens"], _S, "A1", "patient")
+    return _role(config, t.get("role_tokens", t["tokens"]), _S, "A1", "patient")
 
 
 @text_extractor

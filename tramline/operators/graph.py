@@ -17,14 +17,20 @@ from pyspark.sql import functions as F
 MOST_ROUNDS = 100
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the shared folder of spark.checkpoint.dir; a folder of our own only where none is set and all runs in one process."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark) -> str:
+    """The session's checkpoint folder: that of spark.checkpoint.dir, or one of our own only where none is set and all runs in one process."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/tramline-{uuid.uuid4().hex}")
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -175,6 +181,8 @@ def bypass(edges: DataFrame, gone: DataFrame, case: list[str], most_rounds: int
         was, n = n, seen.count()
         if n == was:
             break
+    else:
+        raise RuntimeError(f"paths through what is taken out do not end within {most_rounds} steps")
     through = seen.join(g_dst, [*case, "dst"], "left_anti").select(*case, "src", "dst")
     return out.union(through).distinct()
 

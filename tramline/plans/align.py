@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DUMMY_SENTENCE, DUMMY_SIMILARITY, Config
-from ..operators import analysis, assignment, evaluate, features, graph, predictors, similarity
+from ..operators import analysis, assignment, evaluate, features, graph, predictors, senses, similarity, spans
 from ..sources.readers import bpmn_parts, bpmn_tables
 
 _SE = ["case_id", "sent_id", "elem_id"]
@@ -42,11 +42,14 @@ def _weighted(tokens: DataFrame, owner: str, config: Config) -> DataFrame:
     return joined.withColumn("tfidf", F.coalesce("tfidf", F.lit(0.001)))
 
 
-def align(models: DataFrame, texts: DataFrame, config: Config = Config(), hypernyms: DataFrame | None = None, analyser: analysis.Analyser | None = None, mentions: DataFrame | None = None, annotated: DataFrame | None = None) -> Run:
+def align(models: DataFrame, texts: DataFrame, config: Config = Config(), hypernyms: DataFrame | None = None, analyser: analysis.Analyser | None = None, mentions: DataFrame | None = None, annotated: DataFrame | None = None, predicates: DataFrame | None = None, arguments: DataFrame | None = None, constituents: DataFrame | None = None, word_senses: DataFrame | None = None) -> Run:
     """models(case_id, xml), texts(case_id, text) -> Run. Cases are partitions of every join and never meet.
 
     analyser takes the place of the rule analyser for texts; annotated, tokens that another tool has made (see
     analysis.TOKENS), that of both texts and analyser. mentions (see analysis.resolve_anaphoras) resolve pronouns.
+    predicates and arguments (see spans.role_tokens) take the place of the tokens' own roles, constituents (see
+    spans.condition_tokens) that of their conditions. word_senses(wn, senses) and hypernyms give words of texts and labels
+    the sense that ranks best in the hypernym graph, where they have none.
     With model_read_strict, a process without exactly one start event and an end is an error.
     """
     parts = graph.checkpointed(bpmn_parts(models))
@@ -62,7 +65,17 @@ def align(models: DataFrame, texts: DataFrame, config: Config = Config(), hypern
     holders = t["members"].select("case_id", F.col("lane_id").alias("holder_id"), "elem_id")
     in_pool = t["elements"].select("case_id", "process_id", "elem_id").join(t["pools"].select("case_id", "process_id", F.col("pool_id").alias("holder_id")), ["case_id", "process_id"])
     holders = holders.unionByName(in_pool.select("case_id", "holder_id", "elem_id")).distinct()
-    tables = {**t, "tokens": _weighted(tokens, "sent_id", config), "label_tokens": _weighted(analysis.analyse_labels(labels), "elem_id", config), "holders": holders}
+    label_tokens = analysis.analyse_labels(labels)
+    if word_senses is not None and hypernyms is not None:
+        best = graph.checkpointed(senses.best_senses(word_senses, senses.page_rank(hypernyms)))
+        tokens, label_tokens = senses.with_senses(tokens, best), senses.with_senses(label_tokens, best)
+    if constituents is not None:
+        tokens = spans.with_conditions(tokens, constituents)
+    if predicates is not None:
+        tokens = spans.with_predicates(tokens, predicates)
+    tables = {**t, "tokens": _weighted(tokens, "sent_id", config), "label_tokens": _weighted(label_tokens, "elem_id", config), "holders": holders}
+    if predicates is not None and arguments is not None:
+        tables["role_tokens"] = spans.role_tokens(predicates, arguments, tables["tokens"])
     if hypernyms is not None:
         tables["hypernyms"] = features.hypernym_chain(hypernyms, config.hypernym_chain_length)
     text_features = features.extract(features.TEXT_EXTRACTORS, config, tables, ["case_id", "sent_id"])
