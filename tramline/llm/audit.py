@@ -8,7 +8,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, UPPER, checkpointed, table
+from .common import BLANKS, checkpointed, table
 
 #: Production parameters of op13: A words, B distinct words in a hundred, C capitals in a hundred code points, D signs.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SIGNS = 200, 50, 2, "[#$%&*|]"
@@ -17,22 +17,21 @@ FILTERS = "ABCDE"
 _SETS = range(1 << len(FILTERS))
 
 
-def words(text: Column) -> Column:
-    """The maximal runs without ASCII white space, and one null that stands for the row itself."""
-    found = F.filter(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), lambda w: w != "")
-    return F.concat(found, F.array(F.lit(None).cast("string")))
-
-
-def word_counts(rows: DataFrame) -> DataFrame:
+def word_counts(rows: DataFrame, salts: int = 16) -> DataFrame:
     """rows(_id, _mark, _text) -> (_id, _mark, words long, distinct long): by (row, word) first, by row then.
 
-    Both aggregations are combined before they are shuffled; a word that all documents share is spread by row. Rows that
-    repeat an id and a text meet in one group: their nulls count them, and each has the group's words divided by that.
+    Texts are dealt by row once, so that neither aggregation shuffles words: they would be several times the texts. Rows that
+    repeat an id and a text are dealt to `salts` places by the task that read them, so that no task gets all; in each place
+    they meet in one group, a null word for each row counts them, and each has the group's words divided by that.
     """
-    single = rows.select("_id", "_mark", F.explode(words(F.col("_text"))).alias("_word")).groupBy("_id", "_mark", "_word").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = rows.select("_id", "_mark", "_text", F.pmod(F.spark_partition_id(), F.lit(salts)).alias("_salt")).repartition("_id", "_mark", "_salt")
+    split = F.concat(F.array(F.lit(None).cast("string")), F.split("_text", f"[{BLANKS}]+"))
+    each = dealt.select("_id", "_mark", "_salt", F.explode(split).alias("_word")).filter("_word is null or _word <> ''")
+    single = each.groupBy("_id", "_mark", "_salt", "_word").agg(F.count(F.lit(1)).alias("_n"))
     held = F.col("_word").isNotNull()
-    total = single.groupBy("_id", "_mark").agg(F.sum(F.when(held, F.col("_n"))).alias("_words"), F.count("_word").alias("_distinct"), F.sum(F.when(~held, F.col("_n"))).alias("_rows"))
-    return total.select("_id", "_mark", (F.coalesce("_words", F.lit(0)) / F.col("_rows")).cast("long").alias("_words"), "_distinct")
+    total = single.groupBy("_id", "_mark", "_salt").agg(F.sum(F.when(held, F.col("_n"))).alias("_words"), F.count("_word").alias("_distinct"), F.sum(F.when(~held, F.col("_n"))).alias("_rows"))
+    same = total.select("_id", "_mark", (F.coalesce("_words", F.lit(0)) / F.col("_rows")).cast("long").alias("_words"), "_distinct")
+    return same.groupBy("_id", "_mark").agg(F.max("_words").alias("_words"), F.max("_distinct").alias("_distinct"))  # alike in all places
 
 
 def flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
@@ -41,7 +40,7 @@ def flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text.alias("_text"))
     base = base.withColumn("_mark", F.xxhash64("_text"))
     counts = word_counts(base)
-    capitals = F.length("_text") - F.length(F.translate("_text", UPPER, ""))
+    capitals = F.length(F.regexp_replace("_text", "[^A-Z]+", ""))
     own = base.select(
         "_id",
         "_mark",
