@@ -5,6 +5,7 @@ from __future__ import annotations
 import hmac
 import ipaddress
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -46,7 +47,19 @@ _FIRST = r"[^\W\d_a-zà-ÿа-яё]"
 #: Letters, with a hyphen or an apostrophe before a letter; what English puts after an apostrophe is no part of the name.
 _WORD = _FIRST + r"(?:[^\W\d_]|[-‐'’](?!(?:s|d|m|t|ll|re|ve)\b)(?=[^\W\d_]))+"
 _WORDS = r"(?:(?:" + "|".join(PARTICLES) + "|" + _FIRST + r"\.) )*" + _WORD
-_NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True)) + rf")\.? ({_WORDS}(?: {_WORDS})*)")
+_TITLE = "(?:" + "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True)) + r")\.? "
+#: Titles in a row (Frau Dr.), then the name.
+_NAME = re.compile(rf"(?<!\w)((?:{_TITLE})+)({_WORDS}(?: {_WORDS})*)")
+#: Titles of a language that writes headlines in capitals; after them a longer run than LONGEST words is the
+#: first two and what recurs elsewhere in the text.
+HEADLINES, LONGEST = {"Mrs", "Ms", "Miss", "Mr", "Dr", "Prof", "Professor"}, 3
+#: Names that are words or dates as well. They, and words that the text has in lower case too, are replaced
+#: beside a title or another word of a name only.
+COMMON = set(
+    "april august autumn baker bill bishop black bond brown bush carter church cook cross day dean drew english faith field fields fisher ford forest foster fox frank "
+    "french friday gold grace grant gray green hall hill holiday hope hunter ivory jack january joy june king knight lake land lane law little long love march mark marsh mason may miller "
+    "monday moon noble north page park parker pierce potter power price prince rice rich rose said south spring stone summer sunday thursday tuesday walker west white will winter wood woods young".split()
+)
 #: So many words of a name may be in a script without capitals; further ones begin with a capital.
 _WITHOUT_CAPITALS = 3
 #: In this order; a span that is taken is not looked at again. Of secrets, group 1 is what is replaced. A pattern is
@@ -56,14 +69,21 @@ PATTERNS = [
     ("secret", re.compile(r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\b\"?\s*[:=]\s*[\"']?([^\s\"',;<>]{6,})"), (":", "=")),
     ("secret", re.compile(r"\b(?:AKIA|ASIA)([0-9A-Z]{16})\b"), ("AKIA", "ASIA")),
     ("secret", re.compile(r"\b(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_)([A-Za-z0-9_-]{16,})"), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk_live_")),
-    ("email", re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+"), ("@",)),
+    ("secret", re.compile(r"\beyJ([A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"), ("eyJ",)),
+    ("secret", re.compile(r"\bBearer ([A-Za-z0-9._~+/-]{16,}=*)"), ("Bearer ",)),
+    ("secret", re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s/@]{3,})@"), ("://",)),
+    ("email", re.compile(r"@[\w-]++(?:\.[\w-]++)+"), ("@",)),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), ()),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"), (".",)),
     ("ip", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::[0-9A-Fa-f]{1,4}){0,6}(?:[0-9A-Fa-f]{1,4})?(?![\w:]|\.\d)|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:)(?::[0-9A-Fa-f]{1,4}){2,6}(?![\w:]|\.\d)"), (":",)),
     ("ssn", re.compile(r"(?<![\w-])(?<!\d )(?!000|666|9)\d{3}([- ])\d{2}\1\d{4}(?![\w-]| \d)"), ()),
     ("card", re.compile(r"(?<![\w+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"), ()),
-    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.+-])(?:1[.-])?[2-9]\d{2}([.-])\d{3}\1\d{4}(?![\w-]|\.\d)"), ()),
+    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.+-])(?:1[.-])?[2-9]\d{2}([.-])\d{3}\1\d{4}(?![\w-]|\.\d)|(?<![\w.,+/-])(?<!\d )0[1-9]\d{1,3}[ /-]\d{5,8}(?![\w/-]|[.,]\d| \d)"), ()),
 ]
+#: Calling codes of countries that have one or two digits; all others have three.
+SHORT_CODES = {"1", "7", "20", "27", *map(str, range(30, 35)), "36", "39", "40", "41", *map(str, range(43, 50)), *map(str, range(51, 59)), *map(str, range(60, 67)), "81", "82", "84", "86", *map(str, range(90, 96)), "98"}
+_LOCAL = re.compile(r"[\w.%+-]")
+_SPOKEN = re.compile(r"[^\W\d_]+(?:[-‐'’][^\W\d_]+)*")
 #: What numbers of payment cards begin with.
 _ISSUERS = re.compile("4|5[0-8]|6|2[2-7]|3[0-9]")
 _DIGIT = re.compile(r"\d")
@@ -78,6 +98,18 @@ def _luhn(digits: str) -> bool:
     return sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
+def _emails(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Addresses, read from each @ to the left, so that a long run without one is never tried place by place."""
+    end = 0
+    for m in pattern.finditer(text):
+        at = m.start()
+        while at > end and _LOCAL.match(text, at - 1):
+            at -= 1
+        if at < m.start():
+            end = m.end()
+            yield at, end
+
+
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
     """Entities as (start, end, kind, canonical value), by place.
 
@@ -88,15 +120,22 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
         return []
     found: list[tuple[int, int, str, str]] = []
 
+    taken = bytearray()  # a byte for each place, once there is an entity
+
     def free(a: int, b: int) -> bool:
-        return all(b <= x[0] or a >= x[1] for x in found)
+        return taken.find(1, a, b) < 0
+
+    def put(a: int, b: int, kind: str, value: str) -> None:
+        if not taken:
+            taken.extend(bytes(len(text)))
+        taken[a:b] = b"\x01" * (b - a)
+        found.append((a, b, kind, value))
 
     digits = _DIGIT.search(text)
     for kind, pattern, hints in PATTERNS:
         if not any(h in text for h in hints) if hints else not digits:
             continue
-        for m in pattern.finditer(text):
-            a, b = m.span(1 if kind == "secret" else 0)
+        for a, b in _emails(text, pattern) if kind == "email" else (m.span(1 if kind == "secret" else 0) for m in pattern.finditer(text)):
             value = text[a:b].rstrip(".") if kind in ("email", "secret") else text[a:b]
             b = a + len(value)
             if not free(a, b) or kind == "iban" and _iban_rest(value.replace(" ", "")) != 1:
@@ -113,31 +152,46 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
                 except ValueError:
                     continue
             elif kind in ("phone", "card", "iban", "ssn"):
-                value = re.sub(r"[^A-Z0-9]", "", value)
-            found.append((a, b, kind, value))
+                value = "+" * value.startswith("+") + re.sub(r"[^A-Z0-9]", "", value)
+            put(a, b, kind, value)
     if any(t in text for t in _GENDER):
         named: dict[str, str] = {}
         forms: set[str] = set()
+        stand = Counter(_SPOKEN.findall(text))
         for m in _NAME.finditer(text):
-            words, gender = [], _GENDER[m[1]]
+            titles = [t.rstrip(".") for t in m[1].split()]
+            gender = next((g for t in titles if (g := _GENDER[t])), "")
+            words: list[str] = []
             for w in m[2].split(" "):
                 if w not in PARTICLES and not w.endswith("."):
                     if len(words) >= _WITHOUT_CAPITALS and not w[0].isupper():
                         break
                     words.append(w)
+            if len(words) > LONGEST and titles[-1] in HEADLINES:
+                own = Counter(_SPOKEN.findall(m[2]))
+                words = words[:2] + [w for w in words[2:] if stand[w] > own[w]]
             for n, w in enumerate(words):
                 kind, value = "surname" if n == len(words) - 1 else f"given_{gender}", w.casefold()
                 if named.get(value, "given_") == "given_":  # a gender once told holds in the text
                     named[value] = kind
                 forms |= {w, w.upper()}
         if forms:
+            unsure = {w for w in forms if w.casefold() in COMMON or w.lower() != w and stand[w.lower()]}
             again = re.compile(r"(?<![\w])(?:" + "|".join(sorted(map(re.escape, forms), key=len, reverse=True)) + r")(?!\w|[-‐'’](?!(?:s|d|m|t|ll|re|ve)\b)[^\W\d_])")
             for m in again.finditer(text):
-                if free(*m.span()):
-                    found.append((*m.span(), named[m[0].casefold()], m[0].casefold()))
+                if free(*m.span()) and (m[0] not in unsure or _beside_name(text, *m.span(), forms)):
+                    put(*m.span(), named[m[0].casefold()], m[0].casefold())
     return sorted(found)
 
 
+def _beside_name(text: str, a: int, b: int, forms: set[str]) -> bool:
+    """Whether a title or another word of a name stands right before, or such a word right after."""
+    before, after = text[max(0, a - 80) : a], text[b : b + 80]
+    left = before.rsplit(maxsplit=1)[-1] if before.endswith(" ") and before.strip() else ""
+    right = re.match(r" ([^\W\d_]+(?:[-‐'’][^\W\d_]+)*)", after)
+    return left.rstrip(".") in _GENDER or left in forms or left in PARTICLES and _beside_name(text, a - 1 - len(left), a - 1, forms) or bool(right) and right[1] in forms
+
+
 class _Draw:
     """Numbers from a keyed stream that an entity and an attempt decide."""
 
@@ -181,7 +235,10 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "phone":
-        return value[0] + str(2 + draw.below(8)) + draw.like(value[2:])
+        n = 1
+        if value[0] == "+":
+            n += next((k for k in (1, 2) if value[1 : 1 + k] in SHORT_CODES), 3)
+        return value[:n] + str(2 + draw.below(8)) + draw.like(value[n + 1 :])
     if kind == "card":
         body = value[:4] + draw.like(value[4:-1])
         return body + next(d for d in "0123456789" if _luhn(body + d))
@@ -200,7 +257,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
 def shaped(value: str, original: str, kind: str) -> str:
     """A canonical surrogate in the original's writing: its separators and its use of capitals."""
     if kind in ("phone", "card", "iban", "ssn"):
-        left = iter(value)
+        left = iter(value.lstrip("+"))
         return "".join(next(left, "") if c.isalnum() else c for c in original)
     if kind == "email":
         return value.upper() if original.isupper() else value
@@ -288,9 +345,10 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     Kinds: email, phone, ip, card, ssn, iban, secrets (tokens, passwords, access keys, private keys) and names. One
     value has one surrogate in the whole corpus, whatever its writing (coreference), and two values never share one,
     nor is a surrogate some other real value (distinctness; first names and surnames together). Phones keep their
-    country's first digit, cards their issuer and the validity of the check digit, IBANs their country and a right check
+    country's calling code, cards their issuer and the validity of the check digit, IBANs their country and a right check
     number, emails their pattern and top domain (equal domains stay equal), secrets their alphabet, names their gender,
-    script and capitals. A name is found by a title before it; its words are replaced wherever they stand in that text.
+    script and capitals. A name is found by a title, or titles in a row, before it; its words are replaced wherever they stand in that text, words
+    that are ordinary ones too (COMMON, or in lower case in the text) beside a title or another word of the name only.
     Names map word by word, so a surname alone keeps its surrogate. A first name has one surrogate for each gender that
     titles tell of it; where a title tells none, it takes the gender that others tell, if it is only one.
     Null texts stay null, empty ones empty, both without entities; texts without entities are unchanged. Repeated rows
