@@ -574,6 +574,30 @@ def test_an_article_keeps_what_its_names_only_hint_at():
     assert wrapper.extract("<body><div class='page-header'>l</div><div><h2 id='related-work'>a</h2><p class='notice-period'>b</p><p class='ad'>c</p></div></body>") == "a\nb"
 
 
+def test_cards_do_not_silence_the_story():
+    story = "The story goes on for a while and has many words in it. " * 4
+    page = f'<body><div class="story"><h1>Title</h1><p>{story}</p><p>{story}</p></div><div><article><a>Other A</a></article><article>Other B</article></div></body>'
+    assert wrapper.extract(page) == "\n".join(["Title", story.strip(), story.strip()])
+    one = f"<body><div><p>{story}</p></div><article><p>{story}</p></article></body>"
+    assert wrapper.extract(one) == story.strip()  # an article beside as much text is still the article
+    small = f"<body><div><p>{story * 4}</p></div><article><p>Card</p></article></body>"
+    assert wrapper.extract(small) == f"{(story * 4).strip()}\nCard"
+    listed = f"<main><article><p>{story}</p></article><article><p>{story}</p></article></main>"
+    assert wrapper.extract(listed).count("goes on") == 8  # a page of several posts
+
+
+def test_names_that_only_look_aside():
+    story = "The story goes on for a while and has many words in it. " * 4
+    for name in ("comments-policy", "ad-hoc", "promo-code", "search-results", "login", "discussion"):
+        assert wrapper.extract(f'<body><div><p>{story}</p></div><div id="{name}">Stays</div></body>').endswith("Stays"), name
+    for name in ("ad-slot", "sidebar-left", "cookie-notice", "site-header", "newsletter-signup", "ads"):
+        assert wrapper.extract(f'<body><div><p>{story}</p></div><div id="{name}">Goes</div></body>') == story.strip(), name
+    for name in ("widget", "modal", "popup", "pager", "newsletter"):
+        assert wrapper.extract(f'<article><p>{story}</p><div class="{name}">Stays</div></article>').endswith("Stays"), name
+    for name in ("ad", "comments", "sponsored"):
+        assert wrapper.extract(f'<article><p>{story}</p><div class="{name}">Goes</div></article>') == story.strip(), name
+
+
 def test_copies_make_no_template(spark):
     same = "<body><p>the same page</p></body>"
     df = spark.createDataFrame([(i, "http://h/", same) for i in range(9)], "page_id long, url string, html string")
