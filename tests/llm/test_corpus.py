@@ -679,10 +679,32 @@ def test_pipeline(spark, data):
     assert got.groupby("doc_id").length.sum().to_dict() == clean
 
 
+def test_stages_tell_rows_apart(spark, data):
+    """Nulls, empty and long texts, rows that repeat or lack an id, columns of clashing names, an empty table."""
+    import corpus_pipeline as P
+
+    near = " ".join(f"word{i}" for i in range(300))
+    rows = [(1, "a b c"), (2, "a  b c "), (2, "unique text"), (2, "unique text"), (None, "lost twice"), (None, "lost twice"), (None, "lost  twice"), (None, "a b c"), (3, None), (4, ""), (4, " "), (5, "x" * 300_000)]
+    rows += [(10, near), (11, near + " more"), (12, "something else"), (11, "other text of eleven"), (None, near + " again"), (13, near.upper() + " end")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "k", 0.5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __n int, component_id string, kept double").repartition(3)
+    once = P.exact_copies(spark, df, data)
+    assert once.schema == df.schema
+    kept = sorted((r.doc_id or 0, (r.text or "")[:30].strip()) for r in once.collect())
+    assert kept == sorted([(2, "a  b c"), (2, "unique text"), (0, "lost  twice"), (4, ""), (5, "x" * 30)] + [(i or 0, t[:30].strip()) for i, t in rows[12:]])
+    apart = P.near_copies(spark, once, data)
+    left = [(r.doc_id, r.text) for r in apart.collect()]
+    assert sum(t.lower().startswith("word0 word1 ") for _, t in left if t) == 1 and (11, "other text of eleven") in left and (12, "something else") in left and len(left) == len(kept) - 3
+    nobody = df.filter("false")
+    for name, f in P.STAGES[1:]:
+        assert f(spark, nobody, data).count() == 0, name
+    assert P.personal_data(spark, df, data).count() == len(rows) and P.packing(spark, df, data).filter("doc_id = 3").first().length == 1
+    assert P.quality_classifier(spark, df.unionByName(spark.read.parquet(f"{data}/documents.parquet"), True), data).schema.names == df.columns
+
+
 def test_registered():
     from tramline.llm import queries
 
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 14))
 
 
 def test_sql(spark, data):

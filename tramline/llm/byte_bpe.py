@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Entries of a worker's memory of text units already encoded; it is emptied when full.
-_MEMORY = 600_000
+#: Bytes of a worker's memory of text units already encoded, and what an entry takes besides its own; it is emptied when full.
+_MEMORY, _ENTRY = 128 << 20, 190
 #: White space that is not ASCII, or that Python and Unicode class differently: such texts are split as a whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
 #: A run of white space with what follows it. No token of the pattern crosses from other text into white space.
@@ -87,6 +87,7 @@ class Codec:
             self.token[v] = k
         self.split = regex.compile(pattern)
         self.memory: dict[str, bytes] = {}
+        self.held = 0
 
     @cached_property
     def whole(self) -> PerfectHash:
@@ -140,11 +141,13 @@ class Codec:
             return b"".join(map(memory.__getitem__, units))
         except KeyError:
             pass
-        if len(memory) > _MEMORY:
+        if self.held > _MEMORY:
             memory.clear()
+            self.held = 0
         for u in units:
             if u not in memory:
-                memory[u] = self._unit(u)
+                memory[u] = ids = self._unit(u)
+                self.held += len(u) + len(ids) + _ENTRY
         return b"".join(map(memory.__getitem__, units))
 
     def decode(self, ids: bytes) -> bytes:

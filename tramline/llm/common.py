@@ -37,6 +37,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of about `most` bytes, so that a worker's copies of texts stay small whatever their length."""
+    for batch in batches:
+        step = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def numbered(df: DataFrame, key: str, bucket: Column, order: list[str], out: str, light: DataFrame | None = None) -> DataFrame:
     """Number the rows of each key without gaps from 0, in two levels.
 

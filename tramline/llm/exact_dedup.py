@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, checkpointed, table
+from .common import BLANKS, checkpointed, sliced, table
 
 _BLANK_BYTES = BLANKS.encode()
 
@@ -22,7 +22,7 @@ def sha256(data: bytes) -> bytes:
 def _normal(batches: Iterator[pa.RecordBatch], digest: Callable[[bytes], bytes], content: bool) -> Iterator[pa.RecordBatch]:
     """(id, text) -> (id, digest, sha, chars[, content]); content is the normalised text, packed without loss."""
     packer = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in sliced(batches):
         texts = [t or "" for t in batch.column(1).to_pylist()]
         plain = [t.encode().translate(None, _BLANK_BYTES) for t in texts]
         shas = [sha256(p) for p in plain]

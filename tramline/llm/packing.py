@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, numbered, table
+from .common import checkpointed, numbered, sliced, table
 
 #: Production parameters of op7.
 CAPACITY, END_ID = 4096, 2
 _BUCKETS = 1024
-#: Entries of a worker's memory of chunks already tokenised; it is emptied when full.
-_MEMORY = 800_000
+#: Bytes of a worker's memory of chunks already tokenised, and what an entry takes besides its own; it is emptied when full.
+_MEMORY, _ENTRY = 128 << 20, 170
 #: Texts that are tokenised in one go.
 _TOGETHER = 32
 
@@ -48,6 +48,11 @@ class _Chunks(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.held = 0
+
+    def __setitem__(self, chunk: bytes, ids: bytes) -> None:
+        self.held += len(chunk) + len(ids) + _ENTRY
+        super().__setitem__(chunk, ids)
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
@@ -55,8 +60,9 @@ class _Chunks(dict):
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Chunks that are new to any of the texts are learned together first."""
         split = [(t or "").encode().lower().split() for t in texts]  # ASCII only; other letters and white space are left to the tokenizer
-        if len(self) > _MEMORY:
+        if self.held > _MEMORY:
             self.clear()
+            self.held = 0
         known, new = self.__contains__, set()
         for chunks in split:
             new.update(filterfalse(known, set(chunks)))
@@ -98,7 +104,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
         _kept[path] = _Chunks(path)
     chunks = _kept[path]
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-    for batch in batches:
+    for batch in sliced(batches):
         rows: list[list] = [[], [], [], [], []]
         keys = batch.column(0).to_pylist()
         for first in range(0, len(keys), _TOGETHER):

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, table
+from .common import checkpointed, connected_components, sliced, table
 
 #: Production parameters of op3: words a shingle, and the most differing bits of a link.
 WORDS, MOST_BITS = 3, 2
@@ -162,7 +162,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int, keys: int, minima:
     """(id, text or shingle set) -> (id, fingerprint of the distinct shingles, their number, keys)."""
     shuffles = _SHUFFLES[: keys * minima]
     rows_at_once = max(1, _SLICE * 4 // len(shuffles))
-    for batch in batches:
+    for batch in sliced(batches):
         prints, sizes, found = [], [], []
         for given in batch.column(1).to_pylist():
             h = np.frombuffer(given, "<u8") if isinstance(given, bytes) else _set_of(given, words)
@@ -181,7 +181,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int, keys: int, minima:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         sets = [_set_of(t, words).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["_id", "_set"])
 

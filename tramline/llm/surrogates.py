@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import checkpointed, table
+from .common import checkpointed, sliced, table
 
 #: Production parameters of op6. A deployment passes a secret of its own.
 KEY = b"tramline-surrogates"
@@ -282,7 +282,7 @@ def replace(text: str | None, key: bytes, told: dict[tuple[str, str], tuple[str,
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         rows = [(h, kind, value) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for kind, value in {x[2:] for x in find(t)}]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["_hash", "kind", "value"])
 
@@ -378,7 +378,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             columns = batch.column(0).flatten()
             pairs = [replace(t, key, told if own_told is None else {(x["kind"], x["value"]): (x["to_kind"], x["attempt"]) for x in own_told}) for t, own_told in zip(columns[at].to_pylist(), batch.column(1).to_pylist())]
             columns[at] = pa.array([p[0] for p in pairs], pa.string())
