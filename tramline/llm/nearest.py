@@ -79,36 +79,46 @@ def _cells(batches: Iterator[pa.RecordBatch], tables: int, probes: int, rows: di
     levels: dict[int, set[int]] = {}
     for cell in rows:
         levels.setdefault(cell[0], set()).add(cell[1])
+
+    def counts(of: dict, dim: int, level: int, t: int) -> np.ndarray:
+        return np.array([of.get((dim, level, t, b), 0) for b in range(2 * _width(dim))], np.int64)
+
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+        packed: list[bytes] = []
+        taken: list[np.ndarray] = []
         for ids, x in _vectors(batch):
-            dim, (unit, own) = x.shape[1], _unit(x)
-            packed = [_pack(v) for v in x]
+            dim, (unit, own), first = x.shape[1], _unit(x), len(packed)
+            if asks is not None:
+                packed += [_pack(v) for v in x]
             for t in range(tables):
                 axes = _axes(unit, t, 2 * _width(dim) if query and t == 0 else min(probes, 2 * _width(dim)) if query else 1)
-                for n, key in enumerate(ids):
-                    nearest = axes[n].tolist()
-                    for level in levels.get(dim, ()) if query else (int(own[n]),):
-                        seen = 0
-                        for p, bucket in enumerate(nearest):
-                            if query and p >= probes and (t > 0 or seen >= least):
-                                break
-                            cell = (dim, level, t, bucket)
-                            held = rows.get(cell, 0)
-                            if query and not held:
-                                continue
-                            seen += held
-                            if asks is None:
-                                blocks = [(0, 0)]
-                            else:
-                                across, down = -(-held // _BLOCK_ROWS), -(-asks.get(cell, 0) // _BLOCK_QUERIES)
-                                mix = (int(key) * 0x9E3779B97F4A7C15 >> 13) & 0xFFFFFFFF
-                                blocks = [(a, mix % max(1, down)) for a in range(across)] if query else [(mix % max(1, across), b) for b in range(down)]
-                            for a, b in blocks:
-                                for column, value in zip(out, (*cell, a, b, key, packed[n] if asks is not None else b"")):
-                                    column.append(value)
-        kinds = [pa.int32()] * 6 + [pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["dim", "level", "tab", "bucket", "across", "down", "key", "vector"])
+                for level in levels.get(dim, ()) if query else np.unique(own).tolist():
+                    who = np.arange(len(ids)) if query else np.flatnonzero(own == level)
+                    held = counts(rows, dim, level, t)
+                    if query:
+                        there = held[axes]
+                        seen = np.cumsum(there, axis=1) - there
+                        n, p = np.nonzero((there > 0) & ((np.arange(axes.shape[1]) < probes) | (t == 0) & (seen < least)))
+                        bucket = axes[n, p]
+                    else:
+                        n, bucket = who, axes[who, 0]
+                    across = down = np.zeros(len(n), np.int64)
+                    if asks is not None:
+                        wide, high = -(-held // _BLOCK_ROWS), -(-counts(asks, dim, level, t) // _BLOCK_QUERIES)
+                        mix = (ids[n].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(13) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                        times = (wide if query else high)[bucket]  # blocks of the other side
+                        at = np.repeat(np.arange(len(n)), times)
+                        nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                        fixed = (mix % np.maximum(1, (high if query else wide)[bucket]))[at]
+                        n, bucket, across, down = n[at], bucket[at], *((nth, fixed) if query else (fixed, nth))
+                    for column, value in zip(out, (np.full(len(n), dim), np.full(len(n), level), np.full(len(n), t), bucket, across, down, ids[n])):
+                        column.append(value)
+                    taken.append(first + n)
+        flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+        vectors = pa.array(packed, pa.binary()).take(pa.array(np.concatenate(taken) if taken else np.zeros(0, np.int64))) if asks is not None else pa.array([b""] * len(flat[0]), pa.binary())
+        kinds = [pa.int32()] * 6 + [pa.int64()]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(flat, kinds)), vectors], ["dim", "level", "tab", "bucket", "across", "down", "key", "vector"])
 
 
 def _pack(v: np.ndarray) -> bytes:
@@ -137,7 +147,11 @@ def _nearest(k: int):
                 scores = block @ x.T
                 scores[own[:, None] == ids[None, :]] = -np.inf
                 edge = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(block), -np.inf)
-                i, j = np.nonzero((scores >= edge[:, None] - 1e-9) & (scores > -np.inf))
+                # sums of products round by so much at most, whatever the order they are added in
+                with np.errstate(over="ignore"):
+                    slack = 4 * x.shape[1] ** 2 * np.finfo(float).eps * np.abs(block).max(axis=1) * np.abs(x).max()
+                slack = np.where(np.isfinite(slack), slack, 0.0)
+                i, j = np.nonzero((scores >= (edge - slack)[:, None]) & (scores > -np.inf))
                 exact = np.einsum("ij,ij->i", block[i], x[j])  # the same sum whatever the cell
                 order = np.lexsort((ids[j], -exact, i))
                 i, j, exact = i[order], j[order], exact[order]
