@@ -713,7 +713,8 @@ def test_sql(spark, data):
     from tramline.llm import queries
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         a, b = pandas(queries.QUERIES[name](spark, data)), con.execute(sql).df()
         key = lambda d: sorted(map(str, d[sorted(d.columns)].itertuples(index=False, name=None)))
