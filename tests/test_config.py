@@ -5,6 +5,7 @@ from tramline.config import FEATURE_WEIGHTS, PRESET_WEIGHTS, Config
 
 def test_overrides_keep_other_families():
     weights = Config.preset().weights()
+    assert Config.preset().remove_back_edges and not Config().remove_back_edges
     assert weights["has-form"] == PRESET_WEIGHTS["has-form"] and weights["lemma-conditional-follow"] == FEATURE_WEIGHTS["lemma-conditional-follow"] == 4.0
 
 

@@ -72,7 +72,7 @@ class Config:
 
     @classmethod
     def preset(cls) -> Config:
-        return cls(enable_anchors=True, enable_cutoff=True, enable_wrong_order_cutoff=True, feature_weight_overrides=dict(PRESET_WEIGHTS), **PRESET_THRESHOLDS)
+        return cls(enable_anchors=True, enable_cutoff=True, enable_wrong_order_cutoff=True, remove_back_edges=True, feature_weight_overrides=dict(PRESET_WEIGHTS), **PRESET_THRESHOLDS)
 
     @classmethod
     def from_json(cls, text: str) -> Config:
