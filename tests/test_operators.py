@@ -153,7 +153,7 @@ def test_max_constrained_and_correction(spark):
 
 
 def test_optimise():
-    weights, best, history = optimize.search(lambda w: w["has-form"] - w["has-lemma"], generations=15, population=8)
+    weights, best, history = optimize.search(lambda ws: [w["has-form"] - w["has-lemma"] for w in ws], generations=15, population=8)
     assert history == sorted(history) and best >= history[-1] and set(weights) == set(optimize.FAMILIES)
 
 

@@ -1,9 +1,11 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
 from test_operators import BPMN, TEXT, rows
 
-from tramline.config import Config
-from tramline.operators import evaluate, legacy
+from tramline.config import FEATURE_WEIGHTS, Config
+from tramline.operators import evaluate, legacy, similarity
 from tramline.plans import align, benchmark
 from tramline.sources import readers
 
@@ -17,7 +19,7 @@ def test_benchmark(spark, tmp_path):
     models, texts = readers.read_models(spark, str(tmp_path / "m")), readers.read_texts(spark, str(tmp_path / "t"))
     run = align.align(models, texts)
     truth = evaluate.gt_structure(run.alignment)
-    results, seconds = benchmark.run_benchmark(models, texts, truth, {"a": Config(), "b": Config(similarity_function="jaccard")})
+    results, seconds = benchmark.run_benchmark(models, texts, truth, {"a": Config(), "b": Config(feature_weight_overrides={"has-form": 3.0})})
     assert set(seconds) == {"a", "b"} and rows(results.filter("setting = 'a' and class = 'all'"), "case_id", "accuracy") == [("one", 1.0), ("two", 1.0)]
     table = {r.case_id: r.a for r in benchmark.table(results, ["a", "b"]).collect()}
     assert table["pooled_accuracy"] == 1.0 and set(table) == {"one", "two", "mean_case_accuracy", "pooled_accuracy", "median_accuracy"}
@@ -25,6 +27,52 @@ def test_benchmark(spark, tmp_path):
     assert rows(readers.complete_cases(models, texts, truth), "case_id") == [("one",), ("two",)]
 
 
+def test_weighed_sums_equal_similarities_of_weighted_features(spark):
+    f = lambda owner, xs: spark.createDataFrame([(1, *x) for x in xs], f"case_id int, {owner} int, ftype string, arg string, weight double")
+    text = f("sent_id", [(1, "f", "a", 2.0), (1, "g", "a", 1.0), (2, "f", "b", 0.5), (2, "f", "a", 0.25), (2, "g", "c", 3.0)])
+    model = f("elem_id", [(7, "f", "a", 4.0), (7, "g", "c", 1.0), (8, "g", "a", 1.5), (9, "f", "z", 1.0)])
+    settings = {"even": {"f": 1.0, "g": 1.0}, "odd": {"f": 3.0, "g": 0.2}, "none": {"f": 0.0, "g": 0.0}}
+    sums = similarity.family_sums(text, model, ("f", "g"), ["case_id"])
+    for name in similarity.FUNCTIONS:
+        got = {(r.setting, r.sent_id, r.elem_id): r.sim for r in similarity.weigh(sums, settings, name, ("f", "g"), ["case_id"]).collect()}
+        expected = {}
+        for setting, w in settings.items():
+            own = lambda df: df.withColumn("weight", F.col("weight") * F.when(F.col("ftype") == "f", w["f"]).otherwise(w["g"]))  # noqa: B023, E731
+            expected |= {(setting, r.sent_id, r.elem_id): r.sim for r in similarity.similarities(own(text), own(model), name, ["case_id"]).collect()}
+        assert got == pytest.approx(expected), name
+    with pytest.raises(ValueError):
+        similarity.weigh(sums, {"low": {"f": -1.0, "g": 1.0}}, "cosine", ("f", "g"), ["case_id"])
+
+
+def test_population(spark):
+    """One job over a population gives what an alignment for each set of weights gives."""
+    models = spark.createDataFrame([("one", BPMN), ("bad", "<x")], "case_id string, xml string")
+    texts = spark.createDataFrame([(c, TEXT) for c in ("one", "bad")], "case_id string, text string")
+    weights, config = {"flat": dict.fromkeys(FEATURE_WEIGHTS, 1.0), "own": {}}, Config.preset()
+    found = align.align_population(models, texts, weights, config)
+    run = align.align(models, texts, config)
+    own = found.alignment.filter("setting = 'own'")
+    assert rows(own, "case_id", "elem_id", "sent_id") == rows(run.alignment, "case_id", "elem_id", "sent_id") and found.alignment.count() == 2 * own.count()
+    near = {(r.case_id, r.sent_id, r.elem_id): r.sim for r in found.similarities.filter("setting = 'own'").collect()}
+    assert {(r.case_id, r.sent_id, r.elem_id): r.sim for r in run.similarities.collect()} == pytest.approx(near)
+    results = align.evaluate_population(found, evaluate.gt_structure(run.alignment)).filter("class = 'all' and setting = 'own'")
+    assert rows(results, "case_id", "accuracy") == [("one", 1.0)] and [r.case_id for r in run.rejected.collect()] == ["bad"]
+
+
+def test_populations_group_by_all_but_weights():
+    groups = benchmark.populations({"a": Config(), "b": Config.preset(), "c": Config(feature_weight_overrides={"has-form": 1.0}), "d": Config(feature_weight_overrides={"has-form": -1.0})})
+    assert [sorted(g) for _, g in groups] == [["a", "c"], ["b"], ["d"]]
+
+
+def test_rejected_cases(spark):
+    twice = BPMN.replace('<b:startEvent id="s2"/>', '<b:startEvent id="s2"/><b:startEvent id="s3"/>')
+    models = spark.createDataFrame([("c", BPMN), ("x", "no xml"), ("y", twice)], "case_id string, xml string")
+    texts = spark.createDataFrame([(c, TEXT) for c in "cxy"], "case_id string, text string")
+    run = align.align(models, texts)
+    assert {r.case_id for r in run.alignment.collect()} == {"c"}
+    assert {r.case_id: r.why[:13] for r in run.rejected.collect()} == {"x": "unreadable: s", "y": "process p2 ha"}
+
+
 def test_legacy(spark):
     names = spark.createDataFrame([("c", "chek order"), ("c", "zzz")], "case_id string, name string")
     known = spark.createDataFrame([("c", 1, "check order"), ("c", 2, "send goods")], "case_id string, id int, label string")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,3 +60,47 @@ def l2_normalised(sims: DataFrame, case: list[str], elem: str = "elem_id") -> Da
     """Similarities over the length of their element's vector; null where that is 0. Lengths are combined first, then joined."""
     size = sims.groupBy(*case, elem).agg(F.sqrt(F.sum(_c("sim") * _c("sim"))).alias("_l2"))
     return sims.join(size, [*case, elem]).withColumn("sim", _c("sim") / F.nullif("_l2", F.lit(0.0))).drop("_l2")
+
+
+def family_sums(text: DataFrame, model: DataFrame, families: Sequence[str], case: list[str], sent: str = "sent_id", elem: str = "elem_id") -> DataFrame:
+    """pair_sums for features whose families all weigh 1, kept apart by family: arrays in the order of families.
+
+    -> (case, sent, elem, n_i, t_n, m_n, and arrays w_i, w_min, dot, t_w, t_sq, m_w, m_sq). A family's weight only scales its own
+    entries, so that any number of settings is weighed from these rows without joining features again; see weigh.
+    """
+
+    def each(x: Column) -> Column:
+        return F.array(*[F.coalesce(F.sum(F.when(_c("ftype") == f, x)), F.lit(0.0)) for f in families])
+
+    def side(features: DataFrame, owner: list[str], name: str) -> DataFrame:
+        w = _c("weight")
+        return features.groupBy(*owner).agg(F.count(F.lit(1)).alias(f"{name}_n"), each(w).alias(f"{name}_w"), each(w * w).alias(f"{name}_sq"))
+
+    t_all, m_all = side(text, [*case, sent], "t"), side(model, [*case, elem], "m")
+    t = text.join(t_all.select(*case, sent, "t_n"), [*case, sent]).select(*case, sent, "ftype", "arg", _c("weight").alias("_tw"), "t_n")
+    m = model.join(m_all.select(*case, elem, "m_n"), [*case, elem]).select(*case, elem, "ftype", "arg", _c("weight").alias("_mw"), "m_n")
+    shorter = F.when(_c("t_n") <= _c("m_n"), _c("_tw")).otherwise(_c("_mw"))
+    both = t.join(m, [*case, "ftype", "arg"]).groupBy(*case, sent, elem)
+    pairs = both.agg(F.count(F.lit(1)).alias("n_i"), each(shorter).alias("w_i"), each(F.least("_tw", "_mw")).alias("w_min"), each(_c("_tw") * _c("_mw")).alias("dot"))
+    return pairs.join(t_all, [*case, sent]).join(m_all, [*case, elem])
+
+
+def weigh(sums: DataFrame, settings: dict[str, dict[str, float]], name: str, families: Sequence[str], case: list[str], sent: str = "sent_id", elem: str = "elem_id") -> DataFrame:
+    """family_sums -> (setting, case, sent, elem, sim) for every setting, whose weights by family must not be negative.
+
+    A fold of each row over the settings, which are one constant of the plan; no join and no shuffle.
+    """
+    if any(w[f] < 0 for w in settings.values() for f in families):
+        raise ValueError("weights must not be negative")
+    table = F.from_json(F.lit(json.dumps([{"setting": k, "w": [w[f] for f in families]} for k, w in settings.items()])), "array<struct<setting:string,w:array<double>>>")
+    rows = sums.select("*", F.explode(table).alias("_s"))
+
+    def total(c: str, squared: bool = False) -> Column:
+        scaled = F.zip_with(c, "_s.w", lambda x, w: x * w * w if squared else x * w)
+        return F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x)
+
+    folded = rows.select(
+        _c("_s.setting").alias("setting"), *case, sent, elem, "n_i", "t_n", "m_n", *[total(c).alias(c) for c in ("w_i", "w_min", "t_w", "m_w")],
+        total("dot", True).alias("dot"), F.sqrt(total("t_sq", True)).alias("t_l2"), F.sqrt(total("m_sq", True)).alias("m_l2"),
+    )
+    return folded.select("setting", *case, sent, elem, FUNCTIONS[name]().alias("sim"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DUMMY_SENTENCE, DUMMY_SIMILARITY, Config
+from ..config import DUMMY_SENTENCE, DUMMY_SIMILARITY, FEATURE_WEIGHTS, Config
 from ..operators import analysis, assignment, evaluate, features, graph, predictors, senses, similarity, spans
 from ..sources.readers import bpmn_parts, bpmn_tables
 
@@ -28,6 +28,30 @@ class Run:
     trivial: DataFrame
     alignment: DataFrame
     scores: DataFrame
+    rejected: DataFrame | None = None  # (case_id, why) of the models that could not be read
+
+
+@dataclass
+class _Prepared:
+    """What an alignment needs that does not depend on the weights of features, but for the features' own weights."""
+
+    elements: DataFrame
+    sentences: DataFrame
+    text_features: DataFrame
+    model_features: DataFrame
+    order: DataFrame
+    closed: DataFrame | None
+    rejected: DataFrame
+
+
+@dataclass
+class Population:
+    """The alignments of many sets of weights; all by (setting, case_id), elements by case_id."""
+
+    elements: DataFrame
+    similarities: DataFrame
+    alignment: DataFrame
+    scores: DataFrame
 
 
 def _weighted(tokens: DataFrame, owner: str, config: Config) -> DataFrame:
@@ -42,20 +66,55 @@ def _weighted(tokens: DataFrame, owner: str, config: Config) -> DataFrame:
     return joined.withColumn("tfidf", F.coalesce("tfidf", F.lit(0.001)))
 
 
-def align(models: DataFrame, texts: DataFrame, config: Config = Config(), hypernyms: DataFrame | None = None, analyser: analysis.Analyser | None = None, mentions: DataFrame | None = None, annotated: DataFrame | None = None, predicates: DataFrame | None = None, arguments: DataFrame | None = None, constituents: DataFrame | None = None, word_senses: DataFrame | None = None) -> Run:
+def align(models: DataFrame, texts: DataFrame, config: Config = Config(), **tables) -> Run:
     """models(case_id, xml), texts(case_id, text) -> Run. Cases are partitions of every join and never meet.
 
-    analyser takes the place of the rule analyser for texts; annotated, tokens that another tool has made (see
-    analysis.TOKENS), that of both texts and analyser. mentions (see analysis.resolve_anaphoras) resolve pronouns.
+    tables, all optional. analyser takes the place of the rule analyser for texts; annotated, tokens that another tool has made
+    (see analysis.TOKENS), that of both texts and analyser. mentions (see analysis.resolve_anaphoras) resolve pronouns.
     predicates and arguments (see spans.role_tokens) take the place of the tokens' own roles, constituents (see
     spans.condition_tokens) that of their conditions. word_senses(wn, senses) and hypernyms give words of texts and labels
     the sense that ranks best in the hypernym graph, where they have none.
-    With model_read_strict, a process without exactly one start event and an end is an error.
+
+    A model that is no XML is left out and named in Run.rejected. With model_read_strict, so is one with a process that has not
+    exactly one start event and an end; the other cases are aligned all the same.
+    """
+    p = _prepare(models, texts, config, **tables)
+    return _decide(p, similarity.similarities(p.text_features, p.model_features, config.similarity_function, ["case_id"]), config)
+
+
+def align_population(models: DataFrame, texts: DataFrame, weights: dict[str, dict[str, float]], config: Config = Config(), **tables) -> Population:
+    """align for many sets of feature weights (setting -> weight by family; families left out keep config's) in one job.
+
+    Texts and models are analysed once and their features joined once, with families apart; each setting folds its weights over
+    the sums, and (setting, case) takes the place of the case from there on. Weights must not be negative.
     """
+    if any("\u0001" in name for name in weights):
+        raise ValueError("a setting's name has a control character")
+    families = tuple(FEATURE_WEIGHTS)
+    own = {name: config.but(feature_weight_overrides={**config.feature_weight_overrides, **w}).weights() for name, w in weights.items()}
+    p = _prepare(models, texts, config.but(feature_weight_overrides=dict.fromkeys(families, 1.0)), **tables)
+    sums = graph.checkpointed(similarity.family_sums(p.text_features, p.model_features, families, ["case_id"]))
+    sims = similarity.weigh(sums, own, config.similarity_function, families, ["case_id"]).withColumn("case_id", _joined(F.col("setting"))).drop("setting")
+    each = lambda df: df.withColumn("_s", F.explode(F.array(*map(F.lit, weights)))).withColumn("case_id", _joined(F.col("_s"))).drop("_s")
+    many = _Prepared(each(p.elements), each(p.sentences), p.text_features, p.model_features, each(p.order), p.closed and each(p.closed), p.rejected)
+    run = _decide(many, sims, config)
+    return Population(p.elements, *map(_parted, (run.similarities, run.alignment, run.scores)))
+
+
+def _joined(setting: Column) -> Column:
+    return F.concat_ws("\u0001", setting, F.col("case_id"))
+
+
+def _parted(df: DataFrame) -> DataFrame:
+    whole = F.col("case_id")
+    return df.select(F.substring_index(whole, "\u0001", 1).alias("setting"), F.expr("substring(case_id, instr(case_id, '\u0001') + 1)").alias("case_id"), *[c for c in df.columns if c != "case_id"])
+
+
+def _prepare(models: DataFrame, texts: DataFrame, config: Config, hypernyms: DataFrame | None = None, analyser: analysis.Analyser | None = None, mentions: DataFrame | None = None, annotated: DataFrame | None = None, predicates: DataFrame | None = None, arguments: DataFrame | None = None, constituents: DataFrame | None = None, word_senses: DataFrame | None = None) -> _Prepared:
     parts = graph.checkpointed(bpmn_parts(models))
-    t = bpmn_tables(parts)
-    if config.model_read_strict:
-        _strict(t)
+    rejected = _rejected(parts, config)
+    bad = rejected.select("case_id")
+    t = {name: df.join(bad, "case_id", "left_anti") for name, df in bpmn_tables(parts).items()}
     tokens = annotated if annotated is not None else analysis.analyse_texts(texts, analyser)
     tokens = graph.checkpointed(tokens if mentions is None else analysis.resolve_anaphoras(tokens, mentions))
     sentences = tokens.groupBy("case_id", "sent_id").agg(F.first("sentence").alias("sentence"))
@@ -83,9 +142,14 @@ def align(models: DataFrame, texts: DataFrame, config: Config = Config(), hypern
 
     elements = graph.checkpointed(_alignable(t, config))
     order = _order(t, config)
-    sims = similarity.similarities(text_features, model_features, config.similarity_function, ["case_id"])
+    return _Prepared(elements, sentences, text_features, model_features, order, _closed(t, order, config), rejected)
+
+
+def _decide(p: _Prepared, sims: DataFrame, config: Config) -> Run:
+    """From similarities to the alignment and its scores."""
+    elements, sentences, order = p.elements, p.sentences, p.order
     dense = graph.checkpointed(similarity.all_pairs(sims, sentences, elements, ["case_id"]))
-    constrained = graph.checkpointed(assignment.constrained_alignment(dense, elements, order, "case_id", config.enable_anchors, not config.disable_restrictions, _closed(t, order, config)))
+    constrained = graph.checkpointed(assignment.constrained_alignment(dense, elements, order, "case_id", config.enable_anchors, not config.disable_restrictions, p.closed))
     trivial = graph.checkpointed(assignment.constrained_alignment(dense, elements, order, "case_id", config.enable_anchors, False))
     keep = ["case_id", "elem_id", "sent_id", "sim"]
     chosen = constrained.select(*keep)
@@ -99,14 +163,18 @@ def align(models: DataFrame, texts: DataFrame, config: Config = Config(), hypern
     extra = int(config.enable_anchors)  # the dummy counts as a sentence
     n_sents = sentences.groupBy("case_id").agg((F.count(F.lit(1)) + extra).alias("n"))
     n_elems = elements.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
-    return Run(elements, sentences, text_features, model_features, dense, order, constrained, trivial, chosen, assignment.total_score(chosen, n_sents, n_elems, "case_id"))
+    return Run(elements, sentences, p.text_features, p.model_features, dense, order, constrained, trivial, chosen, assignment.total_score(chosen, n_sents, n_elems, "case_id"), p.rejected)
 
 
-def _strict(t: dict[str, DataFrame]) -> None:
-    process = ["case_id", "process_id"]
-    bad = graph.starts_and_ends(t["elements"], t["edges"], process).filter("not valid").orderBy(*process).limit(5).collect()
-    if bad:
-        raise ValueError("not one start event and an end: " + ", ".join(f"{r.case_id}/{r.process_id} ({r.n_starts} starts, {r.n_ends} ends)" for r in bad))
+def _rejected(parts: DataFrame, config: Config) -> DataFrame:
+    """-> (case_id, why): models that could not be parsed and, if reading is strict, those with an invalid process."""
+    broken = parts.filter("kind = 'error'").select("case_id", F.concat(F.lit("unreadable: "), F.coalesce("name", F.lit(""))).alias("why"))
+    if config.model_read_strict:
+        t = bpmn_tables(parts)
+        bad = graph.starts_and_ends(t["elements"], t["edges"], ["case_id", "process_id"]).filter("not valid")
+        said = F.format_string("process %s has %d start events and %d ends", F.coalesce("process_id", F.lit("")), "n_starts", "n_ends")
+        broken = broken.unionByName(bad.select("case_id", said.alias("why")))
+    return graph.checkpointed(broken.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_set("why")), "; ").alias("why")))
 
 
 def _alignable(t: dict[str, DataFrame], config: Config) -> DataFrame:
@@ -183,3 +251,14 @@ def evaluate_run(run: Run, truth: DataFrame) -> DataFrame:
     guess = evaluate.gt_structure(run.alignment).join(truth.select("case_id", "elem_id"), ["case_id", "elem_id"], "left_semi")
     classes = run.elements.select("case_id", "elem_id", F.lower("elem_type").alias("class"))
     return evaluate.accuracy_by_class(evaluate.compare(guess, truth), classes)
+
+
+def evaluate_population(found: Population, truth: DataFrame) -> DataFrame:
+    """-> (setting, case_id, class, n_correct, n_total, accuracy) of the elements in the truth, for all settings at once."""
+    cases = found.alignment.select("setting", "case_id").distinct()
+    own = lambda df: df.join(cases, "case_id").withColumn("case_id", _joined(F.col("setting"))).drop("setting")
+    asked = own(truth)
+    guess = evaluate.gt_structure(found.alignment.withColumn("case_id", _joined(F.col("setting"))))
+    guess = guess.join(asked.select("case_id", "elem_id"), ["case_id", "elem_id"], "left_semi")
+    classes = found.elements.select("case_id", "elem_id", F.lower("elem_type").alias("class"))
+    return _parted(evaluate.accuracy_by_class(evaluate.compare(guess, asked), own(classes)))

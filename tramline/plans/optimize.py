@@ -11,17 +11,19 @@ Weights = tuple[float, ...]
 FAMILIES = tuple(sorted(FEATURE_WEIGHTS))
 
 
-def search(fitness: Callable[[dict[str, float]], float], generations: int = 10, population: int = 10, mutations: int = 2, seed: int = 0) -> tuple[dict[str, float], float, list[float]]:
+def search(fitness: Callable[[list[dict[str, float]]], list[float]], generations: int = 10, population: int = 10, mutations: int = 2, seed: int = 0) -> tuple[dict[str, float], float, list[float]]:
     """-> (weights, fitness, best of each generation). Roulette selection, one-point crossover, the best always survives.
 
-    Weights are rounded to 5 places, so fitness is asked once for each.
+    fitness takes all weights of a generation that it was not asked for yet, at once. Weights are rounded to 5 places, so it is
+    asked once for each.
     """
     rng, known = random.Random(seed), {}
 
-    def value(w: Weights) -> float:
-        if w not in known:
-            known[w] = fitness(dict(zip(FAMILIES, w)))
-        return known[w]
+    def values(population: list[Weights]) -> list[float]:
+        fresh = [w for w in dict.fromkeys(population) if w not in known]
+        if fresh:
+            known.update(zip(fresh, fitness([dict(zip(FAMILIES, w)) for w in fresh])))
+        return [known[w] for w in population]
 
     def fresh() -> Weights:
         return tuple(round(rng.random(), 5) for _ in FAMILIES)
@@ -35,10 +37,11 @@ def search(fitness: Callable[[dict[str, float]], float], generations: int = 10,
 
     now, history = [fresh() for _ in range(population)], []
     for _ in range(generations):
-        scores = [value(w) for w in now]
-        best = max(now, key=value)
-        history.append(value(best))
+        scores = values(now)
+        best = max(now, key=known.get)
+        history.append(known[best])
         picks = rng.choices(now, [s - min(scores) + 1e-9 for s in scores], k=2 * (population - 1))
         now = [best, *(child(a, b) for a, b in zip(picks[::2], picks[1::2]))]
-    best = max(now, key=value)
-    return dict(zip(FAMILIES, best)), value(best), history
+    values(now)
+    best = max(now, key=known.get)
+    return dict(zip(FAMILIES, best)), known[best], history
