@@ -7,7 +7,7 @@ from test_operators import BPMN, TEXT, rows
 from tramline.config import FEATURE_WEIGHTS, Config
 from tramline.operators import evaluate, legacy, similarity
 from tramline.plans import align, benchmark
-from tramline.sources import readers
+from tramline.sources import history, readers
 
 
 def test_benchmark(spark, tmp_path):
@@ -97,6 +97,37 @@ def test_ground_truth_round_trip(spark):
     assert rows(readers.legacy_ground_truth(lines), "task_id", "task", "sent_id", "err") == [(3, "Check", 2, None), (4, "Send", None, "m")]
 
 
+def test_legacy_file(spark):
+    """The table ends at the first empty line, tasks and sentences each at their first empty id; originals go by place."""
+    file = ["id;task;sentence;error;;sid;said", '1;"Check; order";2;;;0;he checks', "2;Send;x;m;;1;he sends", "3;Pack;1;;;;", ";;;;;9;late", "4;lost;1;;;;", ";; ;;;;", "7;outside;1;;;7;outside", "Original text", "He checks it.", "He sends it.", "More."]
+    lines = spark.createDataFrame([("c", i, x) for i, x in enumerate(file)] + [("d", 0, "id;task"), ("d", 1, None), ("e", 3, "id"), ("e", 5, "5;Lone;0"), ("e", 9, ";;;;;")], "case_id string, no int, line string")
+    assert rows(readers.legacy_ground_truth(lines), "case_id", "task_id", "task", "sent_id", "err") == [("c", 1, "Check; order", 2, None), ("c", 2, "Send", None, "m"), ("c", 3, "Pack", 1, None), ("e", 5, "Lone", 0, None)]
+    assert rows(readers.legacy_sentences(lines), "case_id", "sent_id", "said", "sentence") == [("c", 0, "he checks", "He checks it."), ("c", 1, "he sends", "He sends it.")]
+
+
+def test_extended_structure(spark):
+    kinds = [("t", "Task", None), ("u", "Task", "a"), ("e", "Event", None), ("f", "Event", "b"), ("g", "Gateway", None), ("j", "Gateway", None), ("x", "Other", "c")]
+    elements = spark.createDataFrame([("c", *k) for k in kinds], "case_id string, elem_id string, elem_type string, name string")
+    edges = spark.createDataFrame([("c", a, b) for a, b in ("tg", "gu", "gf", "uj", "fj", "je")], "case_id string, src string, dst string")
+    aligned = spark.createDataFrame([("c", "t", 1), ("c", "f", None), ("c", "j", 2)], "case_id string, elem_id string, sent_id int")
+    sentences = spark.createDataFrame([("c", 1), ("c", 2)], "case_id string, sent_id int")
+    out = {r.elem_id: (r["class"], r.sent_id, r.err, r.n_sents) for r in evaluate.extended_structure(aligned, elements, edges, sentences).collect()}
+    assert out == {"t": ("task", 0, None, 2), "u": ("task", None, None, 2), "f": ("event", None, "m", 2), "g": ("gateway", None, None, 2)}
+
+
+def test_history(spark, tmp_path):
+    path = str(tmp_path / "h")
+    with pytest.raises(ValueError):
+        history.load(spark, path)
+    assert [history.save(spark.range(n), path) for n in (1, 2)] == [0, 1]
+    (tmp_path / "h" / "claim-000002").touch()  # a writer that failed
+    spark.range(9).write.parquet(f"{path}/rows-000002")
+    assert history.load(spark, path).count() == 2 and history.load(spark, path, 0).count() == 1 and history.versions(spark, path) == [0, 1]
+    assert history.save(spark.range(4), path) == 3 and history.load(spark, path).count() == 4
+    with pytest.raises(ValueError):
+        history.load(spark, path, 2)
+
+
 def test_json_processes(spark):
     shape = lambda i, kind, out=(), name=None, kids=(): {"resourceId": i, "stencil": {"id": kind}, "properties": {"name": name}, "outgoing": [{"resourceId": o} for o in out], "childShapes": list(kids)}
     lane = shape("L", "Lane", name="Clerk", kids=[shape("s", "StartNoneEvent", ["f"]), shape("t", "Task", name="Check")])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import degrees
+
 
 def answer(sent: Column, err: Column) -> Column:
     """What is compared: the sentence, or the error code where there is none (only "m" is known)."""
@@ -16,6 +18,25 @@ def gt_structure(alignment: DataFrame, case: str = "case_id") -> DataFrame:
     return alignment.select(case, "elem_id", (F.col("sent_id") - 1).alias("sent_id"), F.when(F.col("sent_id").isNull(), "m").alias("err"))
 
 
+def scored_elements(elements: DataFrame, edges: DataFrame, case: str = "case_id") -> DataFrame:
+    """The elements that an extended ground truth speaks of: tasks, gateways with one way in and some out, events with a name."""
+    ways = degrees(edges, [case]).withColumnRenamed("node", "elem_id")
+    wanted = (F.col("elem_type") == "Task") | ((F.col("elem_type") == "Event") & F.col("name").isNotNull())
+    split = (F.col("elem_type") == "Gateway") & (F.col("n_in") == 1) & (F.col("n_out") >= 1)
+    return elements.join(ways, [case, "elem_id"], "left").filter(F.coalesce(wanted | split, F.lit(False))).select(*elements.columns)
+
+
+def extended_structure(alignment: DataFrame, elements: DataFrame, edges: DataFrame, sentences: DataFrame, case: str = "case_id") -> DataFrame:
+    """-> (case, elem_id, class, sent_id from 0, err, n_sents): gt_structure of the scored elements.
+
+    Elements that the alignment leaves out are rows without sentence and error. n_sents is 0 in a case without sentences.
+    """
+    own = scored_elements(elements, edges, case).select(case, "elem_id", F.lower("elem_type").alias("class"))
+    sizes = sentences.groupBy(case).agg(F.count(F.lit(1)).alias("_n"))
+    known = own.join(gt_structure(alignment, case), [case, "elem_id"], "left").join(sizes, case, "left")
+    return known.select(case, "elem_id", "class", "sent_id", "err", F.coalesce("_n", F.lit(0)).alias("n_sents"))
+
+
 def compare(predicted: DataFrame, truth: DataFrame, case: str = "case_id") -> DataFrame:
     """-> (case, elem_id, correct boolean, one_sided boolean) by a full join on the element."""
     p = predicted.select(case, "elem_id", answer(F.col("sent_id"), F.col("err")).alias("_p"))

@@ -7,7 +7,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name
@@ -111,11 +111,50 @@ def complete_cases(models: DataFrame, texts: DataFrame, truths: DataFrame) -> Da
     return models.select("case_id").join(texts.select("case_id"), "case_id").join(truths.select("case_id").distinct(), "case_id")
 
 
+#: Columns of a legacy file that are read; the fifth has no meaning.
+_LEGACY = ("task_id", "task", "sent", "err", "unused", "said_id", "said")
+
+
+def _legacy_cells(lines: DataFrame) -> DataFrame:
+    """lines(case_id, no, line) -> cells, trimmed, quotes read as in CSV, with the marks that part a file's blocks.
+
+    _table: after the first line and before the first empty one; _tasks and _said: how many lines of the table so far have no
+    task id and no sentence id; _text: how many lines so far are the headline `Original text`. Marks are running counts over
+    the lines of a case in one order, so that a file is read in one sorted pass.
+    """
+    options = {"sep": ";", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    cells = F.from_csv(F.coalesce("line", F.lit("")), ", ".join(f"{c} string" for c in _LEGACY), options)
+    named = lines.withColumn("_c", cells).select("case_id", "no", "line", *[F.coalesce(F.trim(F.col("_c")[c]), F.lit("")).alias(c) for c in _LEGACY])
+    order = Window.partitionBy("case_id").orderBy("no")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    empty = F.regexp_replace(F.coalesce("line", F.lit("")), "[;\\s]", "") == ""
+    blocks = named.withColumn("_table", (F.row_number().over(order) > 1) & (F.count_if(empty).over(so_far) == 0))
+    return blocks.select(
+        "*", F.count_if(F.col("_table") & (F.col("task_id") == "")).over(so_far).alias("_tasks"), F.count_if(F.col("_table") & (F.col("said_id") == "")).over(so_far).alias("_said"),
+        F.count_if(F.col("task_id") == "Original text").over(so_far).alias("_text"),
+    )
+
+
 def legacy_ground_truth(lines: DataFrame) -> DataFrame:
-    """lines(case_id, line no, line): `;`-separated task id, task, sentence id, error -> (case_id, task_id, task, sent_id, err); rows without a numeric id are skipped."""
-    cells = F.transform(F.split("line", ";", -1), lambda c: F.trim(c))
-    rows = lines.select("case_id", *[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(("task_id", "task", "sent", "err"))])
-    return rows.select("case_id", F.expr("try_cast(task_id as int)").alias("task_id"), "task", F.expr("try_cast(sent as int)").alias("sent_id"), F.nullif(F.col("err"), F.lit("")).alias("err")).filter("task_id is not null")
+    """lines(case_id, line no, line): `;`-separated task id, task, sentence id, error -> (case_id, task_id, task, sent_id, err).
+
+    The table has a headline and ends at the first empty line, its tasks at the first line without a task id. A sentence id
+    that is no number means no match (null). A task id that is no number leaves its line out.
+    """
+    rows = _legacy_cells(lines).filter("_table and _tasks = 0")
+    number = lambda c: F.expr(f"try_cast({c} as int)")
+    return rows.select("case_id", number("task_id").alias("task_id"), "task", number("sent").alias("sent_id"), F.nullif("err", F.lit("")).alias("err")).filter("task_id is not null")
+
+
+def legacy_sentences(lines: DataFrame) -> DataFrame:
+    """The same lines -> (case_id, sent_id, said, sentence): sentences by the sixth and seventh cell, up to the first line without
+    a sentence id; the original of the k-th is the k-th line below the headline `Original text`, null where there are fewer."""
+    cells = _legacy_cells(lines)
+    nth = F.row_number().over(Window.partitionBy("case_id").orderBy("no"))
+    said = cells.filter("_table and _said = 0").select("case_id", "said_id", "said", nth.alias("_k"))
+    text = cells.filter("_text > 0").select("case_id", F.col("task_id").alias("sentence"), (nth - 1).alias("_k"))
+    rows = said.join(text, ["case_id", "_k"], "left")
+    return rows.select("case_id", F.expr("try_cast(said_id as int)").alias("sent_id"), "said", "sentence").filter("sent_id is not null")
 
 
 def hypernyms(lines: DataFrame) -> DataFrame:
