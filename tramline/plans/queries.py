@@ -621,4 +621,4 @@ def l2_normalised_similarity(spark, sf_dir):
     return similarity.l2_normalised(graph.checkpointed(_sims(spark, sf_dir)), []).select("sent_id", "elem_id", _r("sim").alias("p"))
 
 
-from . import engine_queries, linguistic_queries  # noqa: E402, F401  # register their queries
+from . import engine_queries, evaluation_queries, linguistic_queries  # noqa: E402, F401  # register their queries
