@@ -64,6 +64,14 @@ def test_populations_group_by_all_but_weights():
     assert [sorted(g) for _, g in groups] == [["a", "c"], ["b"], ["d"]]
 
 
+def test_fitness_is_by_place_in_the_population(spark, monkeypatch):
+    scored = spark.createDataFrame([("1", "c", "all", 1, 2, 0.5), ("0", "c", "all", 2, 2, 1.0), ("0", "c", "task", 0, 1, 0.0)], "setting string, case_id string, class string, n_correct int, n_total int, accuracy double")
+    asked = []
+    monkeypatch.setattr(benchmark, "run_benchmark", lambda m, t, g, settings: (asked.append(settings), (scored, {}))[1])
+    assert benchmark.fitness(None, None, None, Config())([{"has-form": 1.0}, {"has-form": 2.0}, {"has-form": 3.0}]) == [1.0, 0.5, 0.0]
+    assert [c.weights()["has-form"] for c in asked[0].values()] == [1.0, 2.0, 3.0]
+
+
 def test_rejected_cases(spark):
     twice = BPMN.replace('<b:startEvent id="s2"/>', '<b:startEvent id="s2"/><b:startEvent id="s3"/>')
     models = spark.createDataFrame([("c", BPMN), ("x", "no xml"), ("y", twice)], "case_id string, xml string")
