@@ -616,6 +616,26 @@ def test_tree_matching(monkeypatch):
     wrapper._matched.cache_clear()
 
 
+def test_long_child_lists_and_far_end_tags():
+    """The size of a page changes no result: long lists get the best alignment, an end tag closes what it names however far out."""
+    import random
+
+    deal = random.Random(3)
+    kids = lambda n: tuple((deal.choice("abc"), (("x", ()),) * deal.randint(0, 2)) for _ in range(n))
+    a, b = ("r", kids(500)), ("r", kids(450))
+    best = [[0] * 451 for _ in range(501)]
+    for i, x in enumerate(a[1], 1):
+        for j, y in enumerate(b[1], 1):
+            met = 1 + min(len(x[1]), len(y[1])) if x[0] == y[0] else 0
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + met)
+    count, pairs = wrapper._matched(a, b)
+    assert count == 1 + best[500][450] == len(pairs) == len(set(pairs))
+    for side in zip(*sorted(pairs)):
+        assert list(side) == sorted(set(side))
+    for depth in (10, 600):  # beyond the page's header, whose end tag stands after many open elements
+        assert wrapper.extract("<header>" + "<span>" * depth + "menu</header><p>text") == "text"
+
+
 def test_the_template_decides(spark):
     """Pages without article: constant slots go whatever their names, varying ones stay; names decide on varying slots alone."""
     shell = '<body><div id="k9">Our shop since 1900</div><div class="hero">%s</div><div class="entry-header"><h1>T %d</h1></div><div class="z">Body %d &amp; more<p>Read our rules before you write</p></div><div class="sidebar-left">s %d</div></body>'

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import html as entities_of
+import math
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +21,9 @@ from .common import checkpointed, table
 LEAST_PAGES, CONSTANT_SHARE, FIRM_SHARE = 4, 0.5, 0.9
 #: Elements nested deeper share the place of what they are in when trees are aligned; their text is read like any other.
 _DEEPEST = 48
-#: Open elements that an end tag looks through; farther ones it leaves open.
-_LOOK = 512
 #: Characters of running text in one element outside any article, from which it can be what the page is about.
 _STORY = 200
-#: Larger pairs of child lists are aligned in one sweep instead of by the best of all ways.
+#: Sums held at once when child lists are aligned; of larger tables some rows are kept and the others computed again, with the same result.
 _MOST_CELLS = 200_000
 
 #: Fixed values of HTML: elements without content, with raw text, that end an open paragraph, and that only mark text up.
@@ -82,43 +82,35 @@ class Page:
 
     def _read(self, page: str) -> None:
         open_, at, events, tags = [0], 0, self.events, self.tags
-        left: dict[str, int] = {}  # how many elements of a tag are open
+        depths: dict[str, list[int]] = {}  # of the open elements of a tag
+        blocks = [0]  # the depths of open blocks
 
         def close(depth: int) -> None:
             for node in reversed(open_[depth:]):
                 events.append((node, _CLOSE))
-                left[tags[node]] -= 1
+                depths[tags[node]].pop()
+                if tags[node] in BLOCKS:
+                    blocks.pop()
             del open_[depth:]
 
+        def nearest(names: Iterable[str]) -> int:
+            return max((depths[t][-1] for t in names if depths.get(t)), default=0)
+
         for start, end, tag, closing, attributes in _tags(page):
             if start > at:
                 events.append((open_[-1], page[at:start]))
             at = end
             if not tag:
                 continue
-            depths = range(len(open_) - 1, max(0, len(open_) - 1 - _LOOK), -1)
             if closing:
-                for depth in depths if left.get(tag) else ():
-                    if tags[open_[depth]] == tag:
-                        close(depth)
-                        break
-                    if tag not in BLOCKS and tags[open_[depth]] in BLOCKS:
-                        break  # a stray end of an inline element ends no block
+                depth = nearest((tag,))
+                if depth and (tag in BLOCKS or depth > blocks[-1]):
+                    close(depth)  # a stray end of an inline element ends no block
                 continue
-            if tag in BLOCKS and left.get("p"):
-                for depth in depths:
-                    if tags[open_[depth]] == "p":
-                        close(depth)
-                        break
-                    if tags[open_[depth]] in BLOCKS:
-                        break
-            if tag in ENDS:
-                for depth in range(len(open_) - 1, max(0, len(open_) - 1 - _LOOK), -1):
-                    if tags[open_[depth]] in HOLDS:
-                        break
-                    if tags[open_[depth]] in ENDS[tag]:
-                        close(depth)
-                        break
+            if tag in BLOCKS and tags[open_[blocks[-1]]] == "p":
+                close(blocks[-1])
+            if tag in ENDS and (depth := nearest(ENDS[tag])) > nearest(HOLDS):
+                close(depth)
             node = len(tags)
             tags.append(tag)
             self.parents.append(open_[-1])
@@ -127,8 +119,10 @@ class Page:
             self.roles.append(_tokens(_ROLES, attributes) if names else ())
             events.append((node, _OPEN))
             if tag not in VOID and not attributes.endswith("/"):
+                depths.setdefault(tag, []).append(len(open_))
+                if tag in BLOCKS:
+                    blocks.append(len(open_))
                 open_.append(node)
-                left[tag] = left.get(tag, 0) + 1
         if at < len(page):
             events.append((open_[-1], page[at:]))
 
@@ -355,35 +349,57 @@ def _size(s: tuple) -> int:
 def _matched(a: tuple, b: tuple) -> tuple[int, tuple[tuple[int, int], ...]]:
     """Simple tree matching: most pairs of nodes with like labels that keep order and descent. -> (count, pairs of places).
 
-    Trees are _DEEPEST deep at most. Child lists that make over _MOST_CELLS pairs are swept once instead, each child
-    taking the next one with its label, so that their like heads still meet.
+    Trees are _DEEPEST deep at most. Child lists of any length get the best of all ways.
     """
     if a[0] != b[0]:
         return 0, ()
-    m, n = len(a[1]), len(b[1])
+    if a == b:
+        return _size(a), tuple((i, i) for i in range(_size(a)))
     places_a, places_b = [1], [1]
     for kids, places in ((a[1], places_a), (b[1], places_b)):
         for kid in kids:
             places.append(places[-1] + _size(kid))
-    met = []
-    if m * n > _MOST_CELLS:
-        ahead: dict[str, list[int]] = {}
-        for j in range(n - 1, -1, -1):
-            ahead.setdefault(b[1][j][0], []).append(j)
-        j = -1
-        for i in range(m):
-            later = ahead.get(a[1][i][0], [])
-            while later and later[-1] <= j:
-                later.pop()
-            if later:
-                j = later.pop()
-                met.append((i, j))
-    else:
-        best = [[0] * (n + 1) for _ in range(m + 1)]
-        for i in range(1, m + 1):
-            for j in range(1, n + 1):
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + _matched(a[1][i - 1], b[1][j - 1])[0])
-        i, j = m, n
+    pairs, total = [(0, 0)], 1
+    for i, j in _best_pairs(a[1], b[1]):
+        count, below = _matched(a[1][i], b[1][j])
+        total += count
+        pairs += [(x + places_a[i], y + places_b[j]) for x, y in below]
+    return total, tuple(pairs)
+
+
+def _best_pairs(a: tuple, b: tuple) -> list[tuple[int, int]]:
+    """Pairs of children in order with the greatest sum of matches, last first; ties: the last pair is as far in front as can be, and so on."""
+    if not a or not b:
+        return []
+    kinds_a, kinds_b = ({kid: k for k, kid in enumerate(dict.fromkeys(kids))} for kids in (a, b))
+    named: dict[str, list[tuple]] = {}
+    for y in kinds_b:
+        named.setdefault(y[0], []).append(y)
+    weights = np.zeros((len(kinds_a), len(kinds_b)), np.int32)
+    for x, k in kinds_a.items():
+        for y in named.get(x[0], ()):
+            weights[k, kinds_b[y]] = _matched(x, y)[0] if x[1] and y[1] else 1
+    of_a, of_b = [kinds_a[x] for x in a], np.array([kinds_b[y] for y in b])
+    m, n = len(a), len(b)
+
+    def rows(row: np.ndarray, start: int, end: int) -> Iterator[np.ndarray]:
+        """The best sums with the first start + 1, ... end children of a, by those of b."""
+        for i in range(start, end):
+            best = row.copy()
+            np.maximum(best[1:], row[:-1] + weights[of_a[i]][of_b], out=best[1:])
+            row = np.maximum.accumulate(best)
+            yield row
+
+    step = m if m * n <= _MOST_CELLS else math.isqrt(m) + 1
+    kept = [np.zeros(n + 1, np.int32)]
+    for i, row in enumerate(rows(kept[0], 0, m - 1 - (m - 1) % step), 1):
+        if i % step == 0:
+            kept.append(row)
+    met, j = [], n
+    for block in range(len(kept) - 1, -1, -1):
+        start = block * step
+        best = [kept[block], *rows(kept[block], start, min(start + step, m))]
+        i = len(best) - 1
         while i and j:
             if best[i][j] == best[i - 1][j]:
                 i -= 1
@@ -391,13 +407,8 @@ def _matched(a: tuple, b: tuple) -> tuple[int, tuple[tuple[int, int], ...]]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                met.append((i, j))
-    pairs, total = [(0, 0)], 1
-    for i, j in met:
-        count, below = _matched(a[1][i], b[1][j])
-        total += count
-        pairs += [(x + places_a[i], y + places_b[j]) for x, y in below]
-    return total, tuple(pairs)
+                met.append((start + i, j))
+    return met
 
 
 def _paths(s: tuple, above: str = "") -> list[str]:
