@@ -1,6 +1,7 @@
 """Every registered query with SQL gives the SQL's rows on the smallest tables."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -36,3 +37,29 @@ def test_entry(spark, data):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["feature_intersection", "sim_cosine", "sim_weighted_fake_jaccard", "predictor_p_avg_t", "l2_normalised_similarity"])
+def test_no_pair_is_shuffled(spark, data, name):
+    """Pairs of documents and items are summed where the documents lie; only one row for a document or term is dealt."""
+    frame = queries.QUERIES[name](spark, data)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\((sent_id#\d+L?, elem_id|elem_id#\d+L?, sent_id)", plan)
+    assert not re.search(r"Exchange hashpartitioning\(arg#", plan)
+    assert name != "l2_normalised_similarity" or "SortMergeJoin" not in plan
+
+
+def test_odd_documents(spark, data, tmp_path):
+    """Null, empty and repeated texts and ids, and texts shorter and longer than any item."""
+    long = " ".join(f"w{i}" for i in range(400))
+    docs = [(1, "The order, the ORDER!"), (1, "goods and goods"), (2, None), (3, ""), (4, " .,; "), (5, "ship the goods to the clerk " + long), (6, "order"), (7, "Ünïcode ORDER"), (None, "order of nobody"), (None, "goods"), (8, "ship goods")]
+    items = [(1, "check the order"), (2, "ship the goods to the warehouse"), (3, ""), (4, None), (5, "ünïcode nothing else"), (None, "goods")]
+    paths = {"documents": (docs, "doc_id long, text string"), "benchmark": (items, "item_id long, text string")}
+    con = duckdb.connect()
+    for name, (rows, schema) in paths.items():
+        spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("feature_intersection", "sim_cosine", "sim_jaccard", "sim_weighted_jaccard", "sim_weighted_fake_jaccard", "trivial_alignment", "predictor_p_avg_t", "missing_elements", "total_score"):
+        got = flat(queries.QUERIES[name](spark, str(tmp_path)).toPandas())
+        assert got == flat(con.execute(queries.ORACLE_SQL[name]).df()), name
+        assert got[1], name

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MISSING_WEIGHT, STOP_POS, Config
+from ..functions import text as T
 
 #: Discourse markers by type; underscores join the words of a marker.
 MARKERS = {
@@ -56,8 +57,38 @@ def inverse_frequency(tf: DataFrame, case: list[str], sizes: DataFrame, lemma: s
 
 def tf_idf(tf: DataFrame, idf: DataFrame, case: list[str], lemma: str = "lemma") -> DataFrame:
     """-> tf's rows with idf and tfidf; a missing tf or idf gives the weight 0.001, an idf of 0 gives 0."""
-    out = tf.join(idf, [*case, lemma], "left")
-    return out.withColumn("tfidf", F.coalesce(F.col("tf") * F.col("idf"), F.lit(MISSING_WEIGHT)))
+    return with_tf_idf(tf.join(idf, [*case, lemma], "left"))
+
+
+def with_tf_idf(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("tfidf", F.coalesce(F.col("tf") * F.col("idf"), F.lit(MISSING_WEIGHT)))
+
+
+def term_lists(texts: DataFrame, owner: str, text: str = "text") -> DataFrame:
+    """(owner, text) -> (owner, words, n_tokens, n_terms), one row per owner: its tokens, their number and that of different ones.
+
+    Texts are dealt by owner once, before words are exploded: what is grouped by owner afterwards is not shuffled again. The
+    session's number of parts holds whatever their bytes, as each text makes many more rows.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    said = texts.select(owner, F.nullif(F.array_join(T.tokens(F.col(text)), " "), F.lit("")).alias("_text")).repartition(parts, owner)
+    whole = said.groupBy(owner).agg(F.concat_ws(" ", F.collect_list("_text")).alias("_text"))
+    words = whole.select(owner, F.when(F.col("_text") == "", F.array().cast("array<string>")).otherwise(F.split("_text", " ")).alias("words"))
+    return words.select(owner, "words", F.size("words").alias("n_tokens"), F.size(F.array_distinct("words")).alias("n_terms"))
+
+
+def listed_terms(lists: DataFrame, owner: str) -> DataFrame:
+    """term_lists -> (owner, lemma), one row for each different term of an owner."""
+    return lists.select(owner, F.explode(F.array_distinct("words")).alias("lemma"))
+
+
+def listed_frequency(lists: DataFrame, owner: str, idf: DataFrame | None = None) -> DataFrame:
+    """term_lists -> (owner, lemma, n_tokens, n_terms, n, tf); with idf, a small table that is broadcast, of its lemmas only, and with idf."""
+    rows = lists.select(owner, "n_tokens", "n_terms", F.explode("words").alias("lemma"))
+    carried = [] if idf is None else [F.max("idf").alias("idf")]
+    rows = rows if idf is None else rows.join(F.broadcast(idf.select("lemma", "idf")), "lemma")
+    n = rows.groupBy(owner, "n_tokens", "n_terms", "lemma").agg(F.count(F.lit(1)).alias("n"), *carried)
+    return n.withColumn("tf", F.col("n") / F.col("n_tokens"))
 
 
 def argument(*parts: Column) -> Column:

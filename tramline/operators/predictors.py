@@ -13,9 +13,13 @@ from ..functions.text import harmonic_mean, ratio
 _c = F.col
 
 
-def trivial_alignment(sims: DataFrame, case: list[str], sent: str = "sent_id", elem: str = "elem_id") -> DataFrame:
-    """Each element's most similar sentence, ties to the smallest id: one combined aggregation, no window."""
-    best = F.max_by(F.struct(_c(sent), _c("sim")), F.struct(_c("sim"), -_c(sent)))
+def trivial_alignment(sims: DataFrame, case: list[str], sent: str = "sent_id", elem: str = "elem_id", digits: int | None = None) -> DataFrame:
+    """Each element's most similar sentence, ties to the smallest id: one combined aggregation, no window.
+
+    digits, if given: similarities that agree when rounded to so many digits are ties; the one returned is not rounded.
+    """
+    rank = _c("sim") if digits is None else F.round("sim", digits)
+    best = F.max_by(F.struct(_c(sent), _c("sim")), F.struct(rank, -_c(sent)))
     return sims.groupBy(*case, elem).agg(best.alias("_b")).select(*case, elem, _c(f"_b.{sent}").alias(sent), _c("_b.sim").alias("sim"))
 
 

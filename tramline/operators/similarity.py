@@ -22,6 +22,10 @@ FUNCTIONS: dict[str, Callable[[], Column]] = {
 }
 
 
+#: Functions that need the weights of all features of a text: of every text, or of those alone that have no more features than some model.
+NEEDS = {"cosine": "all", "weighted-jaccard": "all", "weighted-fake-jaccard": "short"}
+
+
 def totals(features: DataFrame, owner: list[str], side: str) -> DataFrame:
     return features.groupBy(*owner).agg(
         F.count(F.lit(1)).alias(f"{side}_n"), F.sum("weight").alias(f"{side}_w"), F.sqrt(F.sum(_c("weight") * _c("weight"))).alias(f"{side}_l2")
@@ -34,12 +38,28 @@ def pair_sums(text: DataFrame, model: DataFrame, case: list[str], sent: str = "s
     The join meets on the feature, never on the case alone, so pairs without a shared feature cost nothing. Common
     lemmas make large join partitions, which adaptive execution splits; sums are combined before the next shuffle.
     """
-    t_all, m_all = totals(text, [*case, sent], "t"), totals(model, [*case, elem], "m")
-    t = text.join(t_all, [*case, sent]).select(*case, sent, "ftype", "arg", _c("weight").alias("_tw"), "t_n", "t_w", "t_l2")
-    m = model.join(m_all, [*case, elem]).select(*case, elem, "ftype", "arg", _c("weight").alias("_mw"), "m_n", "m_w", "m_l2")
+    t, m = _with_totals(text, [*case, sent], "t"), _with_totals(model, [*case, elem], "m")
+    return _summed(t.join(m, [*case, "ftype", "arg"]), [*case, sent, elem])
+
+
+def local_pair_sums(text: DataFrame, model: DataFrame, sent: str = "sent_id", elem: str = "elem_id") -> DataFrame:
+    """pair_sums of many texts with few models, whose features are sent to every task, so that no text's feature and no pair is shuffled.
+
+    text brings t_n, t_w and t_l2, counted over all its features, and may leave out features that no model has. Its rows lie
+    together by sentence (see features.term_lists); if not, the result is the same, after a shuffle.
+    """
+    t = text.filter(_c(sent).isNotNull()).withColumnRenamed("weight", "_tw")
+    return _summed(t.join(F.broadcast(_with_totals(model, [elem], "m")), ["ftype", "arg"]), [sent, elem])
+
+
+def _with_totals(features: DataFrame, owner: list[str], side: str) -> DataFrame:
+    both = features.join(totals(features, owner, side), owner)
+    return both.select(*owner, "ftype", "arg", _c("weight").alias(f"_{side}w"), f"{side}_n", f"{side}_w", f"{side}_l2")
+
+
+def _summed(both: DataFrame, pair: list[str]) -> DataFrame:
     shorter = F.when(_c("t_n") <= _c("m_n"), _c("_tw")).otherwise(_c("_mw"))
-    both = t.join(m, [*case, "ftype", "arg"])
-    return both.groupBy(*case, sent, elem).agg(
+    return both.groupBy(*pair).agg(
         F.count(F.lit(1)).alias("n_i"), F.sum(shorter).alias("w_i"), F.sum(F.least("_tw", "_mw")).alias("w_min"), F.sum(_c("_tw") * _c("_mw")).alias("dot"),
         *[F.max(x).alias(x) for x in ("t_n", "t_w", "t_l2", "m_n", "m_w", "m_l2")],
     )
@@ -47,7 +67,11 @@ def pair_sums(text: DataFrame, model: DataFrame, case: list[str], sent: str = "s
 
 def similarities(text: DataFrame, model: DataFrame, name: str, case: list[str], sent: str = "sent_id", elem: str = "elem_id") -> DataFrame:
     """-> (case, sent, elem, sim) for the pairs that share a feature; all others have similarity 0."""
-    return pair_sums(text, model, case, sent, elem).select(*case, sent, elem, FUNCTIONS[name]().alias("sim"))
+    return weighed(pair_sums(text, model, case, sent, elem), name, [*case, sent, elem])
+
+
+def weighed(sums: DataFrame, name: str, pair: list[str]) -> DataFrame:
+    return sums.select(*pair, FUNCTIONS[name]().alias("sim"))
 
 
 def all_pairs(sims: DataFrame, sentences: DataFrame, elements: DataFrame, case: list[str], sent: str = "sent_id", elem: str = "elem_id") -> DataFrame:
@@ -56,9 +80,13 @@ def all_pairs(sims: DataFrame, sentences: DataFrame, elements: DataFrame, case:
     return pairs.join(sims, [*case, sent, elem], "left").select(*case, sent, elem, F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
-def l2_normalised(sims: DataFrame, case: list[str], elem: str = "elem_id") -> DataFrame:
-    """Similarities over the length of their element's vector; null where that is 0. Lengths are combined first, then joined."""
+def l2_normalised(sims: DataFrame, case: list[str], elem: str = "elem_id", few: bool = False) -> DataFrame:
+    """Similarities over the length of their element's vector; null where that is 0. Lengths are combined first, then joined.
+
+    few: there are few elements; their lengths are broadcast, and no similarity is shuffled.
+    """
     size = sims.groupBy(*case, elem).agg(F.sqrt(F.sum(_c("sim") * _c("sim"))).alias("_l2"))
+    size = F.broadcast(size) if few else size
     return sims.join(size, [*case, elem]).withColumn("sim", _c("sim") / F.nullif("_l2", F.lit(0.0))).drop("_l2")
 
 

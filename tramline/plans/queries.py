@@ -99,16 +99,39 @@ _SIMS = f"{_PAIRS}, sims AS (SELECT sent_id, elem_id, {_SIM_SQL['weighted-fake-j
 _ALIGNED = f"{_SIMS}, al AS (SELECT elem_id, sent_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY elem_id ORDER BY round(sim, 9) DESC, sent_id) AS r FROM sims) WHERE r = 1)"
 
 
+def _pairs(spark, sf_dir, need: str | None = None):
+    """Sums of the documents' features with those of the few benchmark items; t_w and t_l2 of all texts, of short ones, or null (see similarity.NEEDS)."""
+    docs = _read(spark, sf_dir, "documents")
+    n_docs = docs.agg(F.countDistinct("doc_id").alias("n_owners"))
+    lists = features.term_lists(docs.withColumnRenamed("doc_id", "sent_id"), "sent_id")
+    terms = features.listed_terms(lists, "sent_id")
+    model = _forms(_model(spark, sf_dir), "elem_id")
+    known = model.select(F.col("arg").alias("lemma")).distinct()
+    shared = features.listed_frequency(lists, "sent_id", features.inverse_frequency(terms.join(F.broadcast(known), "lemma", "left_semi"), [], n_docs))
+    shared = features.with_tf_idf(shared)
+    text = features.feature(shared, ["sent_id", F.col("n_terms").alias("t_n")], "has-form", [F.col("lemma")], CONFIG, F.col("tfidf"))
+    if need is None:
+        return similarity.local_pair_sums(text.withColumns({c: F.lit(None).cast("double") for c in ("t_w", "t_l2")}), model)
+    if need == "short":
+        longest = model.groupBy("elem_id").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_longest"))
+        lists = lists.crossJoin(F.broadcast(longest)).filter("n_terms <= _longest")  # one row
+    tf = features.listed_frequency(lists, "sent_id")
+    all_terms = _forms(features.tf_idf(tf, features.inverse_frequency(terms, [], n_docs), []), "sent_id")
+    return similarity.local_pair_sums(text.join(similarity.totals(all_terms, ["sent_id"], "t").drop("t_n"), "sent_id", "left"), model)
+
+
 def _sims(spark, sf_dir, name="weighted-fake-jaccard"):
-    return similarity.similarities(_forms(_text(spark, sf_dir), "sent_id"), _forms(_model(spark, sf_dir), "elem_id"), name, [])
+    return similarity.weighed(_pairs(spark, sf_dir, similarity.NEEDS.get(name)), name, ["sent_id", "elem_id"])
+
+
+def _best(sims):
+    return predictors.trivial_alignment(sims, [], digits=9)
 
 
 def _aligned(spark, sf_dir):
     """(similarities, trivial alignment); both are used more than once, so the similarities are written out."""
     sims = graph.checkpointed(_sims(spark, sf_dir))
-    near = sims.withColumn("_exact", F.col("sim")).withColumn("sim", _r("sim", 9))
-    best = predictors.trivial_alignment(near, [])
-    return sims, best.drop("sim").join(sims, ["sent_id", "elem_id"])
+    return sims, _best(sims)
 
 
 @query("token_histogram", f"WITH {_T} SELECT lemma, count(*)::BIGINT AS n FROM t_tok GROUP BY lemma")
@@ -153,8 +176,7 @@ def feature_union(spark, sf_dir):
 
 @query("feature_intersection", f"{_PAIRS} SELECT sent_id, elem_id, n_i::BIGINT AS n_shared, round(w_i, 6) AS weight FROM pairs")
 def feature_intersection(spark, sf_dir):
-    out = similarity.pair_sums(_forms(_text(spark, sf_dir), "sent_id"), _forms(_model(spark, sf_dir), "elem_id"), [])
-    return out.select("sent_id", "elem_id", F.col("n_i").alias("n_shared"), _r("w_i").alias("weight"))
+    return _pairs(spark, sf_dir).select("sent_id", "elem_id", F.col("n_i").alias("n_shared"), _r("w_i").alias("weight"))
 
 
 def _similarity_query(name: str) -> None:
@@ -207,13 +229,13 @@ def explain_features(spark, sf_dir):
 
 @query("trivial_alignment", f"{_ALIGNED} SELECT elem_id, sent_id, round(sim, 6) AS sim FROM al")
 def trivial_alignment(spark, sf_dir):
-    return _aligned(spark, sf_dir)[1].select("elem_id", "sent_id", _r("sim").alias("sim"))
+    return _best(_sims(spark, sf_dir)).select("elem_id", "sent_id", _r("sim").alias("sim"))
 
 
 @query("best_sentence_per_label", f"{_ALIGNED} SELECT b.item_id, al.sent_id AS doc_id, round(coalesce(sim, 0), 6) AS sim, CASE WHEN sim IS NULL THEN 'missing' ELSE 'aligned' END AS status FROM benchmark b LEFT JOIN al ON b.item_id = al.elem_id")
 def best_sentence_per_label(spark, sf_dir):
     items = _read(spark, sf_dir, "benchmark").select("item_id")
-    found = _aligned(spark, sf_dir)[1]
+    found = _best(_sims(spark, sf_dir))
     out = items.join(found, items["item_id"] == found["elem_id"], "left")
     return out.select("item_id", F.col("sent_id").alias("doc_id"), _r(F.coalesce("sim", F.lit(0.0))).alias("sim"), F.when(F.col("sim").isNull(), "missing").otherwise("aligned").alias("status"))
 
@@ -221,7 +243,7 @@ def best_sentence_per_label(spark, sf_dir):
 @query("unassigned_to_dummy", f"{_ALIGNED} SELECT doc_id AS elem_id, coalesce(min(elem_id), -1)::BIGINT AS assigned FROM documents LEFT JOIN al ON doc_id = sent_id GROUP BY doc_id")
 def unassigned_to_dummy(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select(F.lit(0).alias("case_id"), F.col("doc_id").alias("elem_id"))
-    taken = _aligned(spark, sf_dir)[1].groupBy("sent_id").agg(F.min("elem_id").alias("item"))
+    taken = _best(_sims(spark, sf_dir)).groupBy("sent_id").agg(F.min("elem_id").alias("item"))
     given = taken.select(F.lit(0).alias("case_id"), F.col("sent_id").alias("elem_id"), F.col("item").alias("sent_id"))
     return assignment.unassigned(docs, given, "case_id", DUMMY_SENTENCE).select("elem_id", F.col("sent_id").alias("assigned"))
 
@@ -280,7 +302,7 @@ def missing_elements(spark, sf_dir):
 def total_score(spark, sf_dir):
     one = F.lit(0).alias("case_id")
     sizes = [_read(spark, sf_dir, t).groupBy(one).agg(F.count(F.lit(1)).alias("n")) for t in ("documents", "benchmark")]
-    scored = assignment.total_score(_aligned(spark, sf_dir)[1].withColumn("case_id", F.lit(0)), *sizes, "case_id")
+    scored = assignment.total_score(_best(_sims(spark, sf_dir)).withColumn("case_id", F.lit(0)), *sizes, "case_id")
     return scored.select(_r("total_score", 9).alias("total_score"))
 
 
@@ -618,7 +640,7 @@ def label_cleaning(spark, sf_dir):
 
 @query("l2_normalised_similarity", f"{_SIMS} SELECT sent_id, elem_id, round(sim / nullif(sqrt(sum(sim * sim) OVER (PARTITION BY elem_id)), 0), 6) AS p FROM sims")
 def l2_normalised_similarity(spark, sf_dir):
-    return similarity.l2_normalised(graph.checkpointed(_sims(spark, sf_dir)), []).select("sent_id", "elem_id", _r("sim").alias("p"))
+    return similarity.l2_normalised(graph.checkpointed(_sims(spark, sf_dir)), [], few=True).select("sent_id", "elem_id", _r("sim").alias("p"))
 
 
 from . import engine_queries, evaluation_queries, linguistic_queries  # noqa: E402, F401  # register their queries
