@@ -103,8 +103,9 @@ def _pairs(spark, sf_dir, need: str | None = None):
     """Sums of the documents' features with those of the few benchmark items; t_w and t_l2 of all texts, of short ones, or null (see similarity.NEEDS)."""
     docs = _read(spark, sf_dir, "documents")
     n_docs = docs.agg(F.countDistinct("doc_id").alias("n_owners"))
-    lists = features.term_lists(docs.withColumnRenamed("doc_id", "sent_id"), "sent_id")
-    terms = features.listed_terms(lists, "sent_id")
+    named = [features.term_lists(docs.withColumnRenamed("doc_id", "sent_id").filter(which), "sent_id") for which in ("sent_id is not null", "sent_id is null")]
+    terms = features.listed_terms(named[0], "sent_id").union(features.listed_terms(named[1], "sent_id"))  # those without an id count in df alone
+    lists = named[0]
     model = _forms(_model(spark, sf_dir), "elem_id")
     known = model.select(F.col("arg").alias("lemma")).distinct()
     shared = features.listed_frequency(lists, "sent_id", features.inverse_frequency(terms.join(F.broadcast(known), "lemma", "left_semi"), [], n_docs))
