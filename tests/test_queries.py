@@ -49,6 +49,22 @@ def test_no_pair_is_shuffled(spark, data, name):
     assert name != "l2_normalised_similarity" or "SortMergeJoin" not in plan
 
 
+@pytest.mark.parametrize("name", ["feature_intersection", "predictor_p_rel", "trivial_alignment", "total_score"])
+def test_memory_is_bounded(spark, data, name):
+    """No task holds a row for each of its pairs, or sorts them: pairs come out of blocks of texts, and best sentences out of plain maxima."""
+    plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Aggregate\(keys?=\[(sent_id#\d+L?, elem_id|elem_id#\d+L?, sent_id)", plan)
+    assert "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("docs, items", [([(None, "the order")], [(1, "the order")]), ([(1, "the order")], []), ([], [(1, "the order")]), ([(1, None)], [(1, None)])])
+def test_empty_sides(spark, tmp_path, docs, items):
+    for name, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
+        spark.createDataFrame(rows, f"{key} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("feature_intersection", "sim_cosine", "predictor_p_rel"):
+        assert queries.QUERIES[name](spark, str(tmp_path)).collect() == [], name
+
+
 def test_odd_documents(spark, data, tmp_path):
     """Null, empty and repeated texts and ids, and texts shorter and longer than any item."""
     long = " ".join(f"w{i}" for i in range(400))

@@ -5,14 +5,18 @@ A feature row is (owner columns..., ftype string, arg string, weight double); ar
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MISSING_WEIGHT, STOP_POS, Config
 from ..functions import text as T
+from ..llm.common import sliced
 
 #: Discourse markers by type; underscores join the words of a marker.
 MARKERS = {
@@ -65,32 +69,57 @@ def with_tf_idf(rows: DataFrame) -> DataFrame:
 
 
 def term_lists(texts: DataFrame, owner: str, text: str = "text") -> DataFrame:
-    """(owner, text) -> (owner, words, n_tokens, n_terms), one row per owner: its tokens, their number and that of different ones.
+    """(owner, text) -> (owner, said, n_tokens, n_terms), one row per owner: its tokens, joined by spaces, their number and that of different ones.
 
     Texts are dealt by owner once, before words are exploded: what is grouped by owner afterwards is not shuffled again. The
     session's number of parts holds whatever their bytes, as each text makes many more rows.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     said = texts.select(owner, F.nullif(F.array_join(T.tokens(F.col(text)), " "), F.lit("")).alias("_text")).repartition(parts, owner)
-    whole = said.groupBy(owner).agg(F.concat_ws(" ", F.collect_list("_text")).alias("_text"))
-    words = whole.select(owner, F.when(F.col("_text") == "", F.array().cast("array<string>")).otherwise(F.split("_text", " ")).alias("words"))
-    return words.select(owner, "words", F.size("words").alias("n_tokens"), F.size(F.array_distinct("words")).alias("n_terms"))
+    whole = said.groupBy(owner).agg(F.concat_ws(" ", F.collect_list("_text")).alias("said")).withColumn("_words", _words())
+    return whole.select(owner, "said", F.size("_words").alias("n_tokens"), F.size(F.array_distinct("_words")).alias("n_terms"))
+
+
+def _words() -> Column:
+    return F.when(F.col("said") == "", F.array().cast("array<string>")).otherwise(F.split("said", " "))
 
 
 def listed_terms(lists: DataFrame, owner: str) -> DataFrame:
     """term_lists -> (owner, lemma), one row for each different term of an owner."""
-    return lists.select(owner, F.explode(F.array_distinct("words")).alias("lemma"))
+    return lists.select(owner, F.explode(F.array_distinct(_words())).alias("lemma"))
 
 
-def listed_frequency(lists: DataFrame, owner: str, idf: DataFrame | None = None) -> DataFrame:
-    """term_lists -> (owner, lemma, n_tokens, n_terms, n, tf); with idf, a small table that is broadcast, of its lemmas only, and with idf."""
-    rows = lists.select(owner, "n_tokens", "n_terms", F.explode("words").alias("lemma"))
-    carried = [] if idf is None else [F.max("idf").alias("idf")]
-    rows = rows if idf is None else rows.join(F.broadcast(idf.select("lemma", "idf")), "lemma")
-    n = rows.groupBy(owner, "n_tokens", "n_terms", "lemma").agg(F.count(F.lit(1)).alias("n"), *carried)
+def listed_frequency(lists: DataFrame, owner: str) -> DataFrame:
+    """term_lists -> (owner, lemma, n_tokens, n_terms, n, tf)."""
+    rows = lists.select(owner, "n_tokens", "n_terms", F.explode(_words()).alias("lemma"))
+    n = rows.groupBy(owner, "n_tokens", "n_terms", "lemma").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("tf", F.col("n") / F.col("n_tokens"))
 
 
+def known_counts(lists: DataFrame, owner: str, vocabulary: Sequence[str]) -> DataFrame:
+    """term_lists -> (owner, n_tokens, n_terms, terms, counts): the places in a small vocabulary of the words that a row has, rising, and how often.
+
+    A row is counted where it lies, a few MB at a time, so neither the number of rows nor of parts matters to memory.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, size = None, max(1, len(vocabulary))
+        for batch in sliced(batches):
+            words = pc.split_pattern(batch.column("said"), " ")
+            flat = words.flatten()
+            known = pa.array(vocabulary, flat.type) if known is None else known
+            place = pc.index_in(flat, value_set=known)
+            row = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False))
+            here = place.is_valid().to_numpy(zero_copy_only=False)
+            cells, n = np.unique(row[here] * size + place.drop_null().to_numpy(), return_counts=True)
+            ends = pa.array(np.searchsorted(cells, np.arange(len(words) + 1) * size), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (cells % size, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in (owner, "n_tokens", "n_terms")] + lists, [owner, "n_tokens", "n_terms", "terms", "counts"])
+
+    kind = lists.schema[owner].dataType.simpleString()
+    return lists.select(owner, "said", "n_tokens", "n_terms").mapInArrow(counted, f"{owner} {kind}, n_tokens int, n_terms int, terms array<int>, counts array<int>")
+
+
 def argument(*parts: Column) -> Column:
     return F.concat_ws("\u0001", *[F.coalesce(p, F.lit("\u0000")) for p in parts])
 

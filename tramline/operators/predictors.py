@@ -13,28 +13,38 @@ from ..functions.text import harmonic_mean, ratio
 _c = F.col
 
 
-def trivial_alignment(sims: DataFrame, case: list[str], sent: str = "sent_id", elem: str = "elem_id", digits: int | None = None) -> DataFrame:
+def trivial_alignment(sims: DataFrame, case: list[str], sent: str = "sent_id", elem: str = "elem_id", digits: int | None = None, few: bool = False) -> DataFrame:
     """Each element's most similar sentence, ties to the smallest id: one combined aggregation, no window.
 
     digits, if given: similarities that agree when rounded to so many digits are ties; the one returned is not rounded.
+    few: there are few elements; the greatest of each is found first and broadcast. sims are read twice, but never sorted, as
+    they are to combine structs.
     """
     rank = _c("sim") if digits is None else F.round("sim", digits)
+    if few:
+        top = sims.groupBy(*case, elem).agg(F.max("sim").alias("_top"))
+        slack, top_rank = (0.0, _c("_top")) if digits is None else (2 * 10.0**-digits, F.round("_top", digits))
+        near = sims.join(F.broadcast(top), [*case, elem])
+        ties = near.filter((_c("sim") >= _c("_top") - slack) & (rank >= top_rank))  # few rows are rounded, which an equality, as a key of the join, would do to all
+        return ties.groupBy(*case, elem).agg(F.min(sent).alias("_s"), F.min_by("sim", sent).alias("sim")).select(*case, elem, _c("_s").alias(sent), "sim")
     best = F.max_by(F.struct(_c(sent), _c("sim")), F.struct(rank, -_c(sent)))
     return sims.groupBy(*case, elem).agg(best.alias("_b")).select(*case, elem, _c(f"_b.{sent}").alias(sent), _c("_b.sim").alias("sim"))
 
 
-def statistics(sims: DataFrame, alignment: DataFrame, case: list[str], sizes: DataFrame, sent: str = "sent_id", elem: str = "elem_id") -> DataFrame:
+def statistics(sims: DataFrame, alignment: DataFrame, case: list[str], sizes: DataFrame, sent: str = "sent_id", elem: str = "elem_id", few: bool = False) -> DataFrame:
     """alignment with the maxima, sums and sizes of its element's, its sentence's and its case's similarities.
 
     sims may be sparse (absent pairs are 0): means divide by the sizes (n_sents, n_elems) per case. Each statistic is an
-    aggregation by its own key that joins the alignment, which has one row per element.
+    aggregation by its own key that joins the alignment, which has one row per element. few: there are few elements; their
+    sentences are broadcast, and no other sentence is summed.
     """
     p = F.col("sim")
     by_elem = sims.groupBy(*case, elem).agg(
         F.max("sim").alias("t_max"), F.sum("sim").alias("t_sum"), F.sqrt(F.sum(p * p)).alias("t_l2"), F.sum(F.when(p > 0, p * F.log(p))).alias("t_plogp"), F.sum(F.when(p > 0, p)).alias("t_pos"),
         F.coalesce(F.sum(F.when(_c(sent) != DUMMY_SENTENCE, p)), F.lit(0.0)).alias("t_real"), F.count_if(_c(sent) == DUMMY_SENTENCE).alias("t_dummies"),
     )
-    by_sent = sims.groupBy(*case, sent).agg(F.max("sim").alias("s_max"), F.sum("sim").alias("s_sum"))
+    chosen = sims.join(F.broadcast(alignment.select(*case, sent).distinct()), [*case, sent], "left_semi") if few else sims
+    by_sent = chosen.groupBy(*case, sent).agg(F.max("sim").alias("s_max"), F.sum("sim").alias("s_sum"))
     whole = sims.groupBy(*case).agg(F.max("sim").alias("c_max"))
     aligned = alignment.groupBy(*case).agg(F.avg("sim").alias("a_avg"))
     out = alignment.join(by_elem, [*case, elem]).join(by_sent, [*case, sent])

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,15 @@ FUNCTIONS: dict[str, Callable[[], Column]] = {
 
 #: Functions that need the weights of all features of a text: of every text, or of those alone that have no more features than some model.
 NEEDS = {"cosine": "all", "weighted-jaccard": "all", "weighted-fake-jaccard": "short"}
+#: The sums that a function reads.
+USES = {
+    "cosine": ["dot", "t_l2", "m_l2"],
+    "jaccard": ["n_i", "t_n", "m_n"],
+    "fake-jaccard": ["n_i", "t_n", "m_n"],
+    "raw-weighted-overlapping": ["w_i"],
+    "weighted-fake-jaccard": ["w_i", "t_n", "m_n", "t_w", "m_w"],
+    "weighted-jaccard": ["w_i", "w_min", "t_w", "m_w"],
+}
 
 
 def totals(features: DataFrame, owner: list[str], side: str) -> DataFrame:
@@ -42,14 +54,69 @@ def pair_sums(text: DataFrame, model: DataFrame, case: list[str], sent: str = "s
     return _summed(t.join(m, [*case, "ftype", "arg"]), [*case, sent, elem])
 
 
-def local_pair_sums(text: DataFrame, model: DataFrame, sent: str = "sent_id", elem: str = "elem_id") -> DataFrame:
-    """pair_sums of many texts with few models, whose features are sent to every task, so that no text's feature and no pair is shuffled.
+class Few:
+    """The features of a few models, sent to every task: rows by term (first[t] to first[t + 1]) with the number of their element and their weight."""
+
+    def __init__(self, model: DataFrame, elem: str = "elem_id"):
+        rows = _with_totals(model, [elem], "m").toArrow()
+        self.elem, self.kind = elem, model.schema[elem].dataType.simpleString()
+        self.vocabulary = sorted(set(rows["arg"].to_pylist()))
+        term = pc.index_in(rows["arg"].combine_chunks(), value_set=pa.array(self.vocabulary, rows["arg"].type)).to_numpy(zero_copy_only=False).astype(np.int64)
+        owners = rows[elem].combine_chunks().dictionary_encode()
+        order = np.argsort(term, kind="stable")
+        self.first = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
+        number = owners.indices.to_numpy()
+        self.number, self.weight = number[order], rows["_mw"].to_numpy()[order]
+        self.elems, one = owners.dictionary, np.unique(number, return_index=True)[1]
+        self.sides = {c: rows[c].to_numpy()[one] for c in ("m_n", "m_w", "m_l2")}
+        self.longest = int(self.sides["m_n"].max(initial=0))
+
+
+def local_pair_sums(text: DataFrame, few: Few, scale: np.ndarray, columns: Sequence[str], sent: str = "sent_id") -> DataFrame:
+    """The named columns of pair_sums for many texts with few models, summed where a text lies: neither its features nor its pairs are shuffled.
 
-    text brings t_n, t_w and t_l2, counted over all its features, and may leave out features that no model has. Its rows lie
-    together by sentence (see features.term_lists); if not, the result is the same, after a shuffle.
+    text: rows of features.known_counts over few.vocabulary, with t_w and t_l2 where columns name them. A term weighs its frequency
+    times its scale. Texts are taken in blocks whose pairs and shared features are bounded, so memory depends on the models alone.
     """
-    t = text.filter(_c(sent).isNotNull()).withColumnRenamed("weight", "_tw")
-    return _summed(t.join(F.broadcast(_with_totals(model, [elem], "m")), ["ftype", "arg"]), [sent, elem])
+    block = max(1, min((1 << 18) // max(1, len(few.elems)), (1 << 20) // max(1, len(few.number))))
+    given = [c for c in ("t_w", "t_l2") if c in columns]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                yield _block_sums(batch.slice(at, block), few, scale, columns, sent)
+
+    kinds = {c: "long" if c in ("n_i", "t_n", "m_n") else "double" for c in columns}
+    schema = f"{sent} {text.schema[sent].dataType.simpleString()}, {few.elem} {few.kind}, " + ", ".join(f"{c} {k}" for c, k in kinds.items())
+    return text.select(sent, "n_tokens", "n_terms", "terms", "counts", *given).mapInArrow(summed, schema)
+
+
+def _block_sums(texts: pa.RecordBatch, few: Few, scale: np.ndarray, columns: Sequence[str], sent: str) -> pa.RecordBatch:
+    """A sparse product: (text, term) entries meet the term's models, and are added up by (text, model) cell."""
+    n_elems, lists = len(few.elems), texts.column("terms")
+    term = lists.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    weight = texts.column("counts").flatten().to_numpy(zero_copy_only=False) / texts.column("n_tokens").to_numpy(zero_copy_only=False)[row] * scale[term]
+    times = few.first[term + 1] - few.first[term]
+    entry = np.repeat(np.arange(len(term)), times)
+    met = np.arange(len(entry)) + np.repeat(few.first[term] - (np.cumsum(times) - times), times)
+    elem, t_weight, m_weight = few.number[met], weight[entry], few.weight[met]
+    t_n = texts.column("n_terms").to_numpy(zero_copy_only=False).astype(np.int64)
+    cell = row[entry] * n_elems + elem
+    shared = np.bincount(cell, minlength=len(lists) * n_elems)
+    cells = np.flatnonzero(shared)
+    of_text, of_elem = cells // n_elems, cells % n_elems
+
+    def added(x: np.ndarray) -> np.ndarray:
+        return np.bincount(cell, x, len(shared))[cells]
+
+    values = {
+        "n_i": lambda: shared[cells], "w_i": lambda: added(np.where(t_n[row[entry]] <= few.sides["m_n"][elem], t_weight, m_weight)),
+        "w_min": lambda: added(np.minimum(t_weight, m_weight)), "dot": lambda: added(t_weight * m_weight), "t_n": lambda: t_n[of_text],
+        **{c: (lambda c=c: texts.column(c).take(pa.array(of_text))) for c in ("t_w", "t_l2")}, **{c: (lambda c=c: few.sides[c][of_elem]) for c in few.sides},
+    }
+    found = [texts.column(sent).take(pa.array(of_text)), few.elems.take(pa.array(of_elem)), *[pa.array(values[c]()) for c in columns]]
+    return pa.RecordBatch.from_arrays(found, [sent, few.elem, *columns])
 
 
 def _with_totals(features: DataFrame, owner: list[str], side: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,40 +100,43 @@ _SIMS = f"{_PAIRS}, sims AS (SELECT sent_id, elem_id, {_SIM_SQL['weighted-fake-j
 _ALIGNED = f"{_SIMS}, al AS (SELECT elem_id, sent_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY elem_id ORDER BY round(sim, 9) DESC, sent_id) AS r FROM sims) WHERE r = 1)"
 
 
-def _pairs(spark, sf_dir, need: str | None = None):
-    """Sums of the documents' features with those of the few benchmark items; t_w and t_l2 of all texts, of short ones, or null (see similarity.NEEDS)."""
+def _pairs(spark, sf_dir, columns, need: str | None = None):
+    """Sums (columns) of the documents' features with those of the few benchmark items; t_w and t_l2 of all texts or of short ones, as need says (see similarity.NEEDS).
+
+    Of every text the counts of the items' words are written out; these give the words' idf, then the pairs. Where few texts need all
+    their words, the dealt texts are written out too, as they are read again for the df of all words; else dealt twice.
+    """
     docs = _read(spark, sf_dir, "documents")
     n_docs = docs.agg(F.countDistinct("doc_id").alias("n_owners"))
-    named = [features.term_lists(docs.withColumnRenamed("doc_id", "sent_id").filter(which), "sent_id") for which in ("sent_id is not null", "sent_id is null")]
-    terms = features.listed_terms(named[0], "sent_id").union(features.listed_terms(named[1], "sent_id"))  # those without an id count in df alone
-    lists = named[0]
-    model = _forms(_model(spark, sf_dir), "elem_id")
-    known = model.select(F.col("arg").alias("lemma")).distinct()
-    shared = features.listed_frequency(lists, "sent_id", features.inverse_frequency(terms.join(F.broadcast(known), "lemma", "left_semi"), [], n_docs))
-    shared = features.with_tf_idf(shared)
-    text = features.feature(shared, ["sent_id", F.col("n_terms").alias("t_n")], "has-form", [F.col("lemma")], CONFIG, F.col("tfidf"))
-    if need is None:
-        return similarity.local_pair_sums(text.withColumns({c: F.lit(None).cast("double") for c in ("t_w", "t_l2")}), model)
-    if need == "short":
-        longest = model.groupBy("elem_id").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_longest"))
-        lists = lists.crossJoin(F.broadcast(longest)).filter("n_terms <= _longest")  # one row
-    tf = features.listed_frequency(lists, "sent_id")
-    all_terms = _forms(features.tf_idf(tf, features.inverse_frequency(terms, [], n_docs), []), "sent_id")
-    return similarity.local_pair_sums(text.join(similarity.totals(all_terms, ["sent_id"], "t").drop("t_n"), "sent_id", "left"), model)
+    few = similarity.Few(_forms(_model(spark, sf_dir), "elem_id"), "elem_id")
+    texts = docs.select(F.col("doc_id").alias("sent_id"), "text")
+    lists = features.term_lists(texts.filter("sent_id is not null"), "sent_id")
+    lists = graph.checkpointed(lists) if need == "short" else lists
+    nobody = _tokens(docs.filter("doc_id is null"), "doc_id", "sent_id").distinct()  # counts in df alone, as one text
+    counted = graph.checkpointed(features.known_counts(lists, "sent_id", few.vocabulary))
+    alone = nobody.select("sent_id", F.col("lemma").alias("said"), F.lit(1).alias("n_tokens"), F.lit(1).alias("n_terms"))
+    known = counted.union(features.known_counts(alone, "sent_id", few.vocabulary)).select(F.explode("terms").alias("term"))
+    scale = np.zeros(len(few.vocabulary))
+    for term, idf in features.inverse_frequency(known, [], n_docs, "term").select("term", "idf").dropna().collect():
+        scale[term] = CONFIG.weights()["has-form"] * idf
+    if need:
+        asked = F.lit(True) if need == "all" else F.col("n_terms") <= few.longest
+        idf = features.inverse_frequency(features.listed_terms(lists, "sent_id").union(nobody), [], n_docs)
+        all_terms = _forms(features.tf_idf(features.listed_frequency(lists.filter(asked), "sent_id"), idf, []), "sent_id")
+        sides = similarity.totals(all_terms, ["sent_id"], "t").drop("t_n")
+        joined = counted.filter(asked).join(sides.hint("shuffle_hash"), "sent_id", "left")
+        counted = joined if need == "all" else joined.unionByName(counted.filter(~asked), allowMissingColumns=True)
+    return similarity.local_pair_sums(counted, few, scale, columns)
 
 
 def _sims(spark, sf_dir, name="weighted-fake-jaccard"):
-    return similarity.weighed(_pairs(spark, sf_dir, similarity.NEEDS.get(name)), name, ["sent_id", "elem_id"])
-
-
-def _best(sims):
-    return predictors.trivial_alignment(sims, [], digits=9)
+    return similarity.weighed(_pairs(spark, sf_dir, similarity.USES[name], similarity.NEEDS.get(name)), name, ["sent_id", "elem_id"])
 
 
 def _aligned(spark, sf_dir):
-    """(similarities, trivial alignment); both are used more than once, so the similarities are written out."""
+    """(similarities, trivial alignment); both are read more than once, so they are written out."""
     sims = graph.checkpointed(_sims(spark, sf_dir))
-    return sims, _best(sims)
+    return sims, graph.checkpointed(predictors.trivial_alignment(sims, [], digits=9, few=True))
 
 
 @query("token_histogram", f"WITH {_T} SELECT lemma, count(*)::BIGINT AS n FROM t_tok GROUP BY lemma")
@@ -177,7 +181,7 @@ def feature_union(spark, sf_dir):
 
 @query("feature_intersection", f"{_PAIRS} SELECT sent_id, elem_id, n_i::BIGINT AS n_shared, round(w_i, 6) AS weight FROM pairs")
 def feature_intersection(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("sent_id", "elem_id", F.col("n_i").alias("n_shared"), _r("w_i").alias("weight"))
+    return _pairs(spark, sf_dir, ["n_i", "w_i"]).select("sent_id", "elem_id", F.col("n_i").alias("n_shared"), _r("w_i").alias("weight"))
 
 
 def _similarity_query(name: str) -> None:
@@ -230,13 +234,13 @@ def explain_features(spark, sf_dir):
 
 @query("trivial_alignment", f"{_ALIGNED} SELECT elem_id, sent_id, round(sim, 6) AS sim FROM al")
 def trivial_alignment(spark, sf_dir):
-    return _best(_sims(spark, sf_dir)).select("elem_id", "sent_id", _r("sim").alias("sim"))
+    return _aligned(spark, sf_dir)[1].select("elem_id", "sent_id", _r("sim").alias("sim"))
 
 
 @query("best_sentence_per_label", f"{_ALIGNED} SELECT b.item_id, al.sent_id AS doc_id, round(coalesce(sim, 0), 6) AS sim, CASE WHEN sim IS NULL THEN 'missing' ELSE 'aligned' END AS status FROM benchmark b LEFT JOIN al ON b.item_id = al.elem_id")
 def best_sentence_per_label(spark, sf_dir):
     items = _read(spark, sf_dir, "benchmark").select("item_id")
-    found = _best(_sims(spark, sf_dir))
+    found = _aligned(spark, sf_dir)[1]
     out = items.join(found, items["item_id"] == found["elem_id"], "left")
     return out.select("item_id", F.col("sent_id").alias("doc_id"), _r(F.coalesce("sim", F.lit(0.0))).alias("sim"), F.when(F.col("sim").isNull(), "missing").otherwise("aligned").alias("status"))
 
@@ -244,7 +248,7 @@ def best_sentence_per_label(spark, sf_dir):
 @query("unassigned_to_dummy", f"{_ALIGNED} SELECT doc_id AS elem_id, coalesce(min(elem_id), -1)::BIGINT AS assigned FROM documents LEFT JOIN al ON doc_id = sent_id GROUP BY doc_id")
 def unassigned_to_dummy(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select(F.lit(0).alias("case_id"), F.col("doc_id").alias("elem_id"))
-    taken = _best(_sims(spark, sf_dir)).groupBy("sent_id").agg(F.min("elem_id").alias("item"))
+    taken = _aligned(spark, sf_dir)[1].groupBy("sent_id").agg(F.min("elem_id").alias("item"))
     given = taken.select(F.lit(0).alias("case_id"), F.col("sent_id").alias("elem_id"), F.col("item").alias("sent_id"))
     return assignment.unassigned(docs, given, "case_id", DUMMY_SENTENCE).select("elem_id", F.col("sent_id").alias("assigned"))
 
@@ -252,7 +256,7 @@ def unassigned_to_dummy(spark, sf_dir):
 def _stats(spark, sf_dir):
     sims, aligned = _aligned(spark, sf_dir)
     sizes = _read(spark, sf_dir, "documents").agg(F.countDistinct("doc_id").alias("n_sents")).crossJoin(_read(spark, sf_dir, "benchmark").agg(F.countDistinct("item_id").alias("n_elems")))  # one row by one
-    return predictors.statistics(sims, aligned, [], sizes)
+    return predictors.statistics(sims, aligned, [], sizes, few=True)
 
 
 _STATS = f"""{_ALIGNED}, el AS (SELECT elem_id, max(sim) AS t_max, sum(sim) AS t_sum, sqrt(sum(sim * sim)) AS t_l2, sum(CASE WHEN sim > 0 THEN sim * ln(sim) END) AS t_plogp, sum(CASE WHEN sim > 0 THEN sim END) AS t_pos FROM sims GROUP BY elem_id),
@@ -303,7 +307,7 @@ def missing_elements(spark, sf_dir):
 def total_score(spark, sf_dir):
     one = F.lit(0).alias("case_id")
     sizes = [_read(spark, sf_dir, t).groupBy(one).agg(F.count(F.lit(1)).alias("n")) for t in ("documents", "benchmark")]
-    scored = assignment.total_score(_best(_sims(spark, sf_dir)).withColumn("case_id", F.lit(0)), *sizes, "case_id")
+    scored = assignment.total_score(_aligned(spark, sf_dir)[1].withColumn("case_id", F.lit(0)), *sizes, "case_id")
     return scored.select(_r("total_score", 9).alias("total_score"))
 
 
