@@ -79,3 +79,53 @@ def test_odd_documents(spark, data, tmp_path):
         got = flat(queries.QUERIES[name](spark, str(tmp_path)).toPandas())
         assert got == flat(con.execute(queries.ORACLE_SQL[name]).df()), name
         assert got[1], name
+
+
+@pytest.mark.parametrize("most, block", [(0, 1 << 10), (100, 1 << 16), (200_000, 8 << 20)])
+def test_common_and_rare_words(spark, data, oracle, monkeypatch, most, block):
+    """Lengths are the same however many words count as common, and by blocks of any size; only the others are dealt, and texts are read and dealt once."""
+    from tramline.operators import features
+
+    monkeypatch.setattr(features, "MOST_COMMON", most)
+    monkeypatch.setattr(features, "BLOCK", block)
+    for name in ("sim_cosine", "sim_weighted_jaccard", "sim_weighted_fake_jaccard"):
+        frame = queries.QUERIES[name](spark, data)
+        assert "FileScan" not in frame._jdf.queryExecution().executedPlan().toString(), name
+        assert flat(frame.toPandas()) == flat(oracle.execute(queries.ORACLE_SQL[name]).df()), name
+
+
+def test_cells_of_slices():
+    import pyarrow as pa
+
+    from tramline.operators import features
+
+    said = ["b a b", "", "c", "é b", "", "a"]
+    for at in range(6):
+        for n in range(7 - at):
+            words, n_tokens, row, word, count = features._cells(pa.array(said).slice(at, n))
+            got = sorted((int(r), words[int(w)].as_py(), int(c)) for r, w, c in zip(row, word, count))
+            assert got == sorted((r, w, t.split().count(w)) for r, t in enumerate(said[at : at + n]) for w in set(t.split()))
+            assert n_tokens.tolist() == [len(t.split()) for t in said[at : at + n]]
+
+
+def test_block_counts(spark):
+    """Words are added up by block before they are rows; a text's common words are summed in place, its others listed."""
+    import pyarrow as pa
+
+    from tramline.operators import features
+
+    texts = spark.createDataFrame([(1, "a b A"), (2, None), (3, "b, c; d"), (2, "B  é"), (4, "...")], "id long, text string").coalesce(1)
+    lists = features.term_lists(texts, "id")
+    assert dict(lists.collect()) == {1: "a b a", 2: "b é", 3: "b c d", 4: ""}
+    blocks = features.block_frequency(lists.coalesce(1))
+    assert sorted(blocks.collect()) == [("a", 1), ("b", 3), ("c", 1), ("d", 1), ("é", 1)]
+    idf = blocks.selectExpr("lemma", "df", "1D / df AS idf")
+    common, rare = features.common_terms(idf, 4)  # of the four rarest none, as they aren't told apart
+    assert common.to_pylist() == [{"lemma": "b", "idf": 1 / 3}]
+    assert sorted(r.lemma for r in rare.collect()) == ["a", "c", "d", "é"]
+    found = {r.id: r for r in features.known_counts(lists, "id", ["c", "a"], pa.table({"lemma": ["a", "b"], "idf": [1.0, 3.0]}), 2).collect()}
+    assert (found[1].n_tokens, found[1].n_terms, found[1].terms, found[1].counts, found[1].rare) == (3, 2, [1], [2], [])
+    assert found[1].w == pytest.approx(2 / 3 + 1) and found[1].sq == pytest.approx(4 / 9 + 1)
+    assert (found[2].rare, found[2].rare_counts, found[2].w) == (["é"], [1], 1.5)
+    assert (found[3].n_terms, found[3].terms, found[3].w, found[3].rare) == (3, [0], None, [])
+    assert (found[4].n_tokens, found[4].n_terms, found[4].terms, found[4].w) == (0, 0, [], 0)

@@ -11,6 +11,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def joined_tokens(text: Column) -> Column:
+    """The same, joined by spaces, without making each a string of its own."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
 def sentences(text: Column) -> Column:
     """Split after ., ! or ? before white space, and at line ends; blank pieces go."""
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")

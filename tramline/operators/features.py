@@ -54,7 +54,11 @@ def term_frequency(tokens: DataFrame, owner: list[str], lemma: str = "lemma") ->
 
 def inverse_frequency(tf: DataFrame, case: list[str], sizes: DataFrame, lemma: str = "lemma") -> DataFrame:
     """-> (case, lemma, df, idf = ln(N / df)). tf has a row per owner and lemma; sizes is (case, n_owners), or one row without a case."""
-    df = tf.groupBy(*case, lemma).agg(F.count(F.lit(1)).alias("df"))
+    return weighed_frequency(tf.groupBy(*case, lemma).agg(F.count(F.lit(1)).alias("df")), case, sizes, lemma)
+
+
+def weighed_frequency(df: DataFrame, case: list[str], sizes: DataFrame, lemma: str = "lemma") -> DataFrame:
+    """(case, lemma, df) -> the same with idf."""
     joined = df.join(sizes, case) if case else df.crossJoin(F.broadcast(sizes))  # one row
     return joined.select(*case, lemma, "df", F.log(F.col("n_owners") / F.col("df")).alias("idf"))
 
@@ -69,55 +73,115 @@ def with_tf_idf(rows: DataFrame) -> DataFrame:
 
 
 def term_lists(texts: DataFrame, owner: str, text: str = "text") -> DataFrame:
-    """(owner, text) -> (owner, said, n_tokens, n_terms), one row per owner: its tokens, joined by spaces, their number and that of different ones.
+    """(owner, text) -> (owner, said), one row per owner: its tokens, joined by spaces.
 
-    Texts are dealt by owner once, before words are exploded: what is grouped by owner afterwards is not shuffled again. The
+    Texts are dealt by owner once, before words are told apart: what is grouped by owner afterwards is not shuffled again. The
     session's number of parts holds whatever their bytes, as each text makes many more rows.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    said = texts.select(owner, F.nullif(F.array_join(T.tokens(F.col(text)), " "), F.lit("")).alias("_text")).repartition(parts, owner)
-    whole = said.groupBy(owner).agg(F.concat_ws(" ", F.collect_list("_text")).alias("said")).withColumn("_words", _words())
-    return whole.select(owner, "said", F.size("_words").alias("n_tokens"), F.size(F.array_distinct("_words")).alias("n_terms"))
+    said = texts.select(owner, F.nullif(T.joined_tokens(F.col(text)), F.lit("")).alias("_text")).repartition(parts, owner)
+    return said.groupBy(owner).agg(F.concat_ws(" ", F.collect_list("_text")).alias("said"))
+
+
+#: Bytes of texts whose words are counted at once; a worker holds some ten times as much.
+BLOCK = 8 << 20
+#: Words whose idf every task is given (a few MB): the most frequent ones, whatever the data. They are nine of ten (text, term) pairs.
+MOST_COMMON = 200_000
+
 
+def _cells(said: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of term_lists -> their different words, each row's number of tokens, and by (row, word), rising: row, place of the word, how often."""
+    lists, some = pc.split_pattern(said, " "), pc.not_equal(said, "").to_numpy(zero_copy_only=False)
+    words, n_tokens = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+    coded = (words if some.all() else words.filter(pa.array(np.repeat(some, n_tokens)))).dictionary_encode()
+    n_tokens = n_tokens * some
+    size = max(1, len(coded.dictionary))
+    cells, n = np.unique(np.repeat(np.arange(len(lists)), n_tokens) * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return coded.dictionary, n_tokens, cells // size, cells % size, n
 
-def _words() -> Column:
-    return F.when(F.col("said") == "", F.array().cast("array<string>")).otherwise(F.split("said", " "))
 
+def _places(words: pa.Array, among: Sequence[str] | pa.Array) -> np.ndarray:
+    """Where each word is among others; -1 for none."""
+    values = among.cast(words.type) if isinstance(among, pa.Array) else pa.array(among, words.type)
+    return pc.fill_null(pc.index_in(words, value_set=values), -1).to_numpy(zero_copy_only=False)
 
-def listed_terms(lists: DataFrame, owner: str) -> DataFrame:
-    """term_lists -> (owner, lemma), one row for each different term of an owner."""
-    return lists.select(owner, F.explode(F.array_distinct(_words())).alias("lemma"))
 
+def block_frequency(lists: DataFrame) -> DataFrame:
+    """term_lists -> (lemma, df), to be added up by lemma: words are counted in blocks of texts, which makes far fewer rows than one for each (owner, term)."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, BLOCK):
+            words, _, _, word, _ = _cells(batch.column("said"))
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(word, minlength=len(words)), pa.int64())], ["lemma", "df"])
+
+    return lists.select("said").mapInArrow(counted, "lemma string, df long")
 
-def listed_frequency(lists: DataFrame, owner: str) -> DataFrame:
-    """term_lists -> (owner, lemma, n_tokens, n_terms, n, tf)."""
-    rows = lists.select(owner, "n_tokens", "n_terms", F.explode(_words()).alias("lemma"))
-    n = rows.groupBy(owner, "n_tokens", "n_terms", "lemma").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("tf", F.col("n") / F.col("n_tokens"))
 
+def common_terms(idf: DataFrame, most: int) -> tuple[pa.Table, DataFrame]:
+    """(lemma, df, idf) -> the most frequent terms, `most` of them at the most, on the driver, and all others. Parted at a df, found from a count by eighths of its doublings."""
+    level = F.floor(F.log2("df") * 8)
+    n, least = 0, None
+    for step in idf.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():
+        n += step["n"]
+        if n > most:
+            break
+        least = step["level"]
+    often = F.lit(False) if least is None else level >= least
+    return idf.filter(often).select("lemma", "idf").toArrow().combine_chunks(), idf.filter(~often)
 
-def known_counts(lists: DataFrame, owner: str, vocabulary: Sequence[str]) -> DataFrame:
+
+def known_counts(lists: DataFrame, owner: str, vocabulary: Sequence[str], common: pa.Table | None = None, longest: int | None = None) -> DataFrame:
     """term_lists -> (owner, n_tokens, n_terms, terms, counts): the places in a small vocabulary of the words that a row has, rising, and how often.
 
-    A row is counted where it lies, a few MB at a time, so neither the number of rows nor of parts matters to memory.
+    A row is counted where it lies, a few MB at a time, so neither the number of rows nor of parts matters to memory. common
+    (lemma, idf): also w and sq, the sums of tf * idf and of its squares over the row's words among these, and rare and rare_counts, its
+    other words and how often; null and empty for rows of more than `longest` different words. See with_lengths.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, size = None, max(1, len(vocabulary))
-        for batch in sliced(batches):
-            words = pc.split_pattern(batch.column("said"), " ")
-            flat = words.flatten()
-            known = pa.array(vocabulary, flat.type) if known is None else known
-            place = pc.index_in(flat, value_set=known)
-            row = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False))
-            here = place.is_valid().to_numpy(zero_copy_only=False)
-            cells, n = np.unique(row[here] * size + place.drop_null().to_numpy(), return_counts=True)
-            ends = pa.array(np.searchsorted(cells, np.arange(len(words) + 1) * size), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (cells % size, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in (owner, "n_tokens", "n_terms")] + lists, [owner, "n_tokens", "n_terms", "terms", "counts"])
-
-    kind = lists.schema[owner].dataType.simpleString()
-    return lists.select(owner, "said", "n_tokens", "n_terms").mapInArrow(counted, f"{owner} {kind}, n_tokens int, n_terms int, terms array<int>, counts array<int>")
+        size = max(1, len(vocabulary))
+        for batch in sliced(batches, BLOCK):
+            words, n_tokens, row, word, n = _cells(batch.column("said"))
+            n_terms = np.bincount(row, minlength=len(n_tokens))
+            term = _places(words, vocabulary)[word]
+            here = term >= 0
+            cell = row[here] * size + term[here]
+            order = np.argsort(cell)
+            out = [batch.column(owner), pa.array(n_tokens, pa.int32()), pa.array(n_terms, pa.int32())]
+            out += _lists(cell[order] // size, len(n_tokens), pa.array(cell[order] % size, pa.int32()), pa.array(n[here][order], pa.int32()))
+            if common is not None:
+                short = n_terms <= (n_terms if longest is None else longest)
+                place = _places(words, common["lemma"].combine_chunks())[word]
+                weight = n / n_tokens[row] * np.append(common["idf"].to_numpy(), 0.0)[place]
+                out += [pa.array(np.bincount(row, x, len(n_tokens)).astype(float), mask=~short) for x in (weight, weight * weight)]
+                rare = short[row] & (place < 0)
+                out += _lists(row[rare], len(n_tokens), words.take(pa.array(word[rare])), pa.array(n[rare], pa.int32()))
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    columns = f"{owner} {lists.schema[owner].dataType.simpleString()}, n_tokens int, n_terms int, terms array<int>, counts array<int>"
+    columns += "" if common is None else ", w double, sq double, rare array<string>, rare_counts array<int>"
+    names = [c.split()[0] for c in columns.split(", ")]
+    return lists.select(owner, "said").mapInArrow(counted, columns)
+
+
+def _lists(row: np.ndarray, n_rows: int, *values: pa.Array) -> list[pa.ListArray]:
+    """Values of rising rows as lists, one a row."""
+    ends = pa.array(np.searchsorted(row, np.arange(n_rows + 1)), pa.int32())
+    return [pa.ListArray.from_arrays(ends, v) for v in values]
+
+
+def with_lengths(counted: DataFrame, owner: str, idf: DataFrame, factor: float) -> DataFrame:
+    """known_counts with common terms -> the same with t_w and t_l2 over all of a row's words, each tf * idf * factor. idf: of the other terms.
+
+    Only those others, about a tenth of all (owner, term) pairs, are dealt by term.
+    """
+    seldom = counted.select(owner, "n_tokens", F.explode(F.arrays_zip("rare", "rare_counts")).alias("_r"))
+    weight = F.col("_r.rare_counts") / F.col("n_tokens") * F.col("idf")
+    met = seldom.withColumn("lemma", F.col("_r.rare")).join(idf.select("lemma", "idf"), "lemma").select(owner, weight.alias("_x"))
+    sums = met.groupBy(owner).agg(F.sum("_x").alias("_w"), F.sum(F.col("_x") * F.col("_x")).alias("_sq"))
+    both = counted.drop("rare", "rare_counts").join(sums.hint("shuffle_hash"), owner, "left")
+    w, sq = (F.col(c) + F.coalesce(f"_{c}", F.lit(0.0)) for c in ("w", "sq"))
+    return both.select("*", (w * factor).alias("t_w"), (F.sqrt(sq) * factor).alias("t_l2")).drop("w", "sq", "_w", "_sq")
 
 
 def argument(*parts: Column) -> Column:

@@ -108,7 +108,7 @@ def _block_sums(texts: pa.RecordBatch, few: Few, scale: np.ndarray, columns: Seq
     of_text, of_elem = cells // n_elems, cells % n_elems
 
     def added(x: np.ndarray) -> np.ndarray:
-        return np.bincount(cell, x, len(shared))[cells]
+        return np.bincount(cell, x, len(shared))[cells].astype(float)  # of no cells at all it makes whole numbers
 
     values = {
         "n_i": lambda: shared[cells], "w_i": lambda: added(np.where(t_n[row[entry]] <= few.sides["m_n"][elem], t_weight, m_weight)),

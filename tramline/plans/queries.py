@@ -103,29 +103,28 @@ _ALIGNED = f"{_SIMS}, al AS (SELECT elem_id, sent_id, sim FROM (SELECT *, row_nu
 def _pairs(spark, sf_dir, columns, need: str | None = None):
     """Sums (columns) of the documents' features with those of the few benchmark items; t_w and t_l2 of all texts or of short ones, as need says (see similarity.NEEDS).
 
-    Of every text the counts of the items' words are written out; these give the words' idf, then the pairs. Where few texts need all
-    their words, the dealt texts are written out too, as they are read again for the df of all words; else dealt twice.
+    Of every text the counts of the items' words are written out; these give the words' idf, then the pairs. Where texts need all
+    their words, the dealt texts are written out too, as they are read for the df of all words first.
     """
     docs = _read(spark, sf_dir, "documents")
     n_docs = docs.agg(F.countDistinct("doc_id").alias("n_owners"))
     few = similarity.Few(_forms(_model(spark, sf_dir), "elem_id"), "elem_id")
     texts = docs.select(F.col("doc_id").alias("sent_id"), "text")
     lists = features.term_lists(texts.filter("sent_id is not null"), "sent_id")
-    lists = graph.checkpointed(lists) if need == "short" else lists
     nobody = _tokens(docs.filter("doc_id is null"), "doc_id", "sent_id").distinct()  # counts in df alone, as one text
-    counted = graph.checkpointed(features.known_counts(lists, "sent_id", few.vocabulary))
-    alone = nobody.select("sent_id", F.col("lemma").alias("said"), F.lit(1).alias("n_tokens"), F.lit(1).alias("n_terms"))
-    known = counted.union(features.known_counts(alone, "sent_id", few.vocabulary)).select(F.explode("terms").alias("term"))
+    common = rare = None
+    if need:
+        lists = graph.checkpointed(lists)
+        df = features.block_frequency(lists).union(nobody.select("lemma", F.lit(1).cast("long"))).groupBy("lemma").agg(F.sum("df").alias("df"))
+        common, rare = features.common_terms(graph.checkpointed(features.weighed_frequency(df, [], n_docs)), features.MOST_COMMON)
+    counted = graph.checkpointed(features.known_counts(lists, "sent_id", few.vocabulary, common, None if need == "all" else few.longest))
+    alone = features.known_counts(nobody.select("sent_id", F.col("lemma").alias("said")), "sent_id", few.vocabulary)
+    known = counted.select("terms").union(alone.select("terms")).select(F.explode("terms").alias("term"))
+    factor = CONFIG.weights()["has-form"]
     scale = np.zeros(len(few.vocabulary))
     for term, idf in features.inverse_frequency(known, [], n_docs, "term").select("term", "idf").dropna().collect():
-        scale[term] = CONFIG.weights()["has-form"] * idf
-    if need:
-        asked = F.lit(True) if need == "all" else F.col("n_terms") <= few.longest
-        idf = features.inverse_frequency(features.listed_terms(lists, "sent_id").union(nobody), [], n_docs)
-        all_terms = _forms(features.tf_idf(features.listed_frequency(lists.filter(asked), "sent_id"), idf, []), "sent_id")
-        sides = similarity.totals(all_terms, ["sent_id"], "t").drop("t_n")
-        joined = counted.filter(asked).join(sides.hint("shuffle_hash"), "sent_id", "left")
-        counted = joined if need == "all" else joined.unionByName(counted.filter(~asked), allowMissingColumns=True)
+        scale[term] = factor * idf
+    counted = features.with_lengths(counted, "sent_id", rare, factor) if need else counted
     return similarity.local_pair_sums(counted, few, scale, columns)
 
 
