@@ -129,3 +129,65 @@ def test_block_counts(spark):
     assert (found[2].rare, found[2].rare_counts, found[2].w) == (["é"], [1], 1.5)
     assert (found[3].n_terms, found[3].terms, found[3].w, found[3].rare) == (3, [0], None, [])
     assert (found[4].n_tokens, found[4].n_terms, found[4].terms, found[4].w) == (0, 0, [], 0)
+
+
+@pytest.mark.parametrize("name", ["cutoff_sweep", "gt_structure", "total_score", "trivial_alignment", "missing_elements", "l2_normalised_similarity"])
+def test_no_pair_is_written(spark, data, oracle, monkeypatch, name):
+    """Pairs grow with documents times items; what is written out grows with each of them, as pairs are folded where they are made."""
+    rows = []
+    monkeypatch.setattr(queries.graph, "checkpointed", lambda df, f=queries.graph.checkpointed: (out := f(df), rows.append((set(df.columns), out.count())))[0])
+    got = queries.QUERIES[name](spark, data).toPandas()
+    assert flat(got) == flat(oracle.execute(queries.ORACLE_SQL[name]).df())
+    pairs = oracle.execute(f"{queries._PAIRS} SELECT count(*) FROM pairs").fetchone()[0]
+    assert rows and not [n for columns, n in rows if {"elem_id", "sent_id"} <= columns and n > pairs / 4]
+
+
+@pytest.mark.parametrize("kept", [0, 5, 1 << 18])
+def test_folds(spark, monkeypatch, kept):
+    """Statistics and best sentences are those of all pairs, with ties, the dummy, negative and zero similarities, however few rows a task keeps."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tramline.operators import features, predictors, similarity
+
+    monkeypatch.setattr(similarity, "KEPT", kept)
+    said = [(i, " ".join("abcdefgh"[(i * k) % 8] for k in range(1, 1 + i % 6))) for i in range(-1, 40)]
+    items = spark.createDataFrame([(1, "a", 2.0), (1, "b", 1.0), (2, "c", -1.0), (3, "d", 0.0), (4, "none", 1.0), (5, "h", 3.0), (5, "a", 0.5)], "elem_id int, arg string, weight double").withColumn("ftype", F.lit("f"))
+    few = similarity.Few(items)
+    scale = np.array([{"c": -1.0, "d": 0.0}.get(w, 1.0) for w in few.vocabulary])
+    texts = features.known_counts(spark.createDataFrame(said, "sent_id long, said string").repartition(3), "sent_id", few.vocabulary).withColumns({"t_w": F.lit(2.0), "t_l2": F.lit(1.5)})
+    sizes = spark.range(1).select(F.lit(40).alias("n_sents"), F.lit(5).alias("n_elems"))
+    for name in similarity.FUNCTIONS:
+        sims = similarity.weighed(similarity.local_pair_sums(texts, few, scale, similarity.USES[name]), name, ["sent_id", "elem_id"])
+        direct = {(r.sent_id, r.elem_id): r.sim for r in similarity.local_similarities(texts, few, scale, name).collect()}
+        assert direct == {(r.sent_id, r.elem_id): r.sim for r in sims.collect()}, name
+        parts = similarity.local_statistics(texts, few, scale, name, -1, 9)
+        best = predictors.trivial_alignment(parts.filter("sim is not null"), [], digits=9, few=True)
+        whole = predictors.trivial_alignment(sims, [], digits=9)
+        assert sorted(best.collect()) == sorted(whole.collect()), name
+        got = predictors.folded(parts, similarity.local_sentence_statistics(texts, few, scale, name), best, sizes).toPandas()
+        want = predictors.statistics(sims, whole, [], sizes).toPandas()[list(got.columns)]
+        assert len(got) == 4
+        np.testing.assert_allclose(*(x.sort_values("elem_id").to_numpy(float) for x in (got, want)), rtol=1e-12, atol=1e-12, err_msg=name)
+
+
+def test_blocks_and_rounding():
+    import numpy as np
+    import pyarrow as pa
+
+    from tramline.operators import similarity
+
+    few = similarity.Few.__new__(similarity.Few)
+    few.elems, few.first, few.number, few.weight = pa.array([7, 8, 9]), np.array([0, 2, 3, 3, 6]), np.array([0, 2, 1, 0, 1, 2]), np.arange(1.0, 7)
+    few.sides, few.longest = {"m_n": np.array([2, 2, 2])}, 2
+    lists = [[0, 3], [], [2], [1], [0, 1, 2, 3], []]
+    texts = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([4] * 6, pa.int32()), pa.array([len(x) for x in lists], pa.int32()), pa.array(lists, pa.list_(pa.int32())), pa.array([[1] * len(x) for x in lists], pa.list_(pa.int32()))], ["sent_id", "n_tokens", "n_terms", "terms", "counts"])
+    for part in (texts, texts.slice(1), texts.slice(3, 2)):
+        whole = next(similarity._blocks([part], few, np.ones(4)))
+        for cells, shared in ((1, 1), (6, 100), (100, 4), (9, 5)):
+            blocks = list(similarity._blocks([part], few, np.ones(4), cells, shared))
+            assert max(len(b.texts) for b in blocks) <= max(1, cells // 3)
+            for c in ("n_i", "w_i", "w_min", "dot"):
+                assert np.array_equal(np.concatenate([b[c] for b in blocks]), whole[c]), c
+    assert similarity.rounded(np.array([0.5, -0.5, 1.5, 0.49999999999999994, 2.4, 0.0]), 0).tolist() == [1, -1, 2, 0, 2, 0]
+    assert similarity.rounded(np.array([0.1234565, 1 / 3, 2 / 3]), 6).tolist() == [0.123457, 0.333333, 0.666667]

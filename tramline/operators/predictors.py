@@ -17,8 +17,8 @@ def trivial_alignment(sims: DataFrame, case: list[str], sent: str = "sent_id", e
     """Each element's most similar sentence, ties to the smallest id: one combined aggregation, no window.
 
     digits, if given: similarities that agree when rounded to so many digits are ties; the one returned is not rounded.
-    few: there are few elements; the greatest of each is found first and broadcast. sims are read twice, but never sorted, as
-    they are to combine structs.
+    few: there are few rows, as of similarity.local_statistics; the greatest of each element is found first and broadcast, and rows
+    are read twice, but never sorted, as they are to combine structs.
     """
     rank = _c("sim") if digits is None else F.round("sim", digits)
     if few:
@@ -31,21 +31,29 @@ def trivial_alignment(sims: DataFrame, case: list[str], sent: str = "sent_id", e
     return sims.groupBy(*case, elem).agg(best.alias("_b")).select(*case, elem, _c(f"_b.{sent}").alias(sent), _c("_b.sim").alias("sim"))
 
 
-def statistics(sims: DataFrame, alignment: DataFrame, case: list[str], sizes: DataFrame, sent: str = "sent_id", elem: str = "elem_id", few: bool = False) -> DataFrame:
+def statistics(sims: DataFrame, alignment: DataFrame, case: list[str], sizes: DataFrame, sent: str = "sent_id", elem: str = "elem_id") -> DataFrame:
     """alignment with the maxima, sums and sizes of its element's, its sentence's and its case's similarities.
 
     sims may be sparse (absent pairs are 0): means divide by the sizes (n_sents, n_elems) per case. Each statistic is an
-    aggregation by its own key that joins the alignment, which has one row per element. few: there are few elements; their
-    sentences are broadcast, and no other sentence is summed.
+    aggregation by its own key that joins the alignment, which has one row per element.
     """
     p = F.col("sim")
     by_elem = sims.groupBy(*case, elem).agg(
         F.max("sim").alias("t_max"), F.sum("sim").alias("t_sum"), F.sqrt(F.sum(p * p)).alias("t_l2"), F.sum(F.when(p > 0, p * F.log(p))).alias("t_plogp"), F.sum(F.when(p > 0, p)).alias("t_pos"),
         F.coalesce(F.sum(F.when(_c(sent) != DUMMY_SENTENCE, p)), F.lit(0.0)).alias("t_real"), F.count_if(_c(sent) == DUMMY_SENTENCE).alias("t_dummies"),
     )
-    chosen = sims.join(F.broadcast(alignment.select(*case, sent).distinct()), [*case, sent], "left_semi") if few else sims
-    by_sent = chosen.groupBy(*case, sent).agg(F.max("sim").alias("s_max"), F.sum("sim").alias("s_sum"))
-    whole = sims.groupBy(*case).agg(F.max("sim").alias("c_max"))
+    by_sent = sims.groupBy(*case, sent).agg(F.max("sim").alias("s_max"), F.sum("sim").alias("s_sum"))
+    return _joined(alignment, by_elem, by_sent, sims.groupBy(*case).agg(F.max("sim").alias("c_max")), case, sizes, sent, elem)
+
+
+def folded(parts: DataFrame, by_sent: DataFrame, alignment: DataFrame, sizes: DataFrame, sent: str = "sent_id", elem: str = "elem_id") -> DataFrame:
+    """statistics of one case from the rows of similarity.local_statistics and, for the aligned sentences at least, local_sentence_statistics."""
+    sums = [F.sum(c).alias(c) for c in ("t_sum", "t_plogp", "t_pos", "t_real", "t_dummies")]
+    by_elem = parts.filter("t_max is not null").groupBy(elem).agg(F.max("t_max").alias("t_max"), F.sqrt(F.sum("t_sq")).alias("t_l2"), *sums)
+    return _joined(alignment, by_elem, by_sent, parts.agg(F.max("t_max").alias("c_max")), [], sizes, sent, elem)
+
+
+def _joined(alignment: DataFrame, by_elem: DataFrame, by_sent: DataFrame, whole: DataFrame, case: list[str], sizes: DataFrame, sent: str, elem: str) -> DataFrame:
     aligned = alignment.groupBy(*case).agg(F.avg("sim").alias("a_avg"))
     out = alignment.join(by_elem, [*case, elem]).join(by_sent, [*case, sent])
     for df in (whole, aligned, sizes):

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import ratio
 
@@ -72,51 +73,193 @@ class Few:
         self.longest = int(self.sides["m_n"].max(initial=0))
 
 
+#: Cells (text, model) and shared features of a block of texts.
+CELLS, SHARED = 1 << 17, 1 << 19
+
+
+class _Block:
+    """The sums of some texts with all models, as matrices: (text, term) entries meet the term's models, and are added up by (text, model) cell."""
+
+    def __init__(self, texts: pa.RecordBatch, few: Few, term: np.ndarray, n_terms: np.ndarray, weight: np.ndarray, times: np.ndarray):
+        self.texts, self.few, self.shape = texts, few, (texts.num_rows, len(few.elems))
+        row = np.repeat(np.arange(texts.num_rows), n_terms)
+        met = np.arange(times.sum()) + np.repeat(few.first[term] - (np.cumsum(times) - times), times)
+        self._row, self._elem = np.repeat(row, times), few.number[met]
+        self._cell = self._row * len(few.elems) + self._elem
+        self._t_weight, self._m_weight = np.repeat(weight, times), few.weight[met]
+        self.here = np.zeros(self.shape, bool)
+        self.here.ravel()[self._cell] = True
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        """A sum of pair_sums; those of a side alone have one column or row."""
+        if name in self.few.sides:
+            return self.few.sides[name][None, :]
+        if name in ("t_n", "t_w", "t_l2"):
+            return self.texts.column("n_terms" if name == "t_n" else name).to_numpy(zero_copy_only=False)[:, None].astype(np.int64 if name == "t_n" else float)
+        if name == "n_i":
+            return np.bincount(self._cell, minlength=self.here.size).reshape(self.shape)
+        if name == "w_i":
+            x = self._m_weight
+            if (self["t_n"] <= self.few.longest).any():
+                x = np.where(self["t_n"].ravel()[self._row] <= self.few.sides["m_n"][self._elem], self._t_weight, x)
+        else:
+            x = np.minimum(self._t_weight, self._m_weight) if name == "w_min" else self._t_weight * self._m_weight
+        return np.bincount(self._cell, x, self.here.size).astype(float).reshape(self.shape)  # of no cells at all it makes whole numbers
+
+    def pairs(self, sent: str, values: Sequence[np.ndarray]) -> list[pa.Array]:
+        """Ids and values of the pairs that share a feature; those that are not a number are null."""
+        cells = np.flatnonzero(self.here)
+        text, elem = np.divmod(cells, self.shape[1])
+        found = [np.broadcast_to(v, self.shape).ravel()[cells] for v in values]
+        return [self.texts.column(sent).take(pa.array(text)), self.few.elems.take(pa.array(elem)), *[pa.array(v, from_pandas=True) for v in found]]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], few: Few, scale: np.ndarray, cells: int = CELLS, shared: int = SHARED) -> Iterator[_Block]:
+    """Blocks of texts whose cells and shared features are bounded (a text at least), so that memory depends on the models alone."""
+    for texts in batches:
+        lists = texts.column("terms")
+        n_terms, term = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+        weight = texts.column("counts").flatten().to_numpy(zero_copy_only=False) / np.repeat(texts.column("n_tokens").to_numpy(zero_copy_only=False), n_terms) * scale[term]
+        times = few.first[term + 1] - few.first[term]
+        first = np.append(0, np.cumsum(n_terms))
+        before, at = np.append(0, np.cumsum(times))[first], 0
+        while at < len(lists):
+            fits = np.searchsorted(before, before[at] + shared, side="right") - 1
+            end = min(len(lists), max(at + 1, min(fits, at + cells // max(1, len(few.elems)))))
+            own = slice(first[at], first[end])
+            yield _Block(texts.slice(at, end - at), few, term[own], n_terms[at:end], weight[own], times[own])
+            at = end
+
+
+def _read(text: DataFrame, sent: str, columns: Sequence[str]) -> DataFrame:
+    return text.select(sent, "n_tokens", "n_terms", "terms", "counts", *[c for c in ("t_w", "t_l2") if c in columns])
+
+
+def _ids(text: DataFrame, few: Few, sent: str) -> tuple[str, str]:
+    return f"{sent} {text.schema[sent].dataType.simpleString()}", f"{few.elem} {few.kind}"
+
+
 def local_pair_sums(text: DataFrame, few: Few, scale: np.ndarray, columns: Sequence[str], sent: str = "sent_id") -> DataFrame:
     """The named columns of pair_sums for many texts with few models, summed where a text lies: neither its features nor its pairs are shuffled.
 
     text: rows of features.known_counts over few.vocabulary, with t_w and t_l2 where columns name them. A term weighs its frequency
-    times its scale. Texts are taken in blocks whose pairs and shared features are bounded, so memory depends on the models alone.
+    times its scale.
     """
-    block = max(1, min((1 << 18) // max(1, len(few.elems)), (1 << 20) // max(1, len(few.number))))
-    given = [c for c in ("t_w", "t_l2") if c in columns]
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                yield _block_sums(batch.slice(at, block), few, scale, columns, sent)
-
-    kinds = {c: "long" if c in ("n_i", "t_n", "m_n") else "double" for c in columns}
-    schema = f"{sent} {text.schema[sent].dataType.simpleString()}, {few.elem} {few.kind}, " + ", ".join(f"{c} {k}" for c, k in kinds.items())
-    return text.select(sent, "n_tokens", "n_terms", "terms", "counts", *given).mapInArrow(summed, schema)
-
-
-def _block_sums(texts: pa.RecordBatch, few: Few, scale: np.ndarray, columns: Sequence[str], sent: str) -> pa.RecordBatch:
-    """A sparse product: (text, term) entries meet the term's models, and are added up by (text, model) cell."""
-    n_elems, lists = len(few.elems), texts.column("terms")
-    term = lists.flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-    weight = texts.column("counts").flatten().to_numpy(zero_copy_only=False) / texts.column("n_tokens").to_numpy(zero_copy_only=False)[row] * scale[term]
-    times = few.first[term + 1] - few.first[term]
-    entry = np.repeat(np.arange(len(term)), times)
-    met = np.arange(len(entry)) + np.repeat(few.first[term] - (np.cumsum(times) - times), times)
-    elem, t_weight, m_weight = few.number[met], weight[entry], few.weight[met]
-    t_n = texts.column("n_terms").to_numpy(zero_copy_only=False).astype(np.int64)
-    cell = row[entry] * n_elems + elem
-    shared = np.bincount(cell, minlength=len(lists) * n_elems)
-    cells = np.flatnonzero(shared)
-    of_text, of_elem = cells // n_elems, cells % n_elems
-
-    def added(x: np.ndarray) -> np.ndarray:
-        return np.bincount(cell, x, len(shared))[cells].astype(float)  # of no cells at all it makes whole numbers
-
-    values = {
-        "n_i": lambda: shared[cells], "w_i": lambda: added(np.where(t_n[row[entry]] <= few.sides["m_n"][elem], t_weight, m_weight)),
-        "w_min": lambda: added(np.minimum(t_weight, m_weight)), "dot": lambda: added(t_weight * m_weight), "t_n": lambda: t_n[of_text],
-        **{c: (lambda c=c: texts.column(c).take(pa.array(of_text))) for c in ("t_w", "t_l2")}, **{c: (lambda c=c: few.sides[c][of_elem]) for c in few.sides},
-    }
-    found = [texts.column(sent).take(pa.array(of_text)), few.elems.take(pa.array(of_elem)), *[pa.array(values[c]()) for c in columns]]
-    return pa.RecordBatch.from_arrays(found, [sent, few.elem, *columns])
+        for block in _blocks(batches, few, scale):
+            yield pa.RecordBatch.from_arrays(block.pairs(sent, [block[c] for c in columns]), [sent, few.elem, *columns])
+
+    kinds = [f"{c} {'long' if c in ('n_i', 't_n', 'm_n') else 'double'}" for c in columns]
+    return _read(text, sent, columns).mapInArrow(summed, ", ".join([*_ids(text, few, sent), *kinds]))
+
+
+def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, 0 where b is 0."""
+    return np.divide(a, b, out=np.zeros(np.broadcast_shapes(a.shape, b.shape)), where=b != 0)
+
+
+#: FUNCTIONS over a block's matrices.
+ARRAYS: dict[str, Callable[[_Block], np.ndarray]] = {
+    "cosine": lambda b: np.minimum(_over(b["dot"], b["t_l2"] * b["m_l2"]), 1.0),
+    "jaccard": lambda b: (n := b["n_i"]) / (b["t_n"] + b["m_n"] - n),
+    "fake-jaccard": lambda b: b["n_i"] / np.maximum(np.minimum(b["t_n"], b["m_n"]), 1),
+    "raw-weighted-overlapping": lambda b: b["w_i"],
+    "weighted-fake-jaccard": lambda b: _over(b["w_i"], np.where(b["t_n"] <= b["m_n"], b["t_w"], b["m_w"])),
+    "weighted-jaccard": lambda b: _over(b["w_i"], b["t_w"] + b["m_w"] - b["w_min"]),
+}
+
+
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """To so many digits, halves away from 0."""
+    y = np.abs(x) * 10.0**digits
+    whole = np.floor(y)
+    return np.copysign((whole + (y - whole >= 0.5)) / 10.0**digits, x)
+
+
+def local_similarities(text: DataFrame, few: Few, scale: np.ndarray, name: str, sent: str = "sent_id", digits: int | None = None, lengths: dict | None = None) -> DataFrame:
+    """-> (sent, elem, sim) from the rows of local_pair_sums, without them: weighed and rounded where they are summed.
+
+    lengths: of each element's vector, by which sim is divided; null where that is 0.
+    """
+    size = None if lengths is None else np.array([lengths.get(e) or np.nan for e in few.elems.to_pylist()], float)[None, :]
+
+    def weighed_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, few, scale):
+            sim = ARRAYS[name](block)
+            sim = sim if size is None else sim / size
+            yield pa.RecordBatch.from_arrays(block.pairs(sent, [sim if digits is None else rounded(sim, digits)]), [sent, few.elem, "sim"])
+
+    return _read(text, sent, USES[name]).mapInArrow(weighed_block, ", ".join([*_ids(text, few, sent), "sim double"]))
+
+
+#: Rows that a task keeps for best sentences before it drops those that have become worse.
+KEPT = 1 << 18
+_SUMS = ["t_max", "t_sum", "t_sq", "t_plogp", "t_pos", "t_real"]
+
+
+def local_statistics(text: DataFrame, few: Few, scale: np.ndarray, name: str, dummy: int, digits: int, sent: str = "sent_id") -> DataFrame:
+    """Similarities folded by element where texts lie: no pair leaves a task. Two kinds of rows; see predictors.folded.
+
+    One row for each task and element that shares a feature with any text there, with t_max and sums for predictors.statistics, which
+    are to be added up; and (elem, sent, sim) for each similarity that could still be the greatest when rounded to so many digits, of equal
+    ones the smallest sent.
+    """
+    slack, names = 2 * 10.0**-digits, [few.elem, *_SUMS, "t_dummies", sent, "sim"]
+
+    def best(near: pa.Table, top: np.ndarray) -> pa.Table:
+        near = near.filter(pa.array(near["sim"].to_numpy() >= top[near["elem"].to_numpy()] - slack))
+        return near.group_by(["elem", "sim"], use_threads=False).aggregate([("sent", "min")]).rename_columns(["elem", "sim", "sent"])
+
+    def candidates(near: pa.Table) -> Iterator[pa.RecordBatch]:
+        for rows in near.to_batches():
+            none = [pa.nulls(len(rows), pa.float64())] * len(_SUMS)
+            yield pa.RecordBatch.from_arrays([few.elems.take(rows["elem"]), *none, pa.nulls(len(rows), pa.int64()), rows["sent"], rows["sim"]], names)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, near = np.full(len(few.elems), -np.inf), None
+        sums, dummies = np.zeros((len(_SUMS) - 1, len(few.elems))), np.zeros(len(few.elems), np.int64)
+        for block in _blocks(batches, few, scale):
+            sim = np.where(block.here, ARRAYS[name](block), 0.0)
+            off = pc.equal(block.texts.column(sent), dummy).to_numpy(zero_copy_only=False)
+            positive = np.maximum(sim, 0.0)
+            plogp = positive * np.log(positive, out=np.zeros(sim.shape), where=positive > 0)
+            total = sim.sum(0)
+            sums += [total, (sim * sim).sum(0), plogp.sum(0), positive.sum(0), total - sim[off].sum(0)]
+            dummies += block.here[off].sum(0)
+            found = np.where(block.here, sim, -np.inf)
+            top = np.maximum(top, found.max(0, initial=-np.inf))
+            row, elem = np.nonzero(block.here & (found >= top - slack))
+            rows = pa.table({"elem": elem, "sim": sim[row, elem], "sent": block.texts.column(sent).take(pa.array(row))})
+            near = rows if near is None else pa.concat_tables([near, rows])
+            if len(near) > KEPT:
+                near = best(near, top)
+                if len(near) > KEPT // 2:
+                    yield from candidates(near)
+                    near = None
+        if near is not None:
+            yield from candidates(best(near, top))
+        some = np.flatnonzero(top > -np.inf)
+        none = sums[3, some] <= 0  # without a positive one there is no entropy
+        columns = [pa.array(x[some], mask=none if c in ("t_plogp", "t_pos") else None) for c, x in zip(_SUMS, [top, *sums])]
+        end = [pa.array(dummies[some]), pa.nulls(len(some), text_kind), pa.nulls(len(some), pa.float64())]
+        yield pa.RecordBatch.from_arrays([few.elems.take(pa.array(some)), *columns, *end], names)
+
+    text_kind = to_arrow_type(text.schema[sent].dataType)
+    own, other = _ids(text, few, sent)
+    return _read(text, sent, USES[name]).mapInArrow(fold, ", ".join([other, *[f"{c} double" for c in _SUMS], "t_dummies long", own, "sim double"]))
+
+
+def local_sentence_statistics(text: DataFrame, few: Few, scale: np.ndarray, name: str, sent: str = "sent_id") -> DataFrame:
+    """-> (sent, s_max, s_sum) for texts that share a feature with any model."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, few, scale):
+            sim, some = ARRAYS[name](block), pa.array(block.here.any(1))
+            columns = [np.where(block.here, sim, -np.inf).max(1, initial=-np.inf), np.where(block.here, sim, 0.0).sum(1)]
+            yield pa.RecordBatch.from_arrays([c.filter(some) for c in (block.texts.column(sent), *map(pa.array, columns))], [sent, "s_max", "s_sum"])
+
+    return _read(text, sent, USES[name]).mapInArrow(fold, f"{_ids(text, few, sent)[0]}, s_max double, s_sum double")
 
 
 def _with_totals(features: DataFrame, owner: list[str], side: str) -> DataFrame:
@@ -147,13 +290,9 @@ def all_pairs(sims: DataFrame, sentences: DataFrame, elements: DataFrame, case:
     return pairs.join(sims, [*case, sent, elem], "left").select(*case, sent, elem, F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
-def l2_normalised(sims: DataFrame, case: list[str], elem: str = "elem_id", few: bool = False) -> DataFrame:
-    """Similarities over the length of their element's vector; null where that is 0. Lengths are combined first, then joined.
-
-    few: there are few elements; their lengths are broadcast, and no similarity is shuffled.
-    """
+def l2_normalised(sims: DataFrame, case: list[str], elem: str = "elem_id") -> DataFrame:
+    """Similarities over the length of their element's vector; null where that is 0. Lengths are combined first, then joined."""
     size = sims.groupBy(*case, elem).agg(F.sqrt(F.sum(_c("sim") * _c("sim"))).alias("_l2"))
-    size = F.broadcast(size) if few else size
     return sims.join(size, [*case, elem]).withColumn("sim", _c("sim") / F.nullif("_l2", F.lit(0.0))).drop("_l2")
 
 

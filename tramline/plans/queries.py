@@ -100,11 +100,12 @@ _SIMS = f"{_PAIRS}, sims AS (SELECT sent_id, elem_id, {_SIM_SQL['weighted-fake-j
 _ALIGNED = f"{_SIMS}, al AS (SELECT elem_id, sent_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY elem_id ORDER BY round(sim, 9) DESC, sent_id) AS r FROM sims) WHERE r = 1)"
 
 
-def _pairs(spark, sf_dir, columns, need: str | None = None):
-    """Sums (columns) of the documents' features with those of the few benchmark items; t_w and t_l2 of all texts or of short ones, as need says (see similarity.NEEDS).
+def _counted(spark, sf_dir, need: str | None = None):
+    """(texts, lengths, few, scale) for similarity.local_*: counts of the few benchmark items' words in each document, and what adds t_w and t_l2 to such rows.
 
     Of every text the counts of the items' words are written out; these give the words' idf, then the pairs. Where texts need all
-    their words, the dealt texts are written out too, as they are read for the df of all words first.
+    their words (need: of all texts or of short ones, see similarity.NEEDS), the dealt texts are written out too, as they are read for
+    the df of all words first.
     """
     docs = _read(spark, sf_dir, "documents")
     n_docs = docs.agg(F.countDistinct("doc_id").alias("n_owners"))
@@ -124,18 +125,24 @@ def _pairs(spark, sf_dir, columns, need: str | None = None):
     scale = np.zeros(len(few.vocabulary))
     for term, idf in features.inverse_frequency(known, [], n_docs, "term").select("term", "idf").dropna().collect():
         scale[term] = factor * idf
-    counted = features.with_lengths(counted, "sent_id", rare, factor) if need else counted
-    return similarity.local_pair_sums(counted, few, scale, columns)
+    return counted, (lambda rows: features.with_lengths(rows, "sent_id", rare, factor)) if need else (lambda rows: rows), few, scale
 
 
-def _sims(spark, sf_dir, name="weighted-fake-jaccard"):
-    return similarity.weighed(_pairs(spark, sf_dir, similarity.USES[name], similarity.NEEDS.get(name)), name, ["sent_id", "elem_id"])
+#: The similarity of alignments; digits to which greatest ones are compared.
+_ALIGN_BY, _ALIGN_DIGITS = "weighted-fake-jaccard", 9
+
+
+def _folded(spark, sf_dir):
+    """(statistics by element in parts, trivial alignment, statistics of the aligned documents): pairs are folded where documents lie, never written out."""
+    counted, lengths, few, scale = _counted(spark, sf_dir, similarity.NEEDS[_ALIGN_BY])
+    parts = graph.checkpointed(similarity.local_statistics(lengths(counted), few, scale, _ALIGN_BY, DUMMY_SENTENCE, _ALIGN_DIGITS))
+    aligned = graph.checkpointed(predictors.trivial_alignment(parts.filter("sim is not null"), [], digits=_ALIGN_DIGITS, few=True))
+    chosen = counted.join(F.broadcast(aligned.select("sent_id").distinct()), "sent_id", "left_semi")
+    return parts, aligned, similarity.local_sentence_statistics(lengths(chosen), few, scale, _ALIGN_BY)
 
 
 def _aligned(spark, sf_dir):
-    """(similarities, trivial alignment); both are read more than once, so they are written out."""
-    sims = graph.checkpointed(_sims(spark, sf_dir))
-    return sims, graph.checkpointed(predictors.trivial_alignment(sims, [], digits=9, few=True))
+    return _folded(spark, sf_dir)[1]
 
 
 @query("token_histogram", f"WITH {_T} SELECT lemma, count(*)::BIGINT AS n FROM t_tok GROUP BY lemma")
@@ -180,13 +187,15 @@ def feature_union(spark, sf_dir):
 
 @query("feature_intersection", f"{_PAIRS} SELECT sent_id, elem_id, n_i::BIGINT AS n_shared, round(w_i, 6) AS weight FROM pairs")
 def feature_intersection(spark, sf_dir):
-    return _pairs(spark, sf_dir, ["n_i", "w_i"]).select("sent_id", "elem_id", F.col("n_i").alias("n_shared"), _r("w_i").alias("weight"))
+    counted, _, few, scale = _counted(spark, sf_dir)
+    return similarity.local_pair_sums(counted, few, scale, ["n_i", "w_i"]).select("sent_id", "elem_id", F.col("n_i").alias("n_shared"), _r("w_i").alias("weight"))
 
 
 def _similarity_query(name: str) -> None:
     @query("sim_" + name.replace("-", "_"), f"{_PAIRS} SELECT sent_id, elem_id, round({_SIM_SQL[name]}, 6) AS sim FROM pairs")
     def run(spark, sf_dir):
-        return _sims(spark, sf_dir, name).select("sent_id", "elem_id", _r("sim").alias("sim"))
+        counted, lengths, few, scale = _counted(spark, sf_dir, similarity.NEEDS.get(name))
+        return similarity.local_similarities(lengths(counted), few, scale, name, digits=6)
 
 
 for _name in similarity.FUNCTIONS:
@@ -233,13 +242,13 @@ def explain_features(spark, sf_dir):
 
 @query("trivial_alignment", f"{_ALIGNED} SELECT elem_id, sent_id, round(sim, 6) AS sim FROM al")
 def trivial_alignment(spark, sf_dir):
-    return _aligned(spark, sf_dir)[1].select("elem_id", "sent_id", _r("sim").alias("sim"))
+    return _aligned(spark, sf_dir).select("elem_id", "sent_id", _r("sim").alias("sim"))
 
 
 @query("best_sentence_per_label", f"{_ALIGNED} SELECT b.item_id, al.sent_id AS doc_id, round(coalesce(sim, 0), 6) AS sim, CASE WHEN sim IS NULL THEN 'missing' ELSE 'aligned' END AS status FROM benchmark b LEFT JOIN al ON b.item_id = al.elem_id")
 def best_sentence_per_label(spark, sf_dir):
     items = _read(spark, sf_dir, "benchmark").select("item_id")
-    found = _aligned(spark, sf_dir)[1]
+    found = _aligned(spark, sf_dir)
     out = items.join(found, items["item_id"] == found["elem_id"], "left")
     return out.select("item_id", F.col("sent_id").alias("doc_id"), _r(F.coalesce("sim", F.lit(0.0))).alias("sim"), F.when(F.col("sim").isNull(), "missing").otherwise("aligned").alias("status"))
 
@@ -247,15 +256,15 @@ def best_sentence_per_label(spark, sf_dir):
 @query("unassigned_to_dummy", f"{_ALIGNED} SELECT doc_id AS elem_id, coalesce(min(elem_id), -1)::BIGINT AS assigned FROM documents LEFT JOIN al ON doc_id = sent_id GROUP BY doc_id")
 def unassigned_to_dummy(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select(F.lit(0).alias("case_id"), F.col("doc_id").alias("elem_id"))
-    taken = _aligned(spark, sf_dir)[1].groupBy("sent_id").agg(F.min("elem_id").alias("item"))
+    taken = _aligned(spark, sf_dir).groupBy("sent_id").agg(F.min("elem_id").alias("item"))
     given = taken.select(F.lit(0).alias("case_id"), F.col("sent_id").alias("elem_id"), F.col("item").alias("sent_id"))
     return assignment.unassigned(docs, given, "case_id", DUMMY_SENTENCE).select("elem_id", F.col("sent_id").alias("assigned"))
 
 
 def _stats(spark, sf_dir):
-    sims, aligned = _aligned(spark, sf_dir)
+    parts, aligned, by_sent = _folded(spark, sf_dir)
     sizes = _read(spark, sf_dir, "documents").agg(F.countDistinct("doc_id").alias("n_sents")).crossJoin(_read(spark, sf_dir, "benchmark").agg(F.countDistinct("item_id").alias("n_elems")))  # one row by one
-    return predictors.statistics(sims, aligned, [], sizes, few=True)
+    return predictors.folded(parts, by_sent, aligned, sizes)
 
 
 _STATS = f"""{_ALIGNED}, el AS (SELECT elem_id, max(sim) AS t_max, sum(sim) AS t_sum, sqrt(sum(sim * sim)) AS t_l2, sum(CASE WHEN sim > 0 THEN sim * ln(sim) END) AS t_plogp, sum(CASE WHEN sim > 0 THEN sim END) AS t_pos FROM sims GROUP BY elem_id),
@@ -306,7 +315,7 @@ def missing_elements(spark, sf_dir):
 def total_score(spark, sf_dir):
     one = F.lit(0).alias("case_id")
     sizes = [_read(spark, sf_dir, t).groupBy(one).agg(F.count(F.lit(1)).alias("n")) for t in ("documents", "benchmark")]
-    scored = assignment.total_score(_aligned(spark, sf_dir)[1].withColumn("case_id", F.lit(0)), *sizes, "case_id")
+    scored = assignment.total_score(_aligned(spark, sf_dir).withColumn("case_id", F.lit(0)), *sizes, "case_id")
     return scored.select(_r("total_score", 9).alias("total_score"))
 
 
@@ -644,7 +653,12 @@ def label_cleaning(spark, sf_dir):
 
 @query("l2_normalised_similarity", f"{_SIMS} SELECT sent_id, elem_id, round(sim / nullif(sqrt(sum(sim * sim) OVER (PARTITION BY elem_id)), 0), 6) AS p FROM sims")
 def l2_normalised_similarity(spark, sf_dir):
-    return similarity.l2_normalised(graph.checkpointed(_sims(spark, sf_dir)), [], few=True).select("sent_id", "elem_id", _r("sim").alias("p"))
+    """Pairs are summed twice, for the items' lengths and for the rows, rather than written out and read."""
+    counted, lengths, few, scale = _counted(spark, sf_dir, similarity.NEEDS[_ALIGN_BY])
+    texts = graph.checkpointed(lengths(counted))
+    parts = similarity.local_statistics(texts, few, scale, _ALIGN_BY, DUMMY_SENTENCE, _ALIGN_DIGITS)
+    sizes = dict(parts.filter("t_sq is not null").groupBy("elem_id").agg(F.sqrt(F.sum("t_sq"))).collect())  # one row for each item
+    return similarity.local_similarities(texts, few, scale, _ALIGN_BY, digits=6, lengths=sizes).withColumnRenamed("sim", "p")
 
 
 from . import engine_queries, evaluation_queries, linguistic_queries  # noqa: E402, F401  # register their queries
