@@ -73,8 +73,8 @@ class Few:
         self.longest = int(self.sides["m_n"].max(initial=0))
 
 
-#: Cells (text, model) and shared features of a block of texts.
-CELLS, SHARED = 1 << 17, 1 << 19
+#: Cells (text, model) and shared features of a block of texts: so few that its matrices stay in the cache.
+CELLS, SHARED = 1 << 15, 1 << 17
 
 
 class _Block:
