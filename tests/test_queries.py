@@ -162,6 +162,10 @@ def test_folds(spark, monkeypatch, kept):
         direct = {(r.sent_id, r.elem_id): r.sim for r in similarity.local_similarities(texts, few, scale, name).collect()}
         assert direct == {(r.sent_id, r.elem_id): r.sim for r in sims.collect()}, name
         parts = similarity.local_statistics(texts, few, scale, name, -1, 9)
+        sizes_of = dict(parts.filter("t_sq is not null").groupBy("elem_id").agg(F.sqrt(F.sum("t_sq"))).collect())
+        scaled = {(r.sent_id, r.elem_id): r.sim for r in similarity.local_similarities(texts, few, scale, name, lengths=sizes_of).collect()}
+        wanted = {(r.sent_id, r.elem_id): r.sim for r in similarity.l2_normalised(sims, []).collect()}
+        assert scaled == {k: v if v is None else pytest.approx(v, rel=1e-12) for k, v in wanted.items()}, name
         best = predictors.trivial_alignment(parts.filter("sim is not null"), [], digits=9, few=True)
         whole = predictors.trivial_alignment(sims, [], digits=9)
         assert sorted(best.collect()) == sorted(whole.collect()), name
