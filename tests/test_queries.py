@@ -195,3 +195,40 @@ def test_blocks_and_rounding():
                 assert np.array_equal(np.concatenate([b[c] for b in blocks]), whole[c]), c
     assert similarity.rounded(np.array([0.5, -0.5, 1.5, 0.49999999999999994, 2.4, 0.0]), 0).tolist() == [1, -1, 2, 0, 2, 0]
     assert similarity.rounded(np.array([0.1234565, 1 / 3, 2 / 3]), 6).tolist() == [0.123457, 0.333333, 0.666667]
+
+
+def _shuffled(spark):
+    """Records written to shuffles by the session so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(stages.apply, range(stages.size()))}
+
+
+def test_document_words_stay(spark, data, oracle):
+    """A row for each document and word is the result; such rows are made where documents lie and not dealt."""
+    before = _shuffled(spark)
+    got = queries.QUERIES["text_form_features"](spark, data).toPandas()
+    dealt = sum(n for stage, n in _shuffled(spark).items() if stage not in before)
+    words = oracle.execute(f"WITH {queries._T} SELECT count(*) FROM t_idf").fetchone()[0]
+    assert len(got) > 2 * words
+    assert dealt < 2 * words + len(got) / 4  # words are dealt for df and perhaps once more for the join
+
+
+@pytest.mark.parametrize("most, block, repeated", [(0, 1 << 10, 0), (3, 1 << 16, 1), (200_000, 8 << 20, 200_000)])
+def test_odd_document_words(spark, tmp_path, monkeypatch, most, block, repeated):
+    """Null, empty and repeated texts and ids, however many words count as common, and by blocks of any size."""
+    from tramline.operators import features
+
+    for name, value in (("MOST_COMMON", most), ("BLOCK", block), ("MOST_REPEATED", repeated)):
+        monkeypatch.setattr(features, name, value)
+    docs = [(1, "The order, the ORDER!"), (1, "goods and goods"), (2, None), (3, ""), (4, " .,; "), (5, "ship the goods"), (6, "order"), (7, "Ünïcode ORDER 12³"), (8, None), (8, "the\u0000end the"), (9, "ship goods")]
+    nobody = [(None, "order of nobody"), (None, "goods"), (None, None), (None, "nobody")]
+    for at, rows in enumerate((docs + nobody, docs, [d for d in docs if d[0] not in (1, 8)], docs[2:5])):
+        path = f"{tmp_path}/{at}"
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{path}/documents.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+        got = sorted(map(str, map(tuple, queries.QUERIES["text_form_features"](spark, path).collect())))
+        assert got == sorted(map(str, con.execute(queries.ORACLE_SQL["text_form_features"]).fetchall()))
+        assert bool(got) == (at < 3)

@@ -83,6 +83,17 @@ def term_lists(texts: DataFrame, owner: str, text: str = "text") -> DataFrame:
     return said.groupBy(owner).agg(F.concat_ws(" ", F.collect_list("_text")).alias("said"))
 
 
+#: Owners with several texts whose ids every task is given (a few MB); of more, all texts are dealt by owner.
+MOST_REPEATED = 200_000
+
+
+def placed_lists(texts: DataFrame, repeated: DataFrame, owner: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows of term_lists in two parts: of owners with one text, where it lies, and of the few repeated ones (owner), dealt. No owner is null."""
+    few = F.broadcast(repeated)
+    alone = texts.join(few, owner, "left_anti").select(owner, F.coalesce(T.joined_tokens(F.col(text)), F.lit("")).alias("said"))
+    return alone, term_lists(texts.join(few, owner, "left_semi"), owner, text)
+
+
 #: Bytes of texts whose words are counted at once; a worker holds some ten times as much.
 BLOCK = 8 << 20
 #: Words whose idf every task is given (a few MB): the most frequent ones, whatever the data. They are nine of ten (text, term) pairs.
@@ -164,6 +175,27 @@ def known_counts(lists: DataFrame, owner: str, vocabulary: Sequence[str], common
     return lists.select(owner, "said").mapInArrow(counted, columns)
 
 
+def term_rows(lists: DataFrame, owner: str, common: pa.Table, often: bool) -> DataFrame:
+    """term_lists -> (owner, lemma, tf, idf), a row for each word of an owner that is among the common ones (lemma, idf); or, not often, (owner, lemma, tf) of each other.
+
+    Rows come out where texts lie, a few MB of these at a time. The other words still need their idf, so they alone are dealt by term.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf = common["lemma"].combine_chunks(), common["idf"].combine_chunks()
+        for batch in sliced(batches, BLOCK):
+            words, n_tokens, row, word, n = _cells(batch.column("said"))
+            place = _places(words, known)
+            here = (place >= 0)[word] == often
+            row, word, n = row[here], word[here], n[here]
+            out = [batch.column(owner).take(pa.array(row)), words.take(pa.array(word)), pa.array(n / n_tokens[row])]
+            yield pa.RecordBatch.from_arrays([*out, idf.take(pa.array(place[word]))] if often else out, names)
+
+    columns = f"{owner} {lists.schema[owner].dataType.simpleString()}, lemma string, tf double" + (", idf double" if often else "")
+    names = [c.split()[0] for c in columns.split(", ")]
+    return lists.select(owner, "said").mapInArrow(counted, columns)
+
+
 def _lists(row: np.ndarray, n_rows: int, *values: pa.Array) -> list[pa.ListArray]:
     """Values of rising rows as lists, one a row."""
     ends = pa.array(np.searchsorted(row, np.arange(n_rows + 1)), pa.int32())

@@ -128,6 +128,32 @@ def _counted(spark, sf_dir, need: str | None = None):
     return counted, (lambda rows: features.with_lengths(rows, "sent_id", rare, factor)) if need else (lambda rows: rows), few, scale
 
 
+def _doc_lists(texts: DataFrame) -> DataFrame:
+    """features.term_lists of documents with an id; only the texts of ids that come several times are dealt and written out."""
+    several = graph.checkpointed(texts.groupBy("sent_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sent_id"))
+    n = several.count()
+    if n > features.MOST_REPEATED:
+        return graph.checkpointed(features.term_lists(texts, "sent_id"))
+    alone, dealt = features.placed_lists(texts, several, "sent_id")
+    return alone.union(graph.checkpointed(dealt)) if n else alone
+
+
+def _text_rows(spark, sf_dir):
+    """The rows of _text, (sent_id, lemma, tf, idf, tfidf), made where documents lie; only those of rare words and of documents without an id are dealt, by word.
+
+    Documents are read three times instead of being written out: for the df of all words, the rows of common words and those of the others.
+    """
+    docs = _read(spark, sf_dir, "documents")
+    lists = _doc_lists(docs.select(F.col("doc_id").alias("sent_id"), "text").filter("sent_id is not null"))
+    nobody = features.term_frequency(_tokens(docs.filter("doc_id is null"), "doc_id", "sent_id"), ["sent_id"])  # one text
+    df = features.block_frequency(lists).union(nobody.select("lemma", F.lit(1).cast("long"))).groupBy("lemma").agg(F.sum("df").alias("df"))
+    idf = graph.checkpointed(features.weighed_frequency(df, [], docs.agg(F.countDistinct("doc_id").alias("n_owners"))))
+    common, _ = features.common_terms(idf, features.MOST_COMMON)
+    others = features.term_rows(lists, "sent_id", common, False).union(nobody.select("sent_id", "lemma", "tf"))
+    often = features.with_tf_idf(features.term_rows(lists, "sent_id", common, True))
+    return often.unionByName(features.tf_idf(others, idf.select("lemma", "idf"), []))
+
+
 #: The similarity of alignments; digits to which greatest ones are compared.
 _ALIGN_BY, _ALIGN_DIGITS = "weighted-fake-jaccard", 9
 
@@ -176,7 +202,7 @@ def tfidf(spark, sf_dir):
 
 @query("text_form_features", f"WITH {_T} SELECT sent_id, 'has-form' AS ftype, lemma AS arg, round(w, 6) AS weight FROM t_w")
 def text_form_features(spark, sf_dir):
-    return features.distinct_features(_forms(_text(spark, sf_dir), "sent_id"), ["sent_id"]).withColumn("weight", _r("weight"))
+    return _forms(_text_rows(spark, sf_dir), "sent_id").withColumn("weight", _r("weight"))  # a row for each document and word already
 
 
 @query("feature_union", f"WITH {_T}, {_M}, a AS (SELECT lemma, max(w) AS w FROM t_w GROUP BY lemma), b AS (SELECT lemma, max(w) AS w FROM m_w GROUP BY lemma) SELECT coalesce(a.lemma, b.lemma) AS arg, round(greatest(coalesce(a.w, b.w), coalesce(b.w, a.w)), 6) AS weight FROM a FULL JOIN b ON a.lemma = b.lemma")
